@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import bpe, decontamination, quality, secrets, sharding, suffix_dedup, toxicity
+from lexspan.llm import bpe, decontamination, embedding_dedup, near_dedup, phrase_dedup, quality, secrets, sharding, suffix_dedup, toxicity
 from lexspan.llm._shared import remainder, table
 
 
@@ -45,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(scored.withColumn("n_passages", F.size("toxic_passages")), "toxicity", 5, 0)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab_path()))
 
@@ -53,10 +57,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digests(phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -64,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op5_bpe, op6_secrets, op8_decontamination, op10_quality]
+    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_near_dedup, op5_bpe, op6_secrets, op7_phrase_dedup, op8_decontamination, op9_embedding_dedup, op10_quality]
     return {f.__name__: f for f in found}
 
 
