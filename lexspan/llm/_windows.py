@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,23 @@ def identified(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(raw).alias("key"), raw.alias("raw"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, raw) with each text compressed: for joins that have to move the texts."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            for a, b in pieces(batch.column(2)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(r) for r in part.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "raw"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, raw binary")
+
+
+def unpacked(packs: list[bytes]) -> list[bytes]:
+    return [zstandard.decompress(p) for p in packs]
+
+
 def batch_pieces(batches, column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for a, b in pieces(batch.column(column), most):

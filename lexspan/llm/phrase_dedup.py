@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm._shared import materialize
-from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, recurring, summed
+from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, packed, recurring, summed, unpacked
 
 #: Words of the k-grams by which windows are filed.
 GRAM = 4
@@ -59,8 +59,8 @@ def passages(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         to_codes = WordCodes()
-        for part, raws in batch_pieces(batches, 2):
-            cut = [r.split() for r in raws]
+        for part, packs in batch_pieces(batches, 2):
+            cut = [r.split() for r in unpacked(packs)]
             ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
             names = Names(to_codes.codes(cut, int(ends[-1])))
             text, gram, whole, first, said, ranks = [], [], [], [], [], []
@@ -75,7 +75,7 @@ def passages(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), part.column(0).take(of), part.column(1).take(of), pa.array(first, pa.int32()), pa.array(said), lists], ["gram", "whole", "doc_id", "key", "first", "words", "ranks"])
 
     lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "whole", "first", "last", "several")).alias("spans"))
-    return rows.join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, "gram long, whole long, doc_id long, key long, first int, words string, ranks array<long>")
+    return packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, "gram long, whole long, doc_id long, key long, first int, words string, ranks array<long>")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> DataFrame:
@@ -103,7 +103,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> D
     lists = phrases.groupBy("doc_id", "key").agg(F.collect_list(F.struct("src", "a", "b", "words")).alias("phrases"))
 
     def run(batches):
-        for part, raws in batch_pieces(batches, 2):
+        for part, packs in batch_pieces(batches, 2):
+            raws = unpacked(packs)
             own, ids, keys = part.column(3).to_pylist(), part.column(0).to_pylist(), part.column(1).to_pylist()
             automaton = compiled(own, size)
             counts, runs, kept = [], [], []
@@ -115,7 +116,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> D
                 kept.append(b" ".join([w for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(words)], strict=True) for w in words[a:b]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], ["doc_id", "n_words", "removed", "kept"])
 
-    return rows.join(lists, ["doc_id", "key"], "left").select("doc_id", "key", "raw", "phrases").mapInArrow(run, OUT)
+    return packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "key", "raw", "phrases").mapInArrow(run, OUT)
 
 
 def compiled(asked: list[list[dict] | None], size: int):
