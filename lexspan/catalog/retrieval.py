@@ -78,13 +78,13 @@ def tf_fields(spark, sf_dir):
     return field_frequencies(spark, sf_dir).withColumn("tf", F.col("tf0") + F.col("tf1"))
 
 
-@register("bm25f", with_(FIELDS, "fl AS (SELECT doc_id, count(*) AS len FROM ftok GROUP BY ALL)", "ft AS (SELECT count(DISTINCT doc_id) AS items, count(*) / count(DISTINCT doc_id) AS avgl FROM ftok)", "fd AS (SELECT term, count(*) AS df FROM ftf GROUP BY ALL)", select=f"SELECT doc_id, round(sum({RSJ} * (2.0 * tf0 + tf1) / (0.5 * (0.75 + 0.25 * len / avgl) + 2.0 * tf0 + tf1)), 6) AS score FROM ftf JOIN fd USING (term) JOIN fl USING (doc_id), ft WHERE term IN ('{A}', '{B}', '{C}') GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 20"))
+@register("bm25f", with_(FIELDS, "fl AS (SELECT doc_id, count(*) AS len FROM ftok GROUP BY ALL)", "ft AS (SELECT count(DISTINCT doc_id) AS items, count(*) / count(DISTINCT doc_id) AS avgl FROM ftok)", "fd AS (SELECT term, count(*) AS df FROM ftf GROUP BY ALL)", select=f"SELECT doc_id, round(sum({RSJ} * (2.0 * tf0 + tf1) / (0.5 * (0.75 + 0.25 * len / avgl) + 2.0 * tf0 + tf1)), 6) AS score FROM ftf JOIN fd USING (term) JOIN fl USING (doc_id), ft WHERE term IN ('ing', 'ly', 'erth') GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 20"))
 def bm25f(spark, sf_dir):
     fields = field_frequencies(spark, sf_dir).withColumn("all", F.col("tf0") + F.col("tf1"))
     length = fields.groupBy("doc_id").agg(F.sum("all").alias("len"))
     total = length.agg(F.count("*").alias("items"), (F.sum("len") / F.count("*")).alias("avgl"))
     df = fields.groupBy("term").agg(F.count("*").alias("df"))
-    rows = fields.where(F.col("term").isin(A, B, C)).join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(total))
+    rows = fields.where(F.col("term").isin("ing", "ly", "erth")).join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(total))
     tf = 2.0 * F.col("tf0") + F.col("tf1")
     gain = rk.rsj(F.col("items"), F.col("df")) * tf / (0.5 * (0.75 + 0.25 * F.col("len") / F.col("avgl")) + tf)
     return rk.top(rows.groupBy("doc_id").agg(F.sum(gain).alias("score")).where("round(score, 6) > 0"), 20)

@@ -37,8 +37,9 @@ def trec_documents(texts: DataFrame) -> DataFrame:
     """(docno, body) of texts that hold ``<DOC> ... <DOCNO> ... </DOC>`` records."""
     record = F.explode(F.regexp_extract_all("value", F.lit("(?s)<DOC>(.*?)</DOC>"), F.lit(1)))
     rows = texts.select(record.alias("record"))
-    docno = F.trim(F.regexp_extract("record", "(?s)<DOCNO>(.*?)</DOCNO>", 1))
-    return rows.select(docno.alias("docno"), F.trim(F.regexp_replace("record", "(?s)<DOCNO>.*?</DOCNO>", "")).alias("body"))
+    bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    docno = bare(F.regexp_extract("record", "(?s)<DOCNO>(.*?)</DOCNO>", 1))
+    return rows.select(docno.alias("docno"), bare(F.regexp_replace("record", "(?s)<DOCNO>.*?</DOCNO>", "")).alias("body"))
 
 
 # JSON
