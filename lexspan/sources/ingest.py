@@ -141,3 +141,37 @@ def sparse_vectors(lines: DataFrame, prefix: str = "splade:") -> DataFrame:
 def trec_lines(run: DataFrame, run_id: str) -> DataFrame:
     """Run lines ``topic Q0 docno rank score runid``."""
     return run.select(F.concat_ws(" ", F.col("topic").cast("string"), F.lit("Q0"), "docno", F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(run_id)).alias("value"))
+
+
+# collections: (docno, feature, said) of JSON lines and separated lines in published layouts
+
+def collection_fields(lines: DataFrame, id_field: str, features: dict[str, str]) -> DataFrame:
+    """One row for each field of each JSON line that has one; ``features`` maps a feature to its field's path."""
+    get = lambda f: F.get_json_object("value", f"$.{f}")
+    parts = F.array(*[F.struct(F.lit(name).alias("feature"), get(path).alias("said")) for name, path in features.items()])
+    rows = lines.select(get(id_field).alias("docno"), F.explode(parts).alias("x")).select("docno", "x.feature", "x.said")
+    return rows.where("docno is not null and said is not null")
+
+
+#: Id field, and feature of each field, of the collections' records.
+LAYOUTS = {
+    "c4": ("url", {":text:": "text", ":url:": "url"}),
+    "passages_v2": ("pid", {":pid:": "pid", ":passage:": "passage"}),
+    "conversational": ("id", {":id:": "id", ":title:": "title", ":contents:": "contents"}),
+    "news": ("id", {":id:": "id", ":title:": "title", ":author:": "author", ":article:": "contents[0].content", ":url:": "article_url"}),
+}
+
+
+def collection(lines: DataFrame, layout: str) -> DataFrame:
+    return collection_fields(lines, *LAYOUTS[layout])
+
+
+def passage_lines(lines: DataFrame) -> DataFrame:
+    """(docno, text) of ``id<TAB>text`` lines."""
+    parts = F.split("value", "\t", 2)
+    return lines.where(F.size(parts) == 2).select(parts[0].alias("docno"), parts[1].alias("text"))
+
+
+def json_text(said: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(said.alias("x"))), '^\\{"x":(.*)\\}$', 1)

@@ -92,3 +92,17 @@ def test_difference_of_a_run_with_itself(run):
     run, _ = run
     found = ev.effectiveness_difference(run, run).first()
     assert found["med_dcg"] == pytest.approx(0) and found["med_rbp50"] == pytest.approx(0)
+
+
+def test_tuning(spark):
+    from lexspan.operators import tuning
+
+    assert tuning.parameter("bm25", "b", {"b": 0.5}) == 0.5 and tuning.parameter("lmd", "mu", {}) == 2000.0
+    assert len(list(tuning.grid(k1=[1.0, 2.0], b=[0.1, 0.2, 0.3]))) == 6
+    assert all(1 <= d["mu"] <= 100 for d in tuning.draws(5, 1, mu=(1, 100, True)))
+    values = spark.createDataFrame([(t, q, 1.0 * t + q % 3) for t in range(2) for q in range(12)], "trial int, topic int, value double")
+    rows = {r.trial: r for r in tuning.bootstrap(values, samples=50).collect()}
+    assert rows[1].wins == 50 and rows[0].wins == 0
+    docs = spark.range(30).withColumnRenamed("id", "doc_id")
+    one, two = (tuning.random_ranking(docs, 5, s).collect() for s in (1, 2))
+    assert len(one) == 5 and one != two and one == tuning.random_ranking(docs.repartition(3), 5, 1).collect()

@@ -102,3 +102,24 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert store.read().where("feature = 'two'").count() == 2 and store.read().where("feature = ':item'").count() == 2
+
+
+def test_collections_and_text(spark):
+    rows = src.collection(lines(spark, '{"pid":"p1","passage":"a \\"b\\""}', '{"passage":"x"}'), "passages_v2").collect()
+    assert sorted(tuple(r) for r in rows) == [("p1", ":passage:", 'a "b"'), ("p1", ":pid:", "p1")]
+    assert [tuple(r) for r in src.passage_lines(lines(spark, "7\ta\tb", "x")).collect()] == [("7", "a\tb")]
+    assert spark.range(1).select(src.json_text(F.lit('say "hi"'))).first()[0] == '"say \\"hi\\""'
+    assert spark.range(1).select(tx.okay(F.lit("Yes")), tx.okay(F.lit("no"))).first()[:] == (True, False)
+
+
+def test_command_line(spark, tmp_path):
+    from lexspan.cli import answer, main
+
+    (tmp_path / "x.jsonl").write_text('{"docid":"a","contents":"quick brown fox"}\n{"docid":"b","contents":"fox"}\n')
+    path = str(tmp_path / "x.jsonl")
+    assert answer(spark, "count", path, "(^ quick fox)") == {"count": 1}
+    assert answer(spark, "describe", path, "") == {"documents": 2, "tokens": 4}
+    assert answer(spark, "get", path, "b") == {"docno": "b", "text": "fox"}
+    assert [r["docno"] for r in answer(spark, "gcl", path, "fox")["results"]] == ["a", "b"]
+    assert answer(spark, "cover", path, "(... quick fox)")["results"][0]["summary"] == "quick brown fox"
+    assert main(["nothing"]) == 1
