@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspan.llm._shared import materialize
-from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, mixed, recurring, summed
+from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, mixed, packed, recurring, summed, unpacked
 
 #: Bytes of the k-grams by which windows are filed.
 GRAM = 40
@@ -38,15 +38,16 @@ def byte_codes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranked_blocks(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The wanted classes in blocks of up to BLOCK neighbouring windows: ranks of the two halves of what
-    all windows of a block share, the rank of all that they span, and the rank of each window.
+    """The wanted classes in blocks of up to BLOCK neighbouring windows: the ranks of the two halves of
+    what all windows of a block share, and the few bytes left and right of it that they span.
 
     Blocks are cut at fixed distances before the k-gram of the class, so at equal places in equal
     passages; what the windows of a whole block share is ranked even where the class ends inside it.
     """
 
     def run(batches):
-        for part, raws in batch_pieces(batches, 2):
+        for part, packs in batch_pieces(batches, 2):
+            raws = unpacked(packs)
             codes, ends = byte_codes(raws)
             names, own = Names(codes), part.column(3).to_pylist()
             spans = [(k, s["gram"], s["first"], s["last"], s["place"]) for k, all_ in enumerate(own) for s in all_]
@@ -55,38 +56,38 @@ def ranked_blocks(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             counts = far - near + 1
             block = np.repeat(near, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             text, gram, first, last, place = (np.repeat(x, counts) for x in (text, gram, first, last, place))
-            start, stop = np.maximum(first, place - block * BLOCK - BLOCK + 1), np.minimum(last, place - block * BLOCK)
-            at, n, of = start + ends[text], stop - start + 1, pa.array(text)
-            shared, width = place - block * BLOCK + ends[text], size - BLOCK + 1
-            low, high = names.of(shared, width // 2), names.of(shared + width // 2, width - width // 2)
-            each = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(names.of(each, size).view(np.int64)))
-            whole = names.of(at, size + n - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(start.astype(np.int32)), lists], schema.names)
-
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("gram", "low", "high", "whole", "doc_id", "key")), T.StructField("start", T.IntegerType()), T.StructField("each", T.ArrayType(T.LongType()))])
+            shared, width, of = place - block * BLOCK, size - BLOCK + 1, pa.array(text)
+            start, stop = np.maximum(first, shared - BLOCK + 1), np.minimum(last, shared)
+            at = shared + ends[text]
+            low, high = names.of(at, width // 2), names.of(at + width // 2, width - width // 2)
+            left = [raws[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), shared.tolist(), strict=True)]
+            right = [raws[t][a:b] for t, a, b in zip(text.tolist(), (shared + width).tolist(), (stop + size).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(left, pa.binary()), pa.array(right, pa.binary()), part.column(0).take(of), part.column(1).take(of), pa.array(start.astype(np.int32))], names_)
+
+    schema = "gram long, low long, high long, left binary, right binary, doc_id long, key long, start int"
+    names_ = [c.split()[0] for c in schema.split(", ")]
     lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "first", "last", "place")).alias("spans"))
-    return rows.join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, schema)
+    return packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, schema)
 
 
 def repeated_starts(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, first, last) of windows that stand in more than one place.
 
-    Doubling: blocks are ranked by the first half of what their windows share, then by the pair of
-    ranks of both halves, and blocks alone are out each time; the windows of those left are ranked
-    one by one, those of one block for each distinct string, as its copies are settled together.
+    Blocks are ranked by the pair of ranks of the halves of what their windows share, and blocks alone are
+    out; the windows of those left are ranked by that and the bytes beside it, those of one block
+    for each distinct string, as its copies are settled together.
     """
-    left = blocks
-    for rank in (["gram", "low"], ["gram", "low", "high"]):
-        pairs = left.groupBy(*rank).count().where("count > 1").select(*rank)
-        left = left.join(pairs, rank)
-    left = materialize(left, "blocks")
-    copies = left.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min_by("each", F.struct("doc_id", "key", "start")).alias("each"), F.min(F.struct("doc_id", "key", "start")).alias("rep"))
-    settled = left.join(copies.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + F.size("each") - 1).alias("last"))
-    windows = copies.select("gram", "rep.*", F.posexplode("each").alias("k", "rank"))
-    ranks = windows.groupBy("gram", "rank").count().where("count > 1").select("gram", "rank")
-    start = (F.col("start") + F.col("k")).cast("int")
-    alone = windows.join(ranks, ["gram", "rank"]).select("doc_id", "key", start.alias("first"), start.alias("last"))
+    pair, edge = ["gram", "low", "high"], ["left", "right"]
+    often = blocks.groupBy(*pair).count().where("count > 1").select(*pair)
+    left = materialize(blocks.join(often, pair), "blocks")
+    copies = left.groupBy(*pair, *edge).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("rep"))
+    size = F.octet_length("left") + F.octet_length("right") - (BLOCK - 2)
+    settled = left.join(copies.where("n > 1").select(*pair, *edge), [*pair, *edge]).select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + size - 1).alias("last"))
+    windows = copies.select(*pair, *edge, "rep.*", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
+    own = windows.select(*pair, F.expr("substring(left, k + 1)").alias("before"), F.expr(f"substring(right, 1, {BLOCK - 1} - (octet_length(left) - k))").alias("after"), "doc_id", "key", (F.col("start") + F.col("k")).cast("int").alias("first"))
+    rank = [*pair, "before", "after"]
+    ranks = own.groupBy(*rank).count().where("count > 1").select(*rank)
+    alone = own.join(ranks, rank).select("doc_id", "key", "first", F.col("first").alias("last"))
     return settled.union(alone)
 
 
@@ -101,8 +102,8 @@ def remove_repeats(docs: DataFrame, size: int = 400, text_col: str = "text") ->
     lists = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def run(batches):
-        for part, raws in batch_pieces(batches, 1, 8 << 20):
-            runs, kept = [], []
+        for part, packs in batch_pieces(batches, 1):
+            raws, runs, kept = unpacked(packs), [], []
             for raw, own in zip(raws, part.column(2).to_pylist(), strict=True):
                 a, b = covered(own, size)
                 runs.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
@@ -112,7 +113,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(r) for r in raws], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.BinaryType())])
-    return rows.join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans").mapInArrow(run, schema)
+    return packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans").mapInArrow(run, schema)
 
 
 def covered(spans: list[dict] | None, size: int) -> tuple[list[int], list[int]]:
