@@ -99,6 +99,12 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
+def least_of(links: DataFrame) -> DataFrame:
+    """(u, m): the least v of each u, grouped by a struct, so that a join back deals the links anew and
+    Spark can split those of one end."""
+    return links.groupBy(F.struct("u").alias("lexspan_key")).agg(F.min("v").alias("m")).select("lexspan_key.u", "m")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
@@ -111,10 +117,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = links.union(links.select("v", "u").toDF("u", "v"))
         # large star: neighbours above u hang from the least of u and its neighbours
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = least_of(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its neighbours below hang from the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = least_of(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         same = after.count() == links.count() and after.exceptAll(links).isEmpty()
