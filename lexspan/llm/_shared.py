@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 #: Pieces in which a batch is worked on, so that Python's memory doesn't follow the batch size.
 PIECE_BYTES = 8 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+#: Makes Spark delete the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def workspace(spark: SparkSession) -> str:
@@ -30,10 +34,16 @@ def workspace(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the workspace and read it back: the lineage ends here
-    and a lost executor costs a re-read, not a recomputation. The table goes when the driver ends."""
+    and a lost executor costs a re-read, not a recomputation. The shuffle files behind it go at once,
+    the table when the driver ends."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +58,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Rows may be long texts, so Arrow batches of the session are made small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm._shared import connected_components, materialize
-from lexspan.llm._windows import Names, batch_pieces, mixed
+from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked
 from lexspan.llm.phrase_dedup import WordCodes
 
 #: Positions of a signature, trees, sets of a node that is compared, levels below the first.
-POSITIONS, TREES, LEAF, DEPTH = 96, 20, 400, 10
+POSITIONS, TREES, LEAF, DEPTH = 96, 12, 800, 10
+#: Bytes of a shingle's name that are sent to a comparison: two of a pair's names meet by chance once in 10^8 pairs.
+SHIPPED = 6
 FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 SHIFTS = mixed(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -83,7 +85,9 @@ def children(node: Column, sig: Column, percent: int) -> Column:
 
 def leaves(sets: DataFrame, percent: int) -> DataFrame:
     """(node, id): members of the nodes to compare; ``sets`` has (id, sig)."""
-    roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(j), F.col("sig")[j]) for tree, j in enumerate(np.random.default_rng(3).permutation(POSITIONS)[:TREES].tolist())])
+    # the first two levels at once: each tree starts with nodes of two positions, which few unlike sets share
+    places = np.random.default_rng(3).permutation(POSITIONS)[: 2 * TREES].reshape(-1, 2).tolist()
+    roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(i), F.col("sig")[i], F.lit(j), F.col("sig")[j]) for tree, (i, j) in enumerate(places)])
     level = materialize(sets.select("id", F.explode(roots).alias("node")), "level")
     found = None
     for depth in range(DEPTH + 1):
@@ -110,10 +114,10 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
 
     def dealt(batches):
         words = WordCodes()
-        for part, raws in batch_pieces(batches, 1):
+        for part, packs in batch_pieces(batches, 1):
             nodes, ids, sets = [], [], []
-            for doc, own, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(raws, words, width), strict=True):
-                raw = s.tobytes()
+            for doc, own, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(unpacked(packs), words, width), strict=True):
+                raw = s.view(np.uint8).reshape(-1, 8)[:, :SHIPPED].tobytes()
                 for node in own:
                     nodes.append(node), ids.append(doc), sets.append(raw)
             for k in range(0, len(nodes), 256):
@@ -127,7 +131,7 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     lists = members.groupBy("id").agg(F.collect_list("node").alias("nodes"))
-    texts = rows.join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "raw", "nodes")
+    texts = packed(rows.select("doc_id", F.lit(0).cast("long").alias("key"), "raw")).join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "raw", "nodes")
     shipped = texts.mapInArrow(dealt, "node long, id long, members binary").repartition("node").sortWithinPartitions("node")
     return shipped.mapInArrow(linked, "a long, b long")
 
@@ -141,7 +145,9 @@ def groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
                 if len(ids) > 1:
                     yield ids, sets
                 now, ids, sets = node, [], []
-            ids.append(doc), sets.append(np.frombuffer(raw, np.uint64))
+            names = np.zeros((len(raw) // SHIPPED, 8), np.uint8)
+            names[:, :SHIPPED] = np.frombuffer(raw, np.uint8).reshape(-1, SHIPPED)
+            ids.append(doc), sets.append(np.sort(names.view(np.uint64)[:, 0]))
     if len(ids) > 1:
         yield ids, sets
 
