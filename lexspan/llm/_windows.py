@@ -153,11 +153,21 @@ def recurring(rows: DataFrame, codes: Callable[[], Codes], size: int, k: int) ->
         for part, raws in batch_pieces(batches, 2):
             text, first, last, place, gram, whole = classes(*to_codes(raws), size, k)
             of = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), part.column(0).take(of), part.column(1).take(of), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "whole", "doc_id", "key", "first", "last", "place"])
+            spot = first << 32 | (last - first) << 16 | (place - first)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), part.column(0).take(of), part.column(1).take(of), pa.array(spot)], ["gram", "whole", "doc_id", "key", "spot"])
 
-    every = rows.mapInArrow(run, "gram long, whole long, doc_id long, key long, first int, last int, place int")
-    often = every.select("gram").groupBy("gram").count().where("count > 1").select("gram")
-    return materialize(every.join(often, "gram"), "recurring")
+    assert size < 1 << 16, "a class has fewer windows than a window has elements, and places are packed by that"
+    every = rows.mapInArrow(run, "gram long, whole long, doc_id long, key long, spot long")
+    first = F.shiftright("spot", 32)
+    last, place = first + F.shiftright("spot", 16).bitwiseAND(0xFFFF), first + F.col("spot").bitwiseAND(0xFFFF)
+    found = every.join(repeated(every, ["gram"]), "gram")
+    return materialize(found.select("gram", "whole", "doc_id", "key", first.cast("int").alias("first"), last.cast("int").alias("last"), place.cast("int").alias("place")), "recurring")
+
+
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of more than one row. They are counted as one struct, so that joining them back deals
+    the rows anew and Spark can split a key that many rows have."""
+    return rows.groupBy(F.struct(*key).alias("lexspan_key")).count().where("count > 1").select("lexspan_key.*")
 
 
 def summed(found: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ have no words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, packed,
 #: Words of the k-grams by which windows are filed.
 GRAM = 4
 #: Words whose codes a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 OUT = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
 
 
@@ -88,19 +90,20 @@ def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> D
     here, rep = F.struct("doc_id", "key", "first"), F.struct("rep.doc_id", "rep.key", "rep.first")
     copies = (
         found.join(each.where("n > 1").select("gram", "whole", "rep"), ["gram", "whole"]).where(here > rep)
-        .select("doc_id", "key", "gram", "whole", F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b"))
+        .select("doc_id", "key", "gram", "whole", F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b"), F.col("first").alias("at"))
     )
     # windows that different classes share: all but the first
     windows = said.select("gram", "whole", "doc_id", "key", "first", F.posexplode("ranks").alias("k", "rank")).withColumn("start", F.col("first") + F.col("k"))
-    firsts = windows.groupBy("gram", "rank").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "whole", "k")).alias("src")).where("n > 1")
+    # grouped by one struct, so that the join deals the rows anew and Spark can split a hot window
+    firsts = windows.groupBy(F.struct("gram", "rank").alias("lexspan_key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "whole", "k")).alias("src")).where("n > 1").select("lexspan_key.*", "src")
     shared = (
         windows.join(firsts, ["gram", "rank"]).where(F.struct("doc_id", "key", "start") > F.struct("src.doc_id", "src.key", "src.start"))
         .groupBy("doc_id", "key", "gram", F.col("src.whole").alias("whole"), (F.col("start") - F.col("src.k")).alias("shift"))
-        .agg(F.min("src.k").alias("a"), F.max("src.k").alias("b")).select("doc_id", "key", "gram", "whole", "a", "b")
+        .agg(F.min("src.k").alias("a"), F.max("src.k").alias("b")).select("doc_id", "key", "gram", "whole", "a", "b", (F.col("shift") + F.col("a")).alias("at"))
     )
     source = said.select("gram", "whole", F.struct("doc_id", "key", "first").alias("src"), "words")
     phrases = copies.union(shared).join(source, ["gram", "whole"])
-    lists = phrases.groupBy("doc_id", "key").agg(F.collect_list(F.struct("src", "a", "b", "words")).alias("phrases"))
+    lists = phrases.groupBy("doc_id", "key").agg(F.collect_list(F.struct("src", "a", "b", "at", "words")).alias("phrases"))
 
     def run(batches):
         for part, packs in batch_pieces(batches, 2):
@@ -119,14 +122,32 @@ def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> D
     return packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "key", "raw", "phrases").mapInArrow(run, OUT)
 
 
+def joined(own: list[dict], size: int) -> Iterator[tuple[list[str], tuple[int, int, int]]]:
+    """The phrases of one document and their first places; those that stand end to end or overlap, both
+    where they come from and here, are one phrase."""
+    rows = []
+    for p in own:
+        src = p["src"]
+        rows.append((src["doc_id"], src["key"], p["at"] - src["first"] - p["a"], src["first"] + p["a"], p["words"].split(" ")[p["a"] : p["b"] + size]))
+    rows.sort(key=lambda r: r[:4])
+    now, words = None, []
+    for doc, key, shift, first, more in rows:
+        if now and now[:3] == (doc, key, shift) and first <= now[3] + len(words):
+            words += more[now[3] + len(words) - first :]
+            continue
+        if now:
+            yield words, (now[0], now[1], now[3])
+        now, words = (doc, key, shift, first), list(more)
+    if now:
+        yield words, (now[0], now[1], now[3])
+
+
 def compiled(asked: list[list[dict] | None], size: int):
     """An automaton of all phrases of a batch, each with its number of words and first place; None if there are none."""
     automaton, first = ahocorasick.Automaton(), {}
     for own in asked:
-        for p in own or []:
-            words = p["words"].split(" ")[p["a"] : p["b"] + size]
+        for words, place in joined(own or [], size):
             text = f" {' '.join(words)} "
-            place = (p["src"]["doc_id"], p["src"]["key"], p["src"]["first"] + p["a"])
             if text not in first or place < first[text][1]:
                 first[text] = (len(words), place)
     for text, known in first.items():
