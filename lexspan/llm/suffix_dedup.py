@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspan.llm._shared import materialize
-from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, mixed, packed, recurring, summed, unpacked
+from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, mixed, packed, recurring, repeated, summed, unpacked
 
 #: Bytes of the k-grams by which windows are filed.
 GRAM = 40
@@ -74,20 +74,21 @@ def repeated_starts(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, first, last) of windows that stand in more than one place.
 
     Blocks are ranked by the pair of ranks of the halves of what their windows share, and blocks alone are
-    out; the windows of those left are ranked by that and the bytes beside it, those of one block
-    for each distinct string, as its copies are settled together.
+    out; those with the same bytes beside it are settled together. Only where a rank has several
+    kinds of block are the windows ranked, once for each kind.
     """
-    pair, edge = ["gram", "low", "high"], ["left", "right"]
-    often = blocks.groupBy(*pair).count().where("count > 1").select(*pair)
-    left = materialize(blocks.join(often, pair), "blocks")
-    copies = left.groupBy(*pair, *edge).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("rep"))
+    pair, kind = ["gram", "low", "high"], ["low", "kind"]
+    named = F.xxhash64("gram", "high", "left", "right").alias("kind")
+    left = materialize(blocks.join(repeated(blocks, pair), pair).select("*", named), "blocks")
+    copies = materialize(left.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "gram", "high", "left", "right")).alias("rep")), "kinds")
     size = F.octet_length("left") + F.octet_length("right") - (BLOCK - 2)
-    settled = left.join(copies.where("n > 1").select(*pair, *edge), [*pair, *edge]).select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + size - 1).alias("last"))
-    windows = copies.select(*pair, *edge, "rep.*", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
-    own = windows.select(*pair, F.expr("substring(left, k + 1)").alias("before"), F.expr(f"substring(right, 1, {BLOCK - 1} - (octet_length(left) - k))").alias("after"), "doc_id", "key", (F.col("start") + F.col("k")).cast("int").alias("first"))
-    rank = [*pair, "before", "after"]
-    ranks = own.groupBy(*rank).count().where("count > 1").select(*rank)
-    alone = own.join(ranks, rank).select("doc_id", "key", "first", F.col("first").alias("last"))
+    last = (F.col("start") + size - 1).alias("last")
+    settled = left.select(*kind, "doc_id", "key", F.col("start").alias("first"), last).join(copies.where("n > 1").select(*kind), kind).select("doc_id", "key", "first", "last")
+    single = copies.select("low", "rep.*")
+    windows = single.join(repeated(single, pair), pair).select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
+    rank = F.xxhash64("gram", "high", F.expr("substring(left, k + 1)"), F.expr(f"substring(right, 1, {BLOCK - 1} - (octet_length(left) - k))")).alias("rank")
+    own = windows.select("low", rank, "doc_id", "key", (F.col("start") + F.col("k")).cast("int").alias("first"))
+    alone = own.join(repeated(own, ["low", "rank"]), ["low", "rank"]).select("doc_id", "key", "first", F.col("first").alias("last"))
     return settled.union(alone)
 
 
