@@ -63,6 +63,21 @@ def test_near_texts(spark, monkeypatch, leaf, depth):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_large_families(spark):
+    """Each copy is at 0.90 of its family's first text, most copies at 0.81 of one another: one component, however large its nodes."""
+    rng, rows, first = random.Random(5), [], []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(100)]
+        first += [len(rows)] * 3000
+        rows.append((len(rows), " ".join(base)))
+        for k in range(2999):
+            words = list(base)
+            words[rng.randrange(5, 95)] = f"f{family}x{k}"
+            rows.append((len(rows), " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == first
+
+
 def near_rows():
     rng = np.random.default_rng(4)
     rows = []
