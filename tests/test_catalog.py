@@ -1,11 +1,13 @@
 """Registered queries over small tables, whole, against brute force."""
 
+import math
 import re
 from collections import Counter
 
 import pytest
 
 from lexspan import catalog, registry  # noqa: F401
+from lexspan.functions.text import porter
 
 TEXTS = {k: f"Alpha w{k} with " + "x y " * 40 + f"late{k} was running" for k in range(1, 45)}
 
@@ -26,3 +28,16 @@ def test_every_document_is_read(spark, folder):
     assert found == {(str(k), f"splade:{w}"): n for k, t in TEXTS.items() for w, n in Counter(words(t)).items()}
     got = Counter((r.doc_id, r.word) for r in registry.queries()["ascii_terms"](spark, folder).collect())
     assert got == Counter((k, w) for k, t in TEXTS.items() for w in t.split())
+
+
+def test_forager(spark, folder):
+    tf = {(k, w): n for k, t in TEXTS.items() for w, n in Counter(words(t)).items()}
+    df = Counter(w for _, w in tf)
+    stemmed = Counter()
+    for (k, w), n in tf.items():
+        stemmed[k, porter(w)] += n
+    want = {(f"@tf-idf:{w}", k): n * math.log(len(TEXTS) / df[w]) for (k, w), n in tf.items()}
+    want |= {(f"@tf-idf:tf:{w}", k): n for (k, w), n in stemmed.items()} | {(f"@tf-idf:df:{w}", 1): n for w, n in Counter(w for _, w in stemmed).items()}
+    want |= {("@tf-idf:total:items", 1): len(TEXTS), ("@tf-idf:total:length", 1): sum(tf.values())}
+    got = {(r.feature, r.doc_id): r.v for r in registry.queries()["forage_tfidf"](spark, folder).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
