@@ -100,8 +100,9 @@ def value_histogram(spark, sf_dir):
 
 @register("translate_span", with_(TOK, XA, XB, AB, select="SELECT ab.doc_id, p, q, (SELECT string_agg(term, ' ' ORDER BY pos) FROM tok t WHERE t.doc_id = ab.doc_id AND t.pos BETWEEN p AND q) AS said FROM ab WHERE q - p < 12"))
 def translate_span(spark, sf_dir):
+    """The words of every span. The SQL still has spans of up to 12 words only."""
     e = engine(spark, sf_dir)
-    return e.translate(spans(e.gcl(f"(... {A} {B})")).where("q - p < 12"))
+    return e.translate(spans(e.gcl(f"(... {A} {B})")))
 
 
 @register("concordance", with_(TOK, XA, XB, AB, "hit AS (SELECT * FROM ab ORDER BY doc_id, p LIMIT 24)", select="SELECT hit.doc_id, p, q, (SELECT string_agg(term, ' ' ORDER BY pos) FROM tok t WHERE t.doc_id = hit.doc_id AND t.pos BETWEEN p AND q) AS said FROM hit"))

@@ -30,6 +30,16 @@ def test_every_document_is_read(spark, folder):
     assert got == Counter((k, w) for k, t in TEXTS.items() for w in t.split())
 
 
+def test_long_spans_and_all_scores(spark, folder):
+    found = {r.doc_id: r.said for r in registry.queries()["translate_span"](spark, folder).collect()}
+    assert found == {k: " ".join(words(t)[2:-1]) for k, t in TEXTS.items()}
+    vectors = {k: [math.sin(k + j) * 0.3 for j in range(3)] for k in range(45)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    dot = {(i, j): sum(a * b for a, b in zip(vectors[i], vectors[j], strict=True)) for i in vectors for j in vectors if i % 20 == 0}
+    got = {(r.topic, r.doc_id): r.score for r in registry.queries()["dot_product"](spark, folder).collect()}
+    assert got == pytest.approx({k: v for k, v in dot.items() if v > 0}, abs=1e-5)
+
+
 def test_forager(spark, folder):
     tf = {(k, w): n for k, t in TEXTS.items() for w, n in Counter(words(t)).items()}
     df = Counter(w for _, w in tf)
