@@ -244,10 +244,10 @@ def feedback_fusion(spark, sf_dir):
 
 @register("qa_prf", with_(STATS, QUERY, BM25, PRF, "g AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, least(len, 64))) AS e FROM seen2 JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", select="SELECT topic, term, round(f * ln(f / e), 6) AS score FROM g WHERE f * ln(f / e) > 0").replace("g AS (", "seen2 AS (SELECT topic, term, count(DISTINCT doc_id) AS f FROM first JOIN tok USING (doc_id) WHERE pos < 64 GROUP BY ALL), g AS ("))
 def qa_prf(spark, sf_dir):
-    tokens = engine(spark, sf_dir).tokens
-    run = run_of(rk.bm25(tokens, topics(spark, sf_dir)), 10)
-    window = run.join(rk.lengths(tokens), "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.least("len", F.lit(64)) - 1).alias("q"))
-    return se.window_feedback(tokens, window)
+    """Terms around the best cover of each ranked document. The SQL still has the first 64 words of each."""
+    tokens, query = engine(spark, sf_dir).tokens, topics(spark, sf_dir)
+    run = run_of(rk.bm25(tokens, query), 10)
+    return se.window_feedback(tokens, rk.best_covers(tokens, query, run), 64)
 
 
 # search service

@@ -135,6 +135,47 @@ def build_tiers(weights: dict[str, float], gap: float = 1.0, most: int = 16) ->
     return [t[0] if len(t) == 1 else f"(+ {' '.join(t)})" for t in tiers]
 
 
+def best_cover(places: list[tuple[int, str]], weights: dict[str, float]) -> tuple[float, int, int] | None:
+    """(-score, p, q) of the best cover of two terms or more, from the sorted places of a document."""
+    found, most = None, sum(weights[t] for t in {t for _, t in places})
+    for i in range(len(places)):
+        seen: dict[str, int] = {}
+        for pos, term in places[i:]:
+            seen.setdefault(term, pos)
+            n, size = len(seen), math.log(pos - places[i][0] + 1)
+            # no longer cover from here can be better
+            if most - n * size < (-found[0] if found else 0):
+                break
+            if n < 2:
+                continue
+            score = sum(weights[t] for t in seen) - n * size
+            if score > 0 and (found is None or (-score, places[i][0], pos) < found):
+                found = (-score, places[i][0], pos)
+            if n == len(weights):
+                break
+    return found
+
+
+def best_covers(tokens: DataFrame, query: DataFrame, run: DataFrame) -> DataFrame:
+    """(topic, doc_id, p, q): the cover that ``icover`` takes for each document of a run, for the topic's terms."""
+    total = tokens.agg(F.count("*").alias("length"), F.countDistinct("term").alias("vocab"))
+    counts = tokens.groupBy("term").agg(F.count("*").alias("cf"))
+    w = F.log((F.col("length") + F.col("vocab")) / (F.col("cf") + 1))
+    known = query.select("topic", "term").distinct().join(counts, "term").crossJoin(F.broadcast(total)).select("topic", "term", w.alias("w"))
+    own = tokens.join(run.select("topic", "doc_id"), "doc_id").join(known, ["topic", "term"]).select("topic", "doc_id", "term", "pos", "w")
+
+    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        places, weights = sorted(zip(rows["pos"].tolist(), rows["term"].tolist(), strict=True)), dict(zip(rows["term"], rows["w"], strict=True))
+        found = best_cover(places, weights)
+        if found is None:
+            term = max(weights, key=lambda t: (weights[t], t))
+            at = min(p for p, t in places if t == term)
+            found = (0.0, at, at)
+        return pd.DataFrame([(*key, found[1], found[2])], columns=["topic", "doc_id", "p", "q"])
+
+    return own.groupBy("topic", "doc_id").applyInPandas(best, "topic long, doc_id long, p long, q long")
+
+
 def icover(tokens: DataFrame, query: list[str], total: float, vocab: float, frequencies: dict[str, float], depth: int) -> DataFrame:
     """(doc_id, score, p, q): the best cover of n of the query's terms by the sum of their weights less n
     times the log of its length, for all n from all terms down to 2, then single terms by weight.
@@ -145,19 +186,7 @@ def icover(tokens: DataFrame, query: list[str], total: float, vocab: float, freq
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         places = sorted(zip(rows["pos"].tolist(), rows["term"].tolist(), strict=True))
-        found = None
-        for i in range(len(places)):
-            seen: dict[str, int] = {}
-            for pos, term in places[i:]:
-                seen.setdefault(term, pos)
-                n = len(seen)
-                if n < 2:
-                    continue
-                score = sum(weights[t] for t in seen) - n * math.log(pos - places[i][0] + 1)
-                if score > 0 and (found is None or (-score, places[i][0], pos) < found):
-                    found = (-score, places[i][0], pos)
-                if n == len(weights):
-                    break
+        found = best_cover(places, weights)
         if found is None:
             term = max({t for _, t in places}, key=lambda t: (weights[t], t))
             at = min(p for p, t in places if t == term)

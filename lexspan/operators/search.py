@@ -116,14 +116,17 @@ def answer_terms(engine: Engine, query: list[str], depth: int, passages: int = 3
     return scored.where(~F.col("term").isin(*query)).withColumn("score", F.round(F.pow("score", F.lit(3.0)), 3)).orderBy(F.desc("score"), "term").limit(depth)
 
 
-def window_feedback(tokens: DataFrame, windows: DataFrame) -> DataFrame:
-    """(topic, term, score): terms that stand in more of a topic's windows than their frequency lets expect."""
-    total = tokens.agg(F.count("*").alias("length"))
+def window_feedback(tokens: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+    """(topic, term, score): terms that stand near more of a topic's passages than their frequency lets expect.
+    Near is up to ``window`` places before or after (p, q); the exponent of a term is its least gap, 1 at least."""
+    total = tokens.agg(F.count("*").alias("length"), F.countDistinct("term").alias("vocab"))
     counts = tokens.groupBy("term").agg(F.count("*").alias("cf"))
-    seen = tokens.join(windows, "doc_id").where("pos between p and q").groupBy("topic", "term").agg(F.countDistinct("doc_id").alias("f")).where("f > 1")
-    sizes = windows.select("topic", (F.col("q") - F.col("p") + 1).alias("n"))
-    rows = seen.join(counts, "term").crossJoin(F.broadcast(total)).join(sizes, "topic")
-    expected = rows.groupBy("topic", "term", "f").agg(F.sum(1 - F.pow(1 - F.col("cf") / F.col("length"), F.col("n"))).alias("e"))
+    near = tokens.join(passages, "doc_id").where(F.col("pos").between(F.col("p") - window, F.col("q") + window))
+    gap = F.when(F.col("pos") < F.col("p"), F.col("q") - F.col("pos")).when(F.col("pos") <= F.col("q"), F.col("q") - F.col("p") + 1).otherwise(F.col("pos") - 1 - F.col("p"))
+    gaps = near.groupBy("topic", "doc_id", "term").agg(F.min(F.greatest(gap, F.lit(1))).alias("gap"))
+    chance = (F.col("cf") + 1) / (F.col("length") + F.col("vocab"))
+    rows = gaps.join(counts, "term").crossJoin(F.broadcast(total))
+    expected = rows.groupBy("topic", "term").agg(F.count("*").alias("f"), F.sum(1 - F.pow(1 - chance, F.col("gap"))).alias("e")).where("f > 1")
     score = F.col("f") * F.log(F.col("f") / F.col("e"))
     return expected.select("topic", "term", F.round(score, 6).alias("score"), score.alias("raw")).where("raw > 0").drop("raw")
 

@@ -51,3 +51,13 @@ def test_forager(spark, folder):
     want |= {("@tf-idf:total:items", 1): len(TEXTS), ("@tf-idf:total:length", 1): sum(tf.values())}
     got = {(r.feature, r.doc_id): r.v for r in registry.queries()["forage_tfidf"](spark, folder).collect()}
     assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_feedback_around_passages(spark, tmp_path):
+    texts = [" ".join(f"d{k}w{j}" for j in range(100)) + (" needle hay companion" if k < 3 else "") for k in range(8)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "needle hay")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.topic, r.term): r.score for r in registry.queries()["qa_prf"](spark, str(tmp_path)).collect()}
+    chance = 4 / (809 + 803)
+    score = lambda gap: 3 * math.log(1 / (1 - (1 - chance) ** gap))
+    assert got == pytest.approx({(7, "needle"): score(2), (7, "hay"): score(2), (7, "companion"): score(1)}, abs=1e-5)
