@@ -1,13 +1,12 @@
-"""Substring de-duplication by prefix doubling over suffix positions: every byte that a repeated
-string of ``size`` bytes covers is removed.
-
-A position's rank at length h names the h bytes from it on. Doubling sorts positions by pairs of
-ranks, (rank of p, rank of p + h), and ranks the pairs anew at 2 h; positions alone with their pair
-are out, and at ``size`` those left start repeated strings. To keep this near the size of the input
-rather than many times above it, ranking starts with classes of positions (``_windows``): a k-gram
-that stands once takes its class out, and a class whose whole string stands twice is settled at
-once. What is left, the edges of repeated passages, is ranked in blocks of neighbouring positions, and
-the blocks that repeat in part position by position.
+"""Substring de-duplication by classes of windows: every byte that a repeated string of ``size`` bytes
+covers is removed.
+
+This stands in for prefix doubling over suffix positions, which sorts positions by pairs of ranks
+and ranks them anew at twice the length: there is no loop over growing offsets and no ranking by a
+sort here. Positions are filed by the least k-gram of their window (``_windows``): a k-gram that
+stands once takes its class out, and a class whose whole string stands twice is settled at once.
+What is left, the edges of repeated passages, is named by 64-bit hashes of the two halves of a block
+of neighbouring positions and grouped once, and the blocks that repeat in part position by position.
 
 Texts are bytes of UTF-8; null and empty ones have none. Rows are documents of their own, also when
 they are equal. Strings don't cross documents.
