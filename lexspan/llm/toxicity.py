@@ -5,7 +5,7 @@ of its document frequency in toxic against other training documents, with an inf
 prior in proportion to its overall frequency; a word takes the score of its most telling token. Words
 without a significant ratio, and unseen ones, count against a passage. One linear pass over the scores of a
 document finds all maximal-scoring segments. Chance segments of a text of n tokens follow an
-extreme-value law: with K and lambda of the scores under clean text, K n exp(-lambda S) of them are
+extreme-value law: with lambda of the scores under clean text and an assumed K of 0.1, K n exp(-lambda S) of them are
 expected to reach S. Segments below a level of significance are toxic passages; the evidence of a
 document is the sum over its passages of lambda S - ln(K n), and a logistic fit on rows set aside
 turns it into a probability.
