@@ -26,6 +26,7 @@ def spans(rows: DataFrame) -> DataFrame:
 
 TOK = """tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t)))::BIGINT AS pos
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))"""
+WORDS = "said AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)"
 TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"
 DF = "df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY ALL)"
 LEN = "dl AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY ALL)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspan.catalog._tables import BOTH, QUERY, THEN, TOK, A, B, C, D, engine, reduced, spans, table, term_list, with_
+from lexspan.catalog._tables import BOTH, QUERY, THEN, TOK, WORDS, A, B, C, D, engine, reduced, spans, table, term_list, with_
 from lexspan.operators import intervals as iv
 from lexspan.plans.gcl import Infix, leaves, parse
 from lexspan.registry import register
@@ -32,10 +32,11 @@ for _name, _op, _sql in (
 gcl("gcl_window", f"(>> (# 5) (... {A} {B}))", with_(TOK, XA, XB, AB, select="SELECT DISTINCT doc_id, unnest(range(q - 4, p + 1)) AS p, p + 4 AS q FROM (SELECT * FROM ab WHERE q - p + 1 <= 5)").replace("SELECT DISTINCT doc_id, unnest(range(q - 4, p + 1)) AS p, p + 4 AS q FROM", "SELECT DISTINCT doc_id, s AS p, s + 4 AS q FROM (SELECT doc_id, unnest(range(q - 4, p + 1)) AS s FROM") + ")")
 gcl("gcl_window_filter", f"(<< (^ {A} {B}) (# 10))", with_(TOK, XA, XB, f"ab AS ({reduced(BOTH.format('a', 'b'))})", select="SELECT doc_id, p, q FROM ab WHERE q - p + 1 <= 10"))
 gcl("gcl_window_both", f"(^ (# 8) (... {A} {B}))", with_(TOK, XA, XB, AB, f"win AS ({'SELECT DISTINCT doc_id, s AS p, s + 7 AS q FROM (SELECT doc_id, unnest(range(q - 7, p + 1)) AS s FROM ab WHERE q - p + 1 <= 8)'} UNION ALL SELECT doc_id, p, q FROM ab WHERE q - p + 1 >= 8)", select=reduced("SELECT * FROM win")))
-gcl("gcl_phrase", f'"{D} the"', with_(TOK, select=f"SELECT x.doc_id, x.pos AS p, y.pos AS q FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = '{D}' AND y.term = 'the'"))
+PAIR = f"ph AS (SELECT doc_id, pos AS p, pos + 1 AS q FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM tok) WHERE term = '{D}' AND after = 'the')"
+gcl("gcl_phrase", f'"{D} the"', with_(TOK, PAIR, select="SELECT doc_id, p, q FROM ph"))
 gcl("gcl_nary", f"(... {A} {B} {C})", with_(TOK, XA, XB, XC, AB, select=reduced(THEN.format("ab", "c"))))
 gcl("gcl_materialize", f"(^ (% (... {A} {B})) {C})", with_(TOK, XA, XB, XC, AB, select=reduced(BOTH.format("ab", "c"))))
-gcl("gcl_phrase_in_facet", f'(^ (+ {A} "{D} the") {B})', with_(TOK, XA, XB, f"ph AS (SELECT x.doc_id, x.pos AS p, y.pos AS q FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = '{D}' AND y.term = 'the')", f"f AS ({reduced('SELECT doc_id, p, q FROM a UNION ALL SELECT doc_id, p, q FROM ph')})", select=reduced(BOTH.format("f", "b"))))
+gcl("gcl_phrase_in_facet", f'(^ (+ {A} "{D} the") {B})', with_(TOK, XA, XB, PAIR, f"f AS ({reduced('SELECT doc_id, p, q FROM a UNION ALL SELECT doc_id, p, q FROM ph')})", select=reduced(BOTH.format("f", "b"))))
 
 
 @register("gcl_infix", with_(TOK, XA, XB, XC, f"ab AS ({reduced(BOTH.format('a', 'b'))})", select="SELECT doc_id, p, q FROM ab x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND x.p <= c.p AND c.q <= x.q)"))
@@ -74,7 +75,9 @@ def gc_reduce(spark, sf_dir):
 
 @register("term_df", with_(TOK, select="SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY term"))
 def term_df(spark, sf_dir):
-    return engine(spark, sf_dir).tokens.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+    from lexspan.operators import ranking as rk
+
+    return rk.document_frequencies(rk.term_frequencies(engine(spark, sf_dir).tokens)).select("term", F.col("cf").alias("n"), "df")
 
 
 @register("vocab_size", with_(TOK, select="SELECT count(DISTINCT term) AS vocab FROM tok"))
@@ -98,9 +101,9 @@ def value_histogram(spark, sf_dir):
     return items.select(F.explode(F.array("l_quantity", "l_discount")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
 
 
-@register("translate_span", with_(TOK, XA, XB, AB, select="SELECT ab.doc_id, p, q, (SELECT string_agg(term, ' ' ORDER BY pos) FROM tok t WHERE t.doc_id = ab.doc_id AND t.pos BETWEEN p AND q) AS said FROM ab WHERE q - p < 12"))
+@register("translate_span", with_(TOK, XA, XB, AB, WORDS, select="SELECT doc_id, p, q, array_to_string(t[p + 1 : q + 1], ' ') AS said FROM ab JOIN said USING (doc_id)"))
 def translate_span(spark, sf_dir):
-    """The words of every span. The SQL still has spans of up to 12 words only."""
+    """The words of every span."""
     e = engine(spark, sf_dir)
     return e.translate(spans(e.gcl(f"(... {A} {B})")))
 

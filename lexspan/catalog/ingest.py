@@ -70,9 +70,9 @@ def load_c4_like(spark, sf_dir):
     return rows.select(F.col("docno").alias("url"), F.size(tx.ascii_words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@register("sparse_annotate", with_(TOK, select="SELECT doc_id::VARCHAR AS docid, concat('splade:', term) AS feature, count(*) AS v FROM tok WHERE doc_id % 10 = 3 AND pos < 50 GROUP BY ALL"))
+@register("sparse_annotate", with_(TOK, select="SELECT doc_id::VARCHAR AS docid, concat('splade:', term) AS feature, count(*) AS v FROM tok GROUP BY ALL"))
 def sparse_annotate(spark, sf_dir):
-    """Vectors of all words of all documents, written as JSON lines and read as annotations. The SQL still has a part of them only."""
+    """Vectors of all words of all documents, written as JSON lines and read as annotations."""
     counts = engine(spark, sf_dir).tokens.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     lines = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("splade_vector")).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("docid"), "splade_vector")).alias("value"))
     return src.sparse_vectors(lines)
@@ -119,8 +119,8 @@ def query_lines(spark, sf_dir):
     return src.query_lines(rows.select(F.concat_ws("\t", F.col("item_id").cast("string"), "text").alias("value")))
 
 
-@register("ascii_terms", f"SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}+')) AS word FROM documents WHERE doc_id % 20 = 1")
+@register("ascii_terms", f"SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}+')) AS word FROM documents")
 def ascii_terms(spark, sf_dir):
-    """The words of all documents. The SQL still has a part of them only."""
+    """The words of all documents."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(tx.ascii_words(F.col("text"))).alias("word"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.catalog._tables import BOTH, DF, LEN, QUERY, RSJ, STATS, TF, THEN, TOK, TOTAL, A, B, C, D, engine, reduced, table, term_list, with_
+from lexspan.catalog._tables import BOTH, DF, LEN, QUERY, RSJ, STATS, TF, THEN, TOK, TOTAL, WORDS, A, B, C, D, engine, reduced, table, term_list, with_
 from lexspan.operators import ranking as rk
 from lexspan.operators import search as se
 from lexspan.plans.gcl import any_of_words, compile_program
@@ -48,15 +48,17 @@ def tf_annotations(spark, sf_dir):
 
 @register("idf_rsj", with_(STATS, select=f"SELECT term, round(greatest(0, ln(items / df)), 6) AS idf, round({RSJ}, 6) AS rsj, round(avgl, 6) AS avgl FROM df, total"))
 def idf_rsj(spark, sf_dir):
-    tokens = engine(spark, sf_dir).tokens
-    df = rk.document_frequencies(rk.term_frequencies(tokens)).crossJoin(F.broadcast(rk.totals(tokens)))
+    e = engine(spark, sf_dir)
+    df = rk.document_frequencies(rk.term_frequencies(e.tokens)).crossJoin(F.broadcast(rk.sums(e.lengths())))
     return df.select("term", F.round(rk.idf(F.col("items"), F.col("df")), 6).alias("idf"), F.round(rk.rsj(F.col("items"), F.col("df")), 6).alias("rsj"), F.round("avgl", 6).alias("avgl"))
 
 
 @register("rsj_weights", with_(STATS, QUERY, select=f"SELECT topic, term, weight, round({RSJ}, 6) AS rsj FROM topic_terms JOIN df USING (term), total WHERE {RSJ} > 0"))
 def rsj_weights(spark, sf_dir):
-    tokens = engine(spark, sf_dir).tokens
-    found = rk.weighted_terms(topics(spark, sf_dir), rk.term_frequencies(tokens), rk.totals(tokens))
+    e = engine(spark, sf_dir)
+    tokens = e.tokens
+    query = topics(spark, sf_dir)
+    found = rk.weighted_terms(query, rk.term_frequencies(rk.matching(tokens, query)), rk.sums(e.lengths()))
     return found.select("topic", "term", "weight", F.round("rsj", 6).alias("rsj"))
 
 
@@ -102,18 +104,21 @@ def run_of(scores: DataFrame, depth: int) -> DataFrame:
 
 @register("batch_bm25", with_(STATS, QUERY, BM25, select=RANKED.format("b25", 10)))
 def batch_bm25(spark, sf_dir):
-    return run_of(rk.bm25(engine(spark, sf_dir).tokens, topics(spark, sf_dir)), 10)
+    e = engine(spark, sf_dir)
+    return run_of(rk.bm25(e.tokens, topics(spark, sf_dir), length=e.lengths()), 10)
 
 
 @register("bm25", with_(STATS, f"topic_terms AS (SELECT 0 AS topic, unnest(['{A}', '{B}', '{C}']) AS term, 1.0 AS weight)", BM25, select="SELECT doc_id, score FROM b25 ORDER BY score DESC, doc_id LIMIT 20"))
 def bm25(spark, sf_dir):
     query = spark.createDataFrame([(0, t, 1.0) for t in (A, B, C)], "topic long, term string, weight double")
-    return rk.top(rk.bm25(engine(spark, sf_dir).tokens, query).drop("topic"), 20)
+    e = engine(spark, sf_dir)
+    return rk.top(rk.bm25(e.tokens, query, length=e.lengths()).drop("topic"), 20)
 
 
 @register("lmd", with_(STATS, QUERY, "lm AS (SELECT topic, doc_id, round(sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))), 6) AS score FROM tf JOIN df USING (term) JOIN topic_terms USING (term) JOIN dl USING (doc_id), total GROUP BY topic, doc_id HAVING sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))) > 0)", select=RANKED.format("lm", 10)))
 def lmd(spark, sf_dir):
-    return run_of(rk.lmd(engine(spark, sf_dir).tokens, topics(spark, sf_dir)), 10)
+    e = engine(spark, sf_dir)
+    return run_of(rk.lmd(e.tokens, topics(spark, sf_dir), length=e.lengths()), 10)
 
 
 @register("ssr", with_(TOK, XA, XB, COVER, DENSITY, select="SELECT d.doc_id, round(d.score, 6) AS score, b.p, b.q FROM dens d JOIN (SELECT doc_id, arg_min(p, (q - p) * 1000000 + p) AS p, arg_min(q, (q - p) * 1000000 + p) AS q FROM cover GROUP BY doc_id) b USING (doc_id) ORDER BY score DESC, d.doc_id LIMIT 10"))
@@ -127,11 +132,11 @@ def cover_rank(spark, sf_dir):
 
 
 @register("dot_product", """WITH v AS (SELECT vec_id AS doc_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS f FROM embeddings),
-q AS (SELECT doc_id AS topic, f, x FROM v WHERE doc_id < 5),
-s AS (SELECT topic, v.doc_id, round(sum(q.x * v.x), 5) AS score FROM v JOIN q USING (f) GROUP BY ALL HAVING sum(q.x * v.x) > 0.2)
+q AS (SELECT doc_id AS topic, f, x FROM v WHERE doc_id % 20 = 0),
+s AS (SELECT topic, v.doc_id, round(sum(q.x * v.x), 5) AS score FROM v JOIN q USING (f) GROUP BY ALL HAVING sum(q.x * v.x) > 0)
 SELECT topic, doc_id, score FROM s""")
 def dot_product(spark, sf_dir):
-    """Every twentieth vector as a query, all scores above 0. The SQL still has five queries and scores above 0.2."""
+    """Every twentieth vector as a query, all scores above 0."""
     values = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("term", "value")).withColumn("value", F.col("value").cast("double"))
     query = values.where("doc_id % 20 = 0").select(F.col("doc_id").alias("topic"), "term", F.col("value").alias("weight"))
     return rk.dot_product(values, query).withColumn("score", F.round("score", 5))
@@ -139,8 +144,8 @@ def dot_product(spark, sf_dir):
 
 @register("rrf_fusion", with_(STATS, QUERY, BM25, "lm AS (SELECT topic, doc_id, round(sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))), 6) AS score FROM tf JOIN df USING (term) JOIN topic_terms USING (term) JOIN dl USING (doc_id), total GROUP BY topic, doc_id HAVING sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))) > 0)", f"runs AS ({RANKED.format('b25', 20)} UNION ALL {RANKED.format('lm', 20)})", select="SELECT topic, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM runs GROUP BY topic, doc_id"))
 def rrf_fusion(spark, sf_dir):
-    tokens, query = engine(spark, sf_dir).tokens, topics(spark, sf_dir)
-    runs = run_of(rk.bm25(tokens, query), 20).unionByName(run_of(rk.lmd(tokens, query), 20))
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    runs = run_of(rk.bm25(e.tokens, query, length=e.lengths()), 20).unionByName(run_of(rk.lmd(e.tokens, query, length=e.lengths()), 20))
     return rk.reciprocal_rank_fusion(runs).withColumn("score", F.round("score", 6))
 
 
@@ -150,7 +155,15 @@ def multishard_merge(spark, sf_dir):
     return rk.merged(*[rk.top(density.where(F.col("doc_id") % 2 == i), 10) for i in (0, 1)], depth=10)
 
 
-@register("icover")
+COVERS = f"""want AS (SELECT term, ln((length + vocab) / (cf + 1)) AS w FROM df, total WHERE term IN ('{A}', '{B}', '{C}')),
+spot AS (SELECT doc_id, term, pos FROM tok WHERE term IN ('{A}', '{B}', '{C}')),
+next_of AS (SELECT s.doc_id, s.pos AS p, w.term, w.w, min(CASE WHEN s.term = w.term THEN s.pos END) OVER (PARTITION BY s.doc_id, w.term ORDER BY s.pos DESC) AS ahead FROM spot s, want w),
+nth AS (SELECT doc_id, p, ahead AS q, row_number() OVER o AS n, sum(w) OVER o AS w FROM next_of WHERE ahead IS NOT NULL WINDOW o AS (PARTITION BY doc_id, p ORDER BY ahead ROWS UNBOUNDED PRECEDING)),
+scored AS (SELECT doc_id, p, q, n, round(w - CASE n WHEN 1 THEN 0 ELSE n * ln(q - p + 1) END, 9) AS score FROM nth),
+best AS (SELECT doc_id, score, p, q FROM scored WHERE score > 0 OR n = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, q) = 1)"""
+
+
+@register("icover", with_(STATS, COVERS, select="SELECT doc_id, round(score, 6) AS score, p, q FROM best ORDER BY 2 DESC, 1 LIMIT 20"))
 def icover(spark, sf_dir):
     e = engine(spark, sf_dir)
     terms = [A, B, C]
@@ -169,7 +182,11 @@ def tiers(spark, sf_dir) -> list[str]:
     return rk.build_tiers({t: math.log((total["length"] + total["vocab"]) / (n + 1)) for t, n in counts.items()})
 
 
-@register("build_tiers")
+@register("build_tiers", with_(STATS, f"w AS (SELECT term, ln((length + vocab) / (cf + 1)) AS w, row_number() OVER (ORDER BY w DESC, term) - 1 AS k FROM df, total WHERE term IN ('{A}', '{B}', '{C}'))",
+    "subset AS (SELECT m, sum(w) AS w, list(term ORDER BY k) AS c FROM range(1, 8) r(m), w WHERE (m >> k) & 1 = 1 GROUP BY m)",
+    "step AS (SELECT row_number() OVER (ORDER BY w DESC, c) AS n, w, CASE len(c) WHEN 1 THEN concat('(... ', c[1], ' ', c[1], ')') ELSE concat('(^ ', array_to_string(c, ' '), ')') END AS x FROM subset)",
+    "walk AS (SELECT n, x, 0::BIGINT AS tier, w AS last FROM step WHERE n = 1 UNION ALL SELECT s.n, s.x, CASE WHEN last - s.w >= 1 THEN tier + 1 ELSE tier END, CASE WHEN last - s.w >= 1 THEN s.w ELSE last END FROM walk JOIN step s ON s.n = walk.n + 1)",
+    select="SELECT tier, CASE count(*) WHEN 1 THEN any_value(x) ELSE concat('(+ ', string_agg(x, ' ' ORDER BY n), ')') END AS expression FROM walk GROUP BY tier").replace("WITH ", "WITH RECURSIVE ", 1))
 def build_tiers(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(tiers(spark, sf_dir))), "tier long, expression string")
 
@@ -209,19 +226,19 @@ seen AS (SELECT topic, term, count(DISTINCT doc_id) AS f FROM first JOIN tf USIN
 
 @register("rsj_prf", with_(STATS, QUERY, BM25, PRF, f"r AS (SELECT topic, term, round(f * {RSJ}, 9) AS score FROM seen JOIN df USING (term), total WHERE f * {RSJ} > 0)", select="SELECT topic, term, round(0.2 * score / best, 6) AS weight FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS best, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM r) WHERE rank <= 25"))
 def rsj_prf(spark, sf_dir):
-    tokens = engine(spark, sf_dir).tokens
-    return _feedback(spark, sf_dir, tokens, 25, "rsj", 0.2).withColumn("weight", F.round("weight", 6))
+    return _feedback(spark, sf_dir, engine(spark, sf_dir), 25, "rsj", 0.2).withColumn("weight", F.round("weight", 6))
 
 
-def _feedback(spark, sf_dir, tokens, expansions, score, gamma):
-    run = run_of(rk.bm25(tokens, topics(spark, sf_dir)), 10)
-    whole = run.join(rk.lengths(tokens), "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.col("len") - 1).alias("q"))
+def _feedback(spark, sf_dir, e, expansions, score, gamma):
+    tokens = e.tokens
+    run = run_of(rk.bm25(tokens, topics(spark, sf_dir), length=e.lengths()), 10)
+    whole = run.join(e.lengths(), "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.col("len") - 1).alias("q"))
     return rk.feedback(tokens, whole, expansions, score, gamma)
 
 
 @register("kld_prf", with_(STATS, QUERY, BM25, PRF, "e AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, len)) AS e FROM seen JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", "r AS (SELECT topic, term, round(f * ln(f / e), 9) AS score FROM e WHERE f * ln(f / e) > 0)", select="SELECT topic, term, round(score / best / 3, 6) AS weight FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS best, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM r) WHERE rank <= 8"))
 def kld_prf(spark, sf_dir):
-    return _feedback(spark, sf_dir, engine(spark, sf_dir).tokens, 8, "kld", 1 / 3).withColumn("weight", F.round("weight", 6))
+    return _feedback(spark, sf_dir, engine(spark, sf_dir), 8, "kld", 1 / 3).withColumn("weight", F.round("weight", 6))
 
 
 @register("pipeline_bm25_rsj")
@@ -236,23 +253,23 @@ def stopword_query(spark, sf_dir):
 
 @register("feedback_fusion", with_(STATS, QUERY, BM25, PRF, "e AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, len)) AS e FROM seen JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", "r AS (SELECT topic, term, round(f * ln(f / e), 9) AS score FROM e WHERE f * ln(f / e) > 0)", "more AS (SELECT topic, term, score / best / 3 AS weight FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS best, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM r) WHERE rank <= 8)", "q2 AS (SELECT topic, term, sum(weight) AS weight FROM (SELECT * FROM topic_terms UNION ALL SELECT * FROM more) GROUP BY ALL)", BM25.replace("b25 AS", "b26 AS").replace("topic_terms", "q2"), f"runs AS ({RANKED.format('b25', 20)} UNION ALL {RANKED.format('b26', 20)})", select="SELECT topic, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM runs GROUP BY topic, doc_id"))
 def feedback_fusion(spark, sf_dir):
-    tokens, query = engine(spark, sf_dir).tokens, topics(spark, sf_dir)
-    wider = rk.expanded(query, _feedback(spark, sf_dir, tokens, 8, "kld", 1 / 3))
-    runs = run_of(rk.bm25(tokens, query), 20).unionByName(run_of(rk.bm25(tokens, wider), 20))
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    wider = rk.expanded(query, _feedback(spark, sf_dir, e, 8, "kld", 1 / 3))
+    runs = run_of(rk.bm25(e.tokens, query, length=e.lengths()), 20).unionByName(run_of(rk.bm25(e.tokens, wider, length=e.lengths()), 20))
     return rk.reciprocal_rank_fusion(runs).withColumn("score", F.round("score", 6))
 
 
-@register("qa_prf", with_(STATS, QUERY, BM25, PRF, "g AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, least(len, 64))) AS e FROM seen2 JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", select="SELECT topic, term, round(f * ln(f / e), 6) AS score FROM g WHERE f * ln(f / e) > 0").replace("g AS (", "seen2 AS (SELECT topic, term, count(DISTINCT doc_id) AS f FROM first JOIN tok USING (doc_id) WHERE pos < 64 GROUP BY ALL), g AS ("))
+@register("qa_prf")
 def qa_prf(spark, sf_dir):
-    """Terms around the best cover of each ranked document. The SQL still has the first 64 words of each."""
-    tokens, query = engine(spark, sf_dir).tokens, topics(spark, sf_dir)
-    run = run_of(rk.bm25(tokens, query), 10)
+    """Terms around the best cover of each ranked document."""
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    tokens, run = e.tokens, run_of(rk.bm25(e.tokens, query, length=e.lengths()), 10)
     return se.window_feedback(tokens, rk.best_covers(tokens, query, run), 64)
 
 
 # search service
 
-@register("search_text")
+@register("search_text", with_(STATS, COVERS, select="SELECT doc_id, round(score, 6) AS score, p, q FROM best ORDER BY 2 DESC, 1 LIMIT 10"))
 def search_text(spark, sf_dir):
     return se.search_text(engine(spark, sf_dir), f"{A} {B} {C}", 10)
 
@@ -273,7 +290,7 @@ def cover_summary(spark, sf_dir):
     return se.summaries(engine(spark, sf_dir), f"(^ {A} {B})", 10)
 
 
-@register("highlight_snippet")
+@register("highlight_snippet", with_(TOK, XA, XB, f"cover AS ({reduced(THEN.format('a', 'b'))})", "top AS (SELECT doc_id, round(sum(1 / (42 + q - p)), 6) AS score, min({'n': q - p, 'p': p, 'q': q}) AS s FROM cover GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 10)", WORDS, select="""SELECT doc_id, score, concat(array_to_string(t[greatest(s.p - 10, 0) + 1 : s.p], ' '), ' <cover>', array_to_string(t[s.p + 1 : s.q + 1], ' '), '</cover> ', array_to_string(t[s.q + 2 : s.q + 11], ' ')) AS snippet FROM top JOIN said USING (doc_id)"""))
 def highlight_snippet(spark, sf_dir):
     return se.highlighted(engine(spark, sf_dir), f"(... {A} {B})", 10)
 
@@ -283,7 +300,7 @@ def get_document(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("doc_id").isin(3, 5, 8)).select("doc_id", "text")
 
 
-@register("qap")
+@register("qap", with_(STATS, COVERS, "pass AS (SELECT doc_id, p, q FROM best ORDER BY round(score, 6) DESC, doc_id LIMIT 32)", f"near AS (SELECT tok.doc_id, term, greatest(p - pos, pos - q, 0) AS gap FROM tok JOIN pass USING (doc_id) WHERE pos BETWEEN p - 64 AND q + 64 AND term NOT IN ('{A}', '{B}', '{C}'))", select="SELECT term, round(pow(sum(greatest(ln((length + vocab) / (cf * (gap + 1))), 0)), 3), 3) AS score, count(DISTINCT doc_id) AS docs FROM near JOIN df USING (term), total GROUP BY term ORDER BY 2 DESC, 1 LIMIT 10"))
 def qap(spark, sf_dir):
     return se.answer_terms(engine(spark, sf_dir), [A, B, C], 10)
 

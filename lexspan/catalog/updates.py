@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.catalog._tables import DF, TF, TOK, A, B, table, with_
@@ -98,24 +98,36 @@ def incremental_stats(spark, sf_dir):
     return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-@register("forage_tfidf", with_(TOK, TF, DF, select="SELECT concat('@tf-idf:', term) AS feature, doc_id, round(tf * ln((SELECT count(DISTINCT doc_id) FROM tok) / df), 6) AS v FROM tf JOIN df USING (term) WHERE df BETWEEN 2 AND 20"))
+@register("forage_tfidf", with_(TOK, TF, DF, select="SELECT concat('@tf-idf:', term) AS feature, doc_id, round(tf * ln((SELECT count(DISTINCT doc_id) FROM tok) / df), 6) AS v FROM tf JOIN df USING (term)"))
 def forage_tfidf(spark, sf_dir):
-    """tf-idf weights of all terms, and the forager's tf and df of all stems and its totals, as annotations; df and
-    totals stand at the first document. The SQL still has the weights of terms in 2 to 20 documents only."""
-    from lexspan.functions.text import stems, tokens
+    """tf-idf weights of all terms as annotations."""
+    from lexspan.functions.text import tokens
 
     rows = tokens(documents(spark, sf_dir))
-    tf, total = rk.term_frequencies(rows), F.broadcast(rk.totals(rows).select("items", "length"))
-    df = rk.document_frequencies(tf).crossJoin(total)
+    tf = rk.term_frequencies(rows)
+    df = rk.document_frequencies(tf).crossJoin(F.broadcast(rows.agg(F.countDistinct("doc_id").alias("items"))))
     v = F.round(F.col("tf") * F.log(F.col("items") / F.col("df")), 6)
-    note = lambda name, v: (F.concat(F.lit("@tf-idf:"), name).alias("feature"), F.col("doc_id"), v.cast("double").alias("v"))
-    weights = tf.join(df, "term").select(*note(F.col("term"), v))
+    return tf.join(df, "term").select(*note(F.col("term"), v))
+
+
+def note(name: Column, v: Column) -> tuple[Column, Column, Column]:
+    """A forager's annotation at the start of a document."""
+    return F.concat(F.lit("@tf-idf:"), name).alias("feature"), F.col("doc_id"), v.cast("double").alias("v")
+
+
+@register("forage_stats")
+def forage_stats(spark, sf_dir):
+    """The forager's tf and df of all stems, and its totals, as annotations; df and totals stand at the first document."""
+    from lexspan.functions.text import stems, tokens
+
+    rows = tokens(documents(spark, sf_dir))
+    tf = rk.term_frequencies(rows)
     stemmed = tf.join(stems(tf), "term").groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
     first = F.broadcast(rows.agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("items"), F.count("*").alias("length")))
     dfs = stemmed.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(first)
     sums = first.where("items > 0").select("doc_id", F.explode(F.create_map(F.lit("items"), "items", F.lit("length"), "length")).alias("name", "n"))
     return (
-        weights.unionByName(stemmed.select(*note(F.concat(F.lit("tf:"), "stem"), F.col("tf"))))
+        stemmed.select(*note(F.concat(F.lit("tf:"), "stem"), F.col("tf")))
         .unionByName(dfs.select(*note(F.concat(F.lit("df:"), "stem"), F.col("df"))))
         .unionByName(sums.select(*note(F.concat(F.lit("total:"), "name"), F.col("n"))))
     )

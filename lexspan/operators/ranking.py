@@ -47,9 +47,20 @@ def query_terms(topics: DataFrame, text_col: str = "text", id_col: str = "item_i
     return tx.tokens(topics, text_col, id_col).groupBy(F.col("doc_id").alias("topic"), "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def sums(length: DataFrame) -> DataFrame:
+    """One row of the lengths of documents: items, total length, mean length."""
+    return length.agg(F.count("*").alias("items"), F.sum("len").alias("length")).withColumn("avgl", F.col("length") / F.col("items"))
+
+
+def matching(tokens: DataFrame, query: DataFrame) -> DataFrame:
+    """The tokens that are terms of the query: few are left before anything is shuffled."""
+    terms = query.select("term").distinct()
+    return tokens.join(F.broadcast(terms) if _few(query) else terms, "term", "left_semi")
+
+
 def weighted_terms(query: DataFrame, tf: DataFrame, total: DataFrame) -> DataFrame:
     """Query terms with the rsj weight of each, those of weight 0 left out."""
-    df = document_frequencies(tf.join(F.broadcast(query.select("term").distinct()), "term", "left_semi")) if _few(query) else document_frequencies(tf)
+    df = document_frequencies(tf)
     return query.join(df, "term").crossJoin(F.broadcast(total.select("items", "avgl"))).withColumn("rsj", rsj(F.col("items"), F.col("df"))).where("rsj > 0")
 
 
@@ -60,19 +71,20 @@ def _few(query: DataFrame, most: int = 100_000) -> bool:
 
 def bm25(tokens: DataFrame, query: DataFrame, k1: float = 0.5, b: float = 0.25, tf: DataFrame | None = None, length: DataFrame | None = None) -> DataFrame:
     """(topic, doc_id, score)."""
-    tf = term_frequencies(tokens) if tf is None else tf
+    tf = term_frequencies(matching(tokens, query)) if tf is None else tf
     length = lengths(tokens) if length is None else length
-    terms = weighted_terms(query, tf, totals(tokens))
+    terms = weighted_terms(query, tf, sums(length))
     gain = F.col("weight") * F.col("rsj") * F.col("tf") / (k1 * ((1 - b) + b * F.col("len") / F.col("avgl")) + F.col("tf"))
     return tf.join(terms, "term").join(length, "doc_id").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
 
 
-def lmd(tokens: DataFrame, query: DataFrame, mu: float = 2000.0) -> DataFrame:
+def lmd(tokens: DataFrame, query: DataFrame, mu: float = 2000.0, length: DataFrame | None = None) -> DataFrame:
     """Language model with Dirichlet smoothing over the matching terms; scores above 0."""
-    tf = term_frequencies(tokens)
-    terms = query.join(document_frequencies(tf), "term").crossJoin(F.broadcast(totals(tokens).select("length")))
+    tf = term_frequencies(matching(tokens, query))
+    length = lengths(tokens) if length is None else length
+    terms = query.join(document_frequencies(tf), "term").crossJoin(F.broadcast(sums(length).select("length")))
     gain = F.col("weight") * (F.log(mu + F.col("tf") * F.col("length") / F.col("cf")) - F.log(mu + F.col("len")))
-    scored = tf.join(terms, "term").join(lengths(tokens), "doc_id").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
+    scored = tf.join(terms, "term").join(length, "doc_id").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
     return scored.where("score > 0")
 
 
@@ -177,26 +189,24 @@ def best_covers(tokens: DataFrame, query: DataFrame, run: DataFrame) -> DataFram
 
 
 def icover(tokens: DataFrame, query: list[str], total: float, vocab: float, frequencies: dict[str, float], depth: int) -> DataFrame:
-    """(doc_id, score, p, q): the best cover of n of the query's terms by the sum of their weights less n
-    times the log of its length, for all n from all terms down to 2, then single terms by weight.
+    """(doc_id, score, p, q): the best of the covers of n of the query's terms, by the sum of their weights less n
+    times the log of the length, for n of 2 or more and scores above 0, and of single terms by weight.
 
-    Covers are found document by document from the places of the query's terms only.
+    One backward pass over the places of a document's query terms finds the next place of each term; the n
+    nearest of them are the cover of n terms from that place.
     """
     weights = {t: math.log((total + vocab) / (frequencies.get(t, 0.0) + 1)) for t in query}
-
-    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        places = sorted(zip(rows["pos"].tolist(), rows["term"].tolist(), strict=True))
-        found = best_cover(places, weights)
-        if found is None:
-            term = max({t for _, t in places}, key=lambda t: (weights[t], t))
-            at = min(p for p, t in places if t == term)
-            # below every cover: single terms follow
-            return pd.DataFrame([(key[0], 1, weights[term], at, at)], columns=["doc_id", "tier", "score", "p", "q"])
-        return pd.DataFrame([(key[0], 0, -found[0], found[1], found[2])], columns=["doc_id", "tier", "score", "p", "q"])
-
     own = tokens.where(F.col("term").isin(*weights)).select("doc_id", "term", "pos")
-    out = own.groupBy("doc_id").applyInPandas(best, "doc_id long, tier int, score double, p long, q long")
-    return out.orderBy("tier", F.desc("score"), "doc_id").limit(depth)
+    back = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    after = [F.struct(F.min(F.when(F.col("term") == t, F.col("pos"))).over(back).alias("at"), F.lit(w).alias("w")) for t, w in weights.items()]
+    near = own.select("doc_id", "pos", F.array_sort(F.filter(F.array(*after), lambda x: x["at"].isNotNull())).alias("near"))
+    weight = lambda n: F.aggregate(F.slice("near", 1, n), F.lit(0.0), lambda s, x: s + x["w"])
+    end = lambda n: F.element_at("near", n)["at"]
+    score = lambda n: F.round(weight(n) - F.when(n > 1, n * F.log(end(n) - F.col("pos") + 1)).otherwise(0.0), 9)
+    cover = lambda n: F.when((n == 1) | (score(n) > 0), F.struct((-score(n)).alias("loss"), F.col("pos").alias("p"), end(n).alias("q")))
+    every = near.select("doc_id", F.array_min(F.transform(F.sequence(F.lit(1), F.size("near")), cover)).alias("best"))
+    found = every.groupBy("doc_id").agg(F.min("best").alias("best"))
+    return top(found.select("doc_id", (-F.col("best.loss")).alias("score"), "best.p", "best.q"), depth, 9)
 
 
 def feedback(tokens: DataFrame, ranking: DataFrame, expansions: int, score: str, gamma: float) -> DataFrame:

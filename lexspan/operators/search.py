@@ -158,7 +158,7 @@ class Pipeline:
     def run(self, engine: Engine, topics: DataFrame) -> DataFrame:
         """(topic, doc_id, score, rank) of the last ranking."""
         query, run = rk.query_terms(topics), None
-        tokens, length = engine.plain, rk.lengths(engine.plain)
+        tokens, length = engine.plain, engine.lengths()
         for name, p in self.stages:
             if name == "stop":
                 query = stopped(query)
@@ -171,7 +171,7 @@ class Pipeline:
                 scores = rk.bm25(tokens, query, p.get("k1", 0.5), p.get("b", 0.25), length=length)
                 run = rk.ranked(scores, int(p.get("depth", 1000)))
             elif name == "lmd":
-                run = rk.ranked(rk.lmd(tokens, query, p.get("mu", 2000.0)), int(p.get("depth", 1000)))
+                run = rk.ranked(rk.lmd(tokens, query, p.get("mu", 2000.0), length), int(p.get("depth", 1000)))
             else:
                 depth = 10 if name == "rsj" else 16
                 spans = run.where(F.col("rank") <= depth).join(length, "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.col("len") - 1).alias("q"))

@@ -22,6 +22,11 @@ class Engine:
         self.plain = plain
         self.annotations = annotations if annotations is not None else self.spark.createDataFrame([], ANNOTATIONS)
 
+    def lengths(self) -> DataFrame:
+        """(doc_id, len): the number of words of each document with a word; no token is shuffled."""
+        n = F.size(tx.words(F.col("text"))).cast("long")
+        return self.docs.select("doc_id", n.alias("len")).where("len > 0").groupBy("doc_id").agg(F.sum("len").alias("len"))
+
     def items(self) -> DataFrame:
         """(doc_id, p, q, v): each document with a token, as one interval."""
         n = F.size(tx.words(F.col("text"))).cast("long")

@@ -49,7 +49,7 @@ def test_forager(spark, folder):
     want = {(f"@tf-idf:{w}", k): n * math.log(len(TEXTS) / df[w]) for (k, w), n in tf.items()}
     want |= {(f"@tf-idf:tf:{w}", k): n for (k, w), n in stemmed.items()} | {(f"@tf-idf:df:{w}", 1): n for w, n in Counter(w for _, w in stemmed).items()}
     want |= {("@tf-idf:total:items", 1): len(TEXTS), ("@tf-idf:total:length", 1): sum(tf.values())}
-    got = {(r.feature, r.doc_id): r.v for r in registry.queries()["forage_tfidf"](spark, folder).collect()}
+    got = {(r.feature, r.doc_id): r.v for r in registry.queries()["forage_tfidf"](spark, folder).collect()} | {(r.feature, r.doc_id): r.v for r in registry.queries()["forage_stats"](spark, folder).collect()}
     assert got == pytest.approx(want, abs=1e-5)
 
 

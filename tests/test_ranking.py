@@ -1,6 +1,8 @@
 """Statistics, rankers and metrics with numbers worked out by hand."""
 
+import itertools
 import math
+import random
 
 import pytest
 
@@ -49,7 +51,8 @@ def test_cover_density(engine):
 
 def test_icover_and_search(engine):
     rows = se.search_text(engine, "hello world", 10).collect()
-    assert [r.doc_id for r in rows][:2] == [0, 1] and (rows[0].p, rows[0].q) == (0, 1)
+    # "world" alone weighs ln(22 / 4), more than its cover with "hello": ln(22 / 4) + ln(22 / 6) - 2 ln 2
+    assert [(r.doc_id, r.p, r.q) for r in rows] == [(0, 1, 1), (1, 1, 1), (2, 3, 3)]
     assert {r.doc_id for r in se.tiered(engine, ["(^ hello world)", "fox"], 10).collect()} == {0, 1, 2}
     marked = {r.doc_id: r.snippet for r in se.highlighted(engine, "(... hello world)", 5).collect()}
     assert "<cover>hello world</cover>" in marked[1]
@@ -57,6 +60,25 @@ def test_icover_and_search(engine):
     assert said[1].startswith("hello world")
 
 
+def test_covers_and_single_terms_by_score(spark):
+    """Against all covers of all places: a rare term alone may outdo a long cover of common ones."""
+    rng = random.Random(4)
+    docs = {k: [rng.choice("abcxyz") for _ in range(rng.randint(1, 30))] + (["rare"] if k == 3 else []) for k in range(40)}
+    weights = {"a": 1.5, "b": 2.0, "c": 3.0, "rare": 9.0}
+    tokens = spark.createDataFrame([(k, w, p) for k, ws in docs.items() for p, w in enumerate(ws)], "doc_id long, term string, pos long")
+    total = 1000.0
+    counts = {t: total / math.exp(w) - 1 for t, w in weights.items()}
+    want = {}
+    for k, ws in docs.items():
+        for p, q in itertools.combinations_with_replacement(range(len(ws)), 2):
+            seen = {w for w in ws[p : q + 1] if w in weights}
+            score = sum(weights[t] for t in seen) - (len(seen) * math.log(q - p + 1) if len(seen) > 1 else 0)
+            if seen and score > 0 and (len(seen) > 1 or p == q):
+                want[k] = max(want.get(k, 0), score)
+    got = {r.doc_id: r.score for r in rk.icover(tokens, list(weights), total, 0.0, counts, 100).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and max(got, key=got.get) == 3
+
+
 def test_pipeline(spark, engine):
     topics = spark.createDataFrame([(7, "the quick foxes"), (8, "the of")], "item_id long, text string")
     with pytest.raises(ValueError, match="unknown stage"):
