@@ -22,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm._shared import connected_components, materialize
+from lexspan.llm._shared import arrow_map, connected_components, forget, materialize
 from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked
 from lexspan.llm.phrase_dedup import WordCodes
 
 #: Positions of a signature, trees, sets of a node that is compared at once, rounds of chance blocks at most.
 POSITIONS, TREES, LEAF, DEPTH = 96, 12, 800, 10
-#: Bytes of a shingle's name that are sent to a comparison: two of a pair's names meet by chance once in 10^8 pairs.
-SHIPPED = 6
 FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 SHIFTS = mixed(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -73,7 +71,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * POSITIONS, pa.int32()), pa.array(sigs))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), lists], ["doc_id", "n", "one", "two", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, one long, two long, sig array<int>")
+    return arrow_map(rows, run, "doc_id long, n long, one long, two long, sig array<int>")
 
 
 def leaves(sets: DataFrame) -> DataFrame:
@@ -84,7 +82,9 @@ def leaves(sets: DataFrame) -> DataFrame:
     level = materialize(sets.select("id", F.explode(roots).alias("node")), "level")
     nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
     once = nodes.groupBy("members", "n").agg(F.min("node").alias("node")).select("node", "n")
-    return materialize(level.join(once, "node").select("node", "id", "n"), "nodes")
+    found = materialize(level.join(once, "node").select("node", "id", "n"), "nodes")
+    forget(level)
+    return found
 
 
 def large_links(rows: DataFrame, inside: DataFrame, width: int, percent: int) -> DataFrame:
@@ -124,7 +124,7 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
         for part, packs in batch_pieces(batches, 1):
             nodes, ids, sets = [], [], []
             for doc, own, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(unpacked(packs), words, width), strict=True):
-                raw = s.view(np.uint8).reshape(-1, 8)[:, :SHIPPED].tobytes()
+                raw = s.tobytes()
                 for node in own:
                     nodes.append(node), ids.append(doc), sets.append(raw)
             for k in range(0, len(nodes), 256):
@@ -139,8 +139,8 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
 
     lists = members.groupBy("id").agg(F.collect_list("node").alias("nodes"))
     texts = packed(rows.select("doc_id", F.lit(0).cast("long").alias("key"), "raw")).join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "raw", "nodes")
-    shipped = texts.mapInArrow(dealt, "node long, id long, members binary").repartition("node").sortWithinPartitions("node")
-    return shipped.mapInArrow(linked, "a long, b long")
+    shipped = arrow_map(texts, dealt, "node long, id long, members binary").repartition("node").sortWithinPartitions("node")
+    return arrow_map(shipped, linked, "a long, b long")
 
 
 def groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -152,9 +152,7 @@ def groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
                 if len(ids) > 1:
                     yield ids, sets
                 now, ids, sets = node, [], []
-            names = np.zeros((len(raw) // SHIPPED, 8), np.uint8)
-            names[:, :SHIPPED] = np.frombuffer(raw, np.uint8).reshape(-1, SHIPPED)
-            ids.append(doc), sets.append(np.sort(names.view(np.uint64)[:, 0]))
+            ids.append(doc), sets.append(np.frombuffer(raw, np.uint64))
     if len(ids) > 1:
         yield ids, sets
 
@@ -224,6 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, text_col
     if not large.isEmpty():
         links = links.union(large_links(rows, large, width, percent))
     parts = connected_components(copies.union(links), "a", "b")
+    forget(sets, nodes)
     found = named.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
