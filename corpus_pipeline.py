@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexspan.llm import bpe, decontamination, near_dedup, secrets, toxicity
 from lexspan.llm._shared import materialize, table
@@ -26,11 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; of repeated rows of an id one stays."""
+    """The document with the least id of each group, at a similarity of 0.85 or more over five words.
+
+    Of equal rows (id and text) the first in the order of the other columns stays; different texts of one
+    id all stay. The ids that go are distinct, so joining and numbering share one exchange.
+    """
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", F.xxhash64("text"), F.hash("text")).orderBy(F.struct(*rest))
+    first = F.col("doc_id").isNull() | (F.row_number().over(same) == 1)
+    return left.withColumn("lexspan_first", first).where("lexspan_first").drop("lexspan_first")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
