@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces in which a batch is worked on, so that Python's memory doesn't follow the batch size.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 #: Makes Spark delete the shuffle files of a query when it has ended.
@@ -23,10 +26,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only a session on one machine that names none, as in tests, gets a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lexspan-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -35,7 +40,7 @@ def workspace(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the workspace and read it back: the lineage ends here
     and a lost executor costs a re-read, not a recomputation. The shuffle files behind it go at once,
-    the table when the driver ends."""
+    the table with ``forget`` or when the driver ends."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -45,7 +50,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lexspan_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later plan reads."""
+    for t in tables:
+        drop(t.sparkSession, t.lexspan_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -57,6 +70,27 @@ def drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose tasks hand back the memory that they no longer use, as Python workers go from
+    one stage to the next and would keep the most that any of them took."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Free memory of ended work back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus. Rows may be long texts, so Arrow batches of the session are made small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -85,10 +119,12 @@ def append_columns(
 ) -> DataFrame:
     """``docs`` with ``fields`` after its columns, each computed from the text alone.
 
-    ``make`` runs once in each task and returns the function from an Arrow array of texts to one
+    A column of the table with a field's name gives way to the field. ``make`` runs once in each task and returns the function from an Arrow array of texts to one
     array for each field. Rows pass in order; all other columns go through untouched.
     """
-    schema = T.StructType([*docs.schema.fields, *fields])
+    kept = [f for f in docs.schema.fields if f.name not in {g.name for g in fields}]
+    docs = docs.select(*[f.name for f in kept])
+    schema = T.StructType([*kept, *fields])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +134,7 @@ def append_columns(
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part.column(at))], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def row_key(text: Column) -> Column:
@@ -136,6 +172,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         same = after.count() == links.count() and after.exceptAll(links).isEmpty()
+        forget(links)
         links = after
         if same:
             break

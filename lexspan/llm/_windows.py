@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm._shared import materialize, pieces
+from lexspan.llm._shared import arrow_map, forget, materialize, pieces
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -127,7 +127,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(r) for r in part.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "raw"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, raw binary")
+    return arrow_map(rows, run, "doc_id long, key long, raw binary")
 
 
 def unpacked(packs: list[bytes]) -> list[bytes]:
@@ -157,7 +157,7 @@ def recurring(rows: DataFrame, codes: Callable[[], Codes], size: int, k: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), part.column(0).take(of), part.column(1).take(of), pa.array(spot)], ["gram", "whole", "doc_id", "key", "spot"])
 
     assert size < 1 << 16, "a class has fewer windows than a window has elements, and places are packed by that"
-    every = rows.mapInArrow(run, "gram long, whole long, doc_id long, key long, spot long")
+    every = arrow_map(rows, run, "gram long, whole long, doc_id long, key long, spot long")
     first = F.shiftright("spot", 32)
     last, place = first + F.shiftright("spot", 16).bitwiseAND(0xFFFF), first + F.col("spot").bitwiseAND(0xFFFF)
     found = every.join(repeated(every, ["gram"]), "gram")

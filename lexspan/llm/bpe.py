@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import append_columns
+from lexspan.llm._shared import append_columns, arrow_map
 
 #: From this many bytes a word's merges are kept in a heap.
 LONG = 200
 #: Words whose encoding a task remembers; at the bound it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words of one length that are merged together.
 ROWS = 2048
 NO_RANK = (1 << 31) - 1
@@ -293,6 +293,7 @@ def decode(tokens: DataFrame, vocab_path: str, ids_col: str = "ids", decoded_col
         vocab = vocabulary(vocab_path)
         return lambda lists: [pa.array([vocab.decode(x or []) for x in lists.to_pylist()], pa.string())]
 
+    tokens = tokens.drop(decoded_col)
     schema = T.StructType([*tokens.schema.fields, T.StructField(decoded_col, T.StringType())])
     at = tokens.columns.index(ids_col)
 
@@ -301,7 +302,7 @@ def decode(tokens: DataFrame, vocab_path: str, ids_col: str = "ids", decoded_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], [f.name for f in schema.fields])
 
-    return tokens.mapInArrow(run, schema)
+    return arrow_map(tokens, run, schema)
 
 
 def digests(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm._shared import pieces
+from lexspan.llm._shared import arrow_map, pieces
 
 #: Characters of benchmark items that are broadcast at once.
 BLOCK_CHARS = 4_000_000
@@ -201,4 +201,4 @@ def _scan(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
                     t, item, start, end, edits = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(t)), pa.array(item, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(edits, pa.int32()), pa.array([size[i] for i in item], pa.int32())], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, HIT)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), run, HIT)

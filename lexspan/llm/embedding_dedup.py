@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm._shared import connected_components, materialize
+from lexspan.llm._shared import arrow_map, connected_components, materialize
 
 PROJECTIONS, AXES, WIDE, RECALL = 12, 2, 2.0, 0.995
 #: Rows of a slab that are queries; queries of a block.
@@ -67,7 +67,7 @@ def projected(rows: DataFrame) -> DataFrame:
                 raws.append(x.tobytes()), shots.append((x @ known[len(x)]).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary()), pa.array(shots, pa.list_(pa.float64()))], ["id", "n", "v", "p"])
 
-    return rows.select("id", "n", "embedding").mapInArrow(run, "id long, n long, v binary, p array<double>")
+    return arrow_map(rows.select("id", "n", "embedding"), run, "id long, n long, v binary, p array<double>")
 
 
 def slabs(rows: DataFrame, cuts: list[np.ndarray], wide: float) -> DataFrame:
@@ -88,7 +88,7 @@ def slabs(rows: DataFrame, cuts: list[np.ndarray], wide: float) -> DataFrame:
                     part = of.slice(k, 2000)
                     yield pa.RecordBatch.from_arrays([pa.array(slab[k : k + 2000] * AXES + axis, pa.int64()), pa.array(query[k : k + 2000]), *(batch.column(c).take(part) for c in range(4))], ["slab", "query", "id", "n", "v", "p"])
 
-    return rows.mapInArrow(run, "slab long, query boolean, id long, n long, v binary, p array<double>")
+    return arrow_map(rows, run, "slab long, query boolean, id long, n long, v binary, p array<double>")
 
 
 def linked(found: DataFrame, least: float) -> DataFrame:
@@ -114,7 +114,7 @@ def linked(found: DataFrame, least: float) -> DataFrame:
             own, tied = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[own], ids[tied]])), pa.array([None] * len(own) + ids[label[tied]].tolist(), pa.int64()), pa.array(np.concatenate([count[own], 0 * tied]).astype(np.int64))], ["id", "other", "n"])
 
-    return found.repartition("slab").sortWithinPartitions("slab").mapInArrow(run, "id long, other long, n long")
+    return arrow_map(found.repartition("slab").sortWithinPartitions("slab"), run, "id long, other long, n long")
 
 
 def groups(batches):

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import append_columns, pieces
+from lexspan.llm._shared import append_columns, arrow_map, pieces
 from lexspan.llm.labelled import training_rows
 
 PLACE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 BUCKETS, SHAPES, WIDTH, SIGNS = 4096, 64, 32, 2
 ROWS = BUCKETS + SHAPES
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 FEATURES = 3 * WIDTH + 3
 
 
@@ -97,7 +97,7 @@ def context_sums(docs: DataFrame, text_col: str, window: int = 2, seed: int = 5)
         flat = pa.array(table[used].ravel())
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * WIDTH, pa.int32()), flat)], ["row", "v"])
 
-    parts = docs.select(text_col).mapInArrow(run, "row int, v array<float>")
+    parts = arrow_map(docs.select(text_col), run, "row int, v array<float>")
     sums = parts.groupBy("row").agg(*[F.sum(F.col("v")[k].cast("double")).alias(f"v{k}") for k in range(WIDTH)]).toPandas()
     table = np.zeros((ROWS, WIDTH))
     table[sums["row"].to_numpy(int)] = sums[[f"v{k}" for k in range(WIDTH)]].to_numpy()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import append_columns
+from lexspan.llm._shared import append_columns, arrow_map
 
 #: The patterns every scan has, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -269,7 +269,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **op
             columns[at] = work(columns[at], batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return with_spans.mapInArrow(run, schema)
+    return arrow_map(with_spans, run, schema)
 
 
 def digests(found: DataFrame, spans_col: str = "secret_spans") -> DataFrame:

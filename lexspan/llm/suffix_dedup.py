@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import materialize
+from lexspan.llm._shared import arrow_map, materialize
 from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, mixed, packed, recurring, repeated, summed, unpacked
 
 #: Bytes of the k-grams by which windows are filed.
@@ -66,7 +66,7 @@ def ranked_blocks(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     schema = "gram long, low long, high long, left binary, right binary, doc_id long, key long, start int"
     names_ = [c.split()[0] for c in schema.split(", ")]
     lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "first", "last", "place")).alias("spans"))
-    return packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, schema)
+    return arrow_map(packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans"), run, schema)
 
 
 def repeated_starts(blocks: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(r) for r in raws], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.BinaryType())])
-    return packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans").mapInArrow(run, schema)
+    return arrow_map(packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans"), run, schema)
 
 
 def covered(spans: list[dict] | None, size: int) -> tuple[list[int], list[int]]:

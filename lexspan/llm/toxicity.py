@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import append_columns
+from lexspan.llm._shared import append_columns, arrow_map
 from lexspan.llm.labelled import training_rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -120,7 +120,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
                     counts.setdefault(w, [0, 0])[0 if y else 1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["token", "toxic", "clean"])
 
-    parts = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "token string, toxic long, clean long")
+    parts = arrow_map(rows.select(F.col("y").cast("int").alias("y"), "text"), run, "token string, toxic long, clean long")
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
