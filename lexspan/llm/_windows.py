@@ -61,7 +61,9 @@ class Names:
 
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return mixed((self.sums[size:] - self.sums[:-size]) * Names.back[: max(n, 0)])
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return mixed((self.sums[size:] - self.sums[:-size]) * Names.back[:n])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -170,10 +172,10 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(F.struct(*key).alias("lexspan_key")).count().where("count > 1").select("lexspan_key.*")
 
 
-def summed(found: DataFrame) -> DataFrame:
-    """Each distinct class: (gram, whole, n, rep, several): its number, its first place, whether
-    its k-gram has other classes too."""
+def summed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written table, and from it each distinct class: (gram, whole, n, rep, several): its number, its
+    first place, whether its k-gram has other classes too."""
     one = found.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first", "last", "place")).alias("rep"))
     one = materialize(one, "classes")
     several = one.groupBy("gram").agg((F.count("*") > 1).alias("several"))
-    return one.join(several, "gram")
+    return one, one.join(several, "gram")

@@ -1,22 +1,26 @@
 """Substring de-duplication by repeated-phrase automata: every word that a window of ``size`` words
 covers is removed if the window's words also start earlier.
 
-Recurring passages are confirmed first: classes of windows (``_windows``) whose names recur, each with
-its first place, and at the edges of passages window by window. The confirmed passages are read
-from the document that has them first and dealt to the documents that repeat them, which shards
-them: each task compiles an Aho-Corasick automaton of the passages of its own documents, a batch at
-a time, and streams the whole documents through it. Every occurrence that the automaton locates
-after the passage's first place is removed; the names only decide what is looked for, the
-characters decide what is found.
+Passages are confirmed first: texts are cut into classes of neighbouring windows with the same least k-gram
+(``_windows``), and what recurs, a whole class or single windows that differing classes share, becomes a
+phrase with its first place. Only names are compared there, and only the first place of a phrase is kept.
+
+The phrases are dealt to shards by their k-gram. Each shard compiles one Aho-Corasick automaton over words,
+each word one letter, and all class texts with a k-gram of the shard stream through it: a text that shares
+no k-gram with a shard can hold none of its phrases. Texts that are equal as a whole stream through once. The
+automaton locates every occurrence, word by word; those after the phrase's first place are removed.
+A shard with more than MOST_WORDS words of phrases is cut into several automata, one with more than MOST_TEXTS
+texts into several streams; every stream passes every automaton of its shard.
 
 Words are runs of anything but the six ASCII white-space characters. Documents are ordered by id
 (null first), rows of one id by a hash of their text; equal rows of one id are one document. Null and empty texts
-have no words.
+have no words; an empty table gives an empty one. Columns other than ``doc_id`` and the text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm._shared import materialize
+from lexspan.llm._shared import arrow_map, forget, materialize
 from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, packed, recurring, summed, unpacked
 
 #: Words of the k-grams by which windows are filed.
 GRAM = 4
 #: Words whose codes a task remembers.
 CACHE_WORDS = 200_000
+#: Words of phrases that a shard has on average, that one automaton has at most; texts of one stream.
+SHARD_WORDS, MOST_WORDS, MOST_TEXTS = 200_000, 1_000_000, 200_000
+PLACE = "doc_id", "key", "first"
+HIT = "array<struct<at:int,n:int,doc_id:bigint,key:bigint,first:int>>"
 OUT = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
 
 
@@ -57,127 +65,207 @@ class WordCodes:
 
 
 def passages(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The wanted classes with their words, and the rank of each of their windows if others share the k-gram."""
+    """The wanted classes with their words, and the names of all windows of those that share their k-gram."""
 
     def run(batches):
         to_codes = WordCodes()
         for part, packs in batch_pieces(batches, 2):
             cut = [r.split() for r in unpacked(packs)]
             ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
-            names = Names(to_codes.codes(cut, int(ends[-1])))
-            text, gram, whole, first, said, ranks = [], [], [], [], [], []
-            for k, own in enumerate(part.column(3).to_pylist()):
-                for s in own:
-                    a, b = s["first"], s["last"]
-                    text.append(k), gram.append(s["gram"]), whole.append(s["whole"]), first.append(a)
-                    said.append(b" ".join(cut[k][a : b + size]).decode())
-                    ranks.append(names.of(np.arange(a, b + 1) + ends[k], size).view(np.int64) if s["several"] else np.zeros(0, np.int64))
-            of, sizes = pa.array(text), np.concatenate([[0], np.cumsum([len(r) for r in ranks])])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ranks)))
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), part.column(0).take(of), part.column(1).take(of), pa.array(first, pa.int32()), pa.array(said), lists], ["gram", "whole", "doc_id", "key", "first", "words", "ranks"])
-
-    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "whole", "first", "last", "several")).alias("spans"))
-    return packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans").mapInArrow(run, "gram long, whole long, doc_id long, key long, first int, words string, ranks array<long>")
+            names = Names(to_codes.codes(cut, int(ends[-1]))).all(size)
+            lists = part.column(3)
+            own = lists.flatten()
+            text = np.repeat(np.arange(len(cut)), np.diff(lists.offsets.to_numpy()))
+            gram, whole, first, last, several, repeats = (own.field(k) for k in range(6))
+            start = first.to_numpy() + ends[text]
+            stop = last.to_numpy() + ends[text] + size
+            # one string of all words, and where each of them starts
+            said = b" ".join(chain.from_iterable(cut))
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chain.from_iterable(cut)), np.int64, int(ends[-1])) + 1)])
+            words = [said[a : b - 1] for a, b in zip(at[start].tolist(), at[stop].tolist(), strict=True)]
+            counts = np.where(several.to_numpy(zero_copy_only=False), stop - start - size + 1, 0)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            ranks = names[np.repeat(start - upto[:-1], counts) + np.arange(upto[-1])].view(np.int64)
+            of = pa.array(text)
+            yield pa.RecordBatch.from_arrays([gram, whole, part.column(0).take(of), part.column(1).take(of), first, pa.array(words, pa.binary()).cast(pa.string()), repeats, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ranks))], ["gram", "whole", "doc_id", "key", "first", "words", "repeats", "ranks"])
+
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "whole", "first", "last", "several", "repeats")).alias("spans"))
+    return arrow_map(packed(rows).join(lists, ["doc_id", "key"]).select("doc_id", "key", "raw", "spans"), run, "gram long, whole long, doc_id long, key long, first int, words string, repeats boolean, ranks array<long>")
+
+
+def confirmed(said: DataFrame) -> DataFrame:
+    """The classes with ``ks``, the places inside of those windows that other classes of the k-gram share and that
+    start here first."""
+    windows = said.select("gram", "doc_id", "key", "first", F.posexplode("ranks").alias("k", "rank"))
+    first = F.min(F.struct("doc_id", "key", (F.col("first") + F.col("k")).alias("start"), "k")).alias("src")
+    recur = windows.groupBy("gram", "rank").agg(F.count("*").alias("n"), first).where("n > 1")
+    lists = recur.groupBy("gram", "src.doc_id", "src.key", (F.col("src.start") - F.col("src.k")).alias("first")).agg(F.collect_list("src.k").alias("ks"))
+    return said.drop("ranks").join(lists, ["gram", *PLACE], "left")
+
+
+def sharded(phrases: DataFrame, size: int) -> DataFrame:
+    """(shard, part, stream, supplies, streams, ...): each class where its phrases are compiled and where its
+    text passes; one row for both unless the shard is cut."""
+    supplies = F.col("repeats") | F.col("ks").isNotNull()
+    weight = F.when(F.col("repeats"), F.size(F.split("words", " "))).otherwise(0) + F.when(F.col("ks").isNotNull(), size * F.size("ks")).otherwise(0)
+    rows = phrases.withColumn("supplies", supplies).withColumn("weight", weight.cast("long"))
+    shards = max(1, -(-int(rows.agg(F.sum("weight")).first()[0] or 0) // SHARD_WORDS))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    sizes = rows.groupBy("shard").agg(F.ceil(F.sum("weight") / MOST_WORDS).cast("int").alias("parts"), F.ceil(F.count("*") / MOST_TEXTS).cast("int").alias("flows"))
+    rows = rows.join(sizes.where("parts > 1 or flows > 1"), "shard", "left")
+    mine = lambda n: F.pmod(F.xxhash64("whole"), F.col(n)).cast("int")
+    place = lambda part, stream, supplies, streams: F.struct(part.alias("part"), stream.alias("stream"), supplies.alias("supplies"), streams.alias("streams"))
+    upto = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    given = F.when(F.col("supplies"), upto("flows", lambda s: place(mine("parts"), s, yes, no))).otherwise(F.array().cast("array<struct<part:int,stream:int,supplies:boolean,streams:boolean>>"))
+    taken = upto("parts", lambda p: place(p, mine("flows"), no, yes))
+    where = F.when(F.col("parts").isNull(), F.array(place(zero, zero, F.col("supplies"), yes))).otherwise(F.concat(given, taken))
+    out = rows.withColumn("to", F.explode(where))
+    return out.select("shard", "to.part", "to.stream", "to.supplies", "to.streams", "gram", "whole", *PLACE, "words", "repeats", "ks")
+
+
+def occurrences(shards: DataFrame, size: int) -> DataFrame:
+    """(gram, whole, hits): where in the class text ``n`` words are a phrase, and the phrase's first place."""
+
+    def run(batches):
+        shard, phrases, waiting, automaton = None, Phrases(size), [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for *now, supplies, streams, gram, whole, doc, key, first, words, repeats, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != shard:
+                    out += passed(waiting, automaton or phrases.compiled())
+                    shard, phrases, waiting, automaton = now, Phrases(size), [], None
+                cut = words.split(" ")
+                if supplies:
+                    phrases.add(cut, (doc, key, first), repeats, ks or ())
+                if streams:
+                    waiting.append((gram, whole, cut))
+                # a shard's phrases come first: from its first other row on, texts pass as they come
+                if not supplies:
+                    automaton = automaton or phrases.compiled()
+                    out += passed(waiting, automaton)
+                    waiting = []
+            if out:
+                yield told(out)
+        out = list(passed(waiting, automaton or phrases.compiled()))
+        for k in range(0, len(out), 1000):
+            yield told(out[k : k + 1000])
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        hit = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32())])
+        upto = np.concatenate([[0], np.cumsum([len(hits) for *_, hits in out])])
+        columns = list(zip(*chain.from_iterable(hits for *_, hits in out), strict=True))
+        flat = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, hit, strict=True)], fields=list(hit))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat)], ["gram", "whole", "hits"])
+
+    by = ["shard", "part", "stream"]
+    dealt = shards.repartition(*by).sortWithinPartitions(*by, F.desc("supplies"))
+    return arrow_map(dealt, run, f"gram long, whole long, hits {HIT}")
+
+
+class Phrases:
+    """The phrases of one shard, as texts in which every word is one letter."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.letters, self.first = size, {}, {}
+
+    def add(self, words: list[str], place: tuple[int, int, int], whole: bool, ks: list[int]) -> None:
+        """A class's words from ``place`` on: all of them, and the windows that start at ``ks``."""
+        known = self.letters
+        for w in words:
+            if w not in known:
+                known[w] = letter(len(known) + 1)
+        text = "".join([known[w] for w in words])
+        doc, key, first = place
+        for t, at in [*([(text, first)] if whole else []), *((text[k : k + self.size], first + k) for k in ks)]:
+            if t not in self.first or (doc, key, at) < self.first[t]:
+                self.first[t] = (doc, key, at)
+
+    def compiled(self) -> Located:
+        return Located(self.letters, self.first)
+
+
+class Located:
+    """An automaton of phrases; finds all of them in a word list."""
+
+    def __init__(self, letters: dict[str, str], first: dict[str, tuple[int, int, int]]) -> None:
+        self.letters, self.automaton = letters, ahocorasick.Automaton()
+        for text, place in first.items():
+            self.automaton.add_word(text, (len(text), place))
+        if first:
+            self.automaton.make_automaton()
+        self.any = bool(first)
+
+    def hits(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(at, n, first place): occurrences that go on where the one before does, here and there, are one."""
+        if not self.any:
+            return []
+        get = self.letters.get
+        text = "".join([get(w, "\0") for w in words])
+        found = sorted((doc, key, at - (end - n + 1), end - n + 1, n) for end, (n, (doc, key, at)) in self.automaton.iter(text))
+        out: list[list[int]] = []
+        for doc, key, shift, at, n in found:
+            last = out[-1] if out else None
+            if last and last[2:] == [doc, key, shift] and at <= last[0] + last[1]:
+                last[1] = max(last[1], at + n - last[0])
+            else:
+                out.append([at, n, doc, key, shift])
+        return [(at, n, doc, key, shift + at) for at, n, doc, key, shift in out]
+
+
+def letter(k: int) -> str:
+    """The k-th letter, without the surrogates."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
+def passed(texts: list[tuple[int, int, list[str]]], automaton: Located) -> Iterator[tuple[int, int, list]]:
+    for gram, whole, words in texts:
+        hits = automaton.hits(words)
+        if hits:
+            yield gram, whole, hits
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, removed, kept): the removed runs of words, and the words left, joined by spaces."""
     rows = identified(docs, text_col)
     found = recurring(rows, WordCodes, size, GRAM)
-    each = summed(found)
-    said = materialize(passages(rows, each.where("several or n > 1").select("gram", "whole", "several", "rep.*"), size), "passages")
-    # copies of a whole class: all but the first
-    here, rep = F.struct("doc_id", "key", "first"), F.struct("rep.doc_id", "rep.key", "rep.first")
-    copies = (
-        found.join(each.where("n > 1").select("gram", "whole", "rep"), ["gram", "whole"]).where(here > rep)
-        .select("doc_id", "key", "gram", "whole", F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b"), F.col("first").alias("at"))
-    )
-    # windows that different classes share: all but the first
-    windows = said.select("gram", "whole", "doc_id", "key", "first", F.posexplode("ranks").alias("k", "rank")).withColumn("start", F.col("first") + F.col("k"))
-    # grouped by one struct, so that the join deals the rows anew and Spark can split a hot window
-    firsts = windows.groupBy(F.struct("gram", "rank").alias("lexspan_key")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "whole", "k")).alias("src")).where("n > 1").select("lexspan_key.*", "src")
-    shared = (
-        windows.join(firsts, ["gram", "rank"]).where(F.struct("doc_id", "key", "start") > F.struct("src.doc_id", "src.key", "src.start"))
-        .groupBy("doc_id", "key", "gram", F.col("src.whole").alias("whole"), (F.col("start") - F.col("src.k")).alias("shift"))
-        .agg(F.min("src.k").alias("a"), F.max("src.k").alias("b")).select("doc_id", "key", "gram", "whole", "a", "b", (F.col("shift") + F.col("a")).alias("at"))
-    )
-    source = said.select("gram", "whole", F.struct("doc_id", "key", "first").alias("src"), "words")
-    phrases = copies.union(shared).join(source, ["gram", "whole"])
-    lists = phrases.groupBy("doc_id", "key").agg(F.collect_list(F.struct("src", "a", "b", "at", "words")).alias("phrases"))
+    kinds, each = summed(found)
+    wanted = each.where("several or n > 1").select("gram", "whole", "several", (F.col("n") > 1).alias("repeats"), "rep.*")
+    said = materialize(passages(rows, wanted, size), "passages")
+    forget(kinds)
+    phrases = materialize(confirmed(said), "phrases")
+    forget(said)
+    hits = materialize(occurrences(sharded(phrases, size), size), "hits")
+    forget(phrases)
+    later = F.filter("hits", lambda h: F.struct("doc_id", "key", F.col("first") + h["at"]) > F.struct(h["doc_id"], h["key"], h["first"]))
+    spans = F.transform(later, lambda h: F.struct((F.col("first") + h["at"]).alias("start"), (F.col("first") + h["at"] + h["n"]).alias("end")))
+    here = found.join(hits, ["gram", "whole"]).select("doc_id", "key", spans.alias("spans")).where(F.size("spans") > 0)
+    lists = materialize(here.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    forget(found, hits)
 
     def run(batches):
-        for part, packs in batch_pieces(batches, 2):
-            raws = unpacked(packs)
-            own, ids, keys = part.column(3).to_pylist(), part.column(0).to_pylist(), part.column(1).to_pylist()
-            automaton = compiled(own, size)
+        for part, packs in batch_pieces(batches, 1):
             counts, runs, kept = [], [], []
-            for raw, asked, doc, key in zip(raws, own, ids, keys, strict=True):
-                words = raw.split()
-                spans = located(words, automaton, (doc, key)) if automaton and asked else []
+            for raw, own in zip(unpacked(packs), part.column(2).to_pylist(), strict=True):
+                words, spans = raw.split(), merged(own or [])
                 counts.append(len(words))
                 runs.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b" ".join([w for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(words)], strict=True) for w in words[a:b]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], ["doc_id", "n_words", "removed", "kept"])
-
-    return packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "key", "raw", "phrases").mapInArrow(run, OUT)
-
-
-def joined(own: list[dict], size: int) -> Iterator[tuple[list[str], tuple[int, int, int]]]:
-    """The phrases of one document and their first places; those that stand end to end or overlap, both
-    where they come from and here, are one phrase."""
-    rows = []
-    for p in own:
-        src = p["src"]
-        rows.append((src["doc_id"], src["key"], p["at"] - src["first"] - p["a"], src["first"] + p["a"], p["words"].split(" ")[p["a"] : p["b"] + size]))
-    rows.sort(key=lambda r: r[:4])
-    now, words = None, []
-    for doc, key, shift, first, more in rows:
-        if now and now[:3] == (doc, key, shift) and first <= now[3] + len(words):
-            words += more[now[3] + len(words) - first :]
-            continue
-        if now:
-            yield words, (now[0], now[1], now[3])
-        now, words = (doc, key, shift, first), list(more)
-    if now:
-        yield words, (now[0], now[1], now[3])
-
-
-def compiled(asked: list[list[dict] | None], size: int):
-    """An automaton of all phrases of a batch, each with its number of words and first place; None if there are none."""
-    automaton, first = ahocorasick.Automaton(), {}
-    for own in asked:
-        for words, place in joined(own or [], size):
-            text = f" {' '.join(words)} "
-            if text not in first or place < first[text][1]:
-                first[text] = (len(words), place)
-    for text, known in first.items():
-        automaton.add_word(text, known)
-    if not first:
-        return None
-    automaton.make_automaton()
-    return automaton
-
-
-def located(words: list[bytes], automaton, doc: tuple[int, int]) -> list[tuple[int, int]]:
-    """Runs of words that occurrences after their first place cover."""
-    cut = [w.decode() for w in words]
-    text = f" {' '.join(cut)} "
-    # the space after word i stands at ends[i]
-    ends = (np.cumsum([len(w) + 1 for w in cut])).tolist()
-    at = dict(zip(ends, range(len(ends)), strict=True))
-    found = []
-    for stop, (n, place) in automaton.iter(text):
-        last = at[stop]
-        if place < (*doc, last - n + 1):
-            found.append((last - n + 1, last + 1))
-    found.sort()
-    merged: list[list[int]] = []
-    for a, b in found:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+            ids = [None if i == NO_ID else i for i in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], ["doc_id", "n_words", "removed", "kept"])
+
+    return arrow_map(packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans"), run, OUT)
+
+
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def digests(removed: DataFrame) -> DataFrame:

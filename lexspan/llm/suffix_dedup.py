@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, text_col: str = "text") ->
     """(doc_id, n_bytes, removed, kept): the removed runs of bytes, and the bytes left."""
     rows = identified(docs, text_col)
     found = recurring(rows, lambda: byte_codes, size, GRAM)
-    each = summed(found)
+    _, each = summed(found)
     settled = found.join(each.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("doc_id", "key", "first", "last")
     edges = each.where("several").select("gram", "rep.*")
     spans = settled.union(repeated_starts(ranked_blocks(rows, edges, size)))
