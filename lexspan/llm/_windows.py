@@ -66,12 +66,48 @@ class Names:
         return mixed((self.sums[size:] - self.sums[:-size]) * Names.back[:n])
 
 
+class Words:
+    """The words of a list of texts (bytes): runs of anything but the six ASCII white-space characters.
+
+    ``codes`` has a 64-bit name for each word, ``ends`` where each text's words end; ``plain`` is all words in
+    order, each followed by a space, and word i starts there at ``spot[i]``.
+    """
+
+    def __init__(self, raws: list[bytes]) -> None:
+        joined = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+        blank = WHITE[joined]
+        after = np.concatenate([[True], blank[:-1]])
+        self.start = np.flatnonzero(~blank & after)
+        stop = np.flatnonzero(blank & ~after)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        self.ends = np.searchsorted(self.start, np.concatenate([[0], np.cumsum(sizes + 1)]))
+        self.codes = Names(LETTERS[joined]).of(self.start, stop - self.start)
+        kept = ~(blank & after)
+        self.plain = np.where(blank, np.uint8(32), joined)[kept].tobytes()
+        self.spot = np.concatenate([[0], np.cumsum(stop - self.start + 1)])
+
+    def said(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """The words from each start to before its stop, joined by spaces; no range is empty."""
+        plain = self.plain
+        return [plain[a : b - 1] for a, b in zip(self.spot[start].tolist(), self.spot[stop].tolist(), strict=True)]
+
+
+def word_codes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words = Words(raws)
+    return words.codes, words.ends
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
+#: Which bytes are white space; a number for each byte.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours."""
     have, step = values, 1

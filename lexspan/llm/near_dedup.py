@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm._shared import arrow_map, connected_components, forget, materialize
-from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked
-from lexspan.llm.phrase_dedup import WordCodes
+from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked, word_codes
 
 #: Positions of a signature, trees, sets of a node that is compared at once, rounds of chance blocks at most.
 POSITIONS, TREES, LEAF, DEPTH = 96, 12, 800, 10
@@ -32,9 +31,9 @@ FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)).astype(np.uint32)
 SHIFTS = mixed(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 
 
-def shingle_sets(raws: list[bytes], words: WordCodes, width: int) -> list[np.ndarray]:
+def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle names of each text: ``width`` words, or all words of a shorter text."""
-    codes, ends = words([r.lower() for r in raws])
+    codes, ends = word_codes([r.lower() for r in raws])
     names = Names(codes)
     every = names.all(width) if len(codes) >= width else np.zeros(0, np.uint64)
     out = []
@@ -62,9 +61,8 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, one, two, sig): size, a 128-bit name and the signature of each set."""
 
     def run(batches):
-        words = WordCodes()
         for part, raws in batch_pieces(batches, 1):
-            sets = shingle_sets(raws, words, width)
+            sets = shingle_sets(raws, width)
             one = np.array([mixed(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             two = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             sigs = np.concatenate([signature(s) for s in sets]) if sets else np.zeros(0, np.int32)
@@ -120,10 +118,9 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
     """(a, b): exact links of all nodes, as a spanning forest of each node."""
 
     def dealt(batches):
-        words = WordCodes()
         for part, packs in batch_pieces(batches, 1):
             nodes, ids, sets = [], [], []
-            for doc, own, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(unpacked(packs), words, width), strict=True):
+            for doc, own, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(unpacked(packs), width), strict=True):
                 raw = s.tobytes()
                 for node in own:
                     nodes.append(node), ids.append(doc), sets.append(raw)

@@ -19,70 +19,44 @@ have no words; an empty table gives an empty one. Columns other than ``doc_id``
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm._shared import arrow_map, forget, materialize
-from lexspan.llm._windows import NO_ID, Names, batch_pieces, identified, packed, recurring, summed, unpacked
+from lexspan.llm._windows import NO_ID, Names, Words, batch_pieces, identified, packed, recurring, summed, unpacked, word_codes
 
 #: Words of the k-grams by which windows are filed.
 GRAM = 4
-#: Words whose codes a task remembers.
-CACHE_WORDS = 200_000
-#: Words of phrases that a shard has on average, that one automaton has at most; texts of one stream.
-SHARD_WORDS, MOST_WORDS, MOST_TEXTS = 200_000, 1_000_000, 200_000
+#: Words of phrases that a shard has on average (its automaton then fits a processor cache), that one automaton has at
+#: most; texts of one stream.
+SHARD_WORDS, MOST_WORDS, MOST_TEXTS = 16_000, 1_000_000, 200_000
 PLACE = "doc_id", "key", "first"
 HIT = "array<struct<at:int,n:int,doc_id:bigint,key:bigint,first:int>>"
 OUT = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
 
 
-class WordCodes:
-    """Word lists to 64-bit codes."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [r.split() for r in raws]
-        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
-        return self.codes(cut, int(ends[-1])), ends
-
-    def codes(self, cut: list[list[bytes]], n: int) -> np.ndarray:
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = set().union(*cut)
-        self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        get = self.known.__getitem__
-        return np.fromiter((x for c in cut for x in map(get, c)), np.uint64, n)
-
-
 def passages(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The wanted classes with their words, and the names of all windows of those that share their k-gram."""
 
     def run(batches):
-        to_codes = WordCodes()
         for part, packs in batch_pieces(batches, 2):
-            cut = [r.split() for r in unpacked(packs)]
-            ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
-            names = Names(to_codes.codes(cut, int(ends[-1]))).all(size)
+            cut = Words(unpacked(packs))
+            names = Names(cut.codes).all(size)
             lists = part.column(3)
             own = lists.flatten()
-            text = np.repeat(np.arange(len(cut)), np.diff(lists.offsets.to_numpy()))
+            text = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             gram, whole, first, last, several, repeats = (own.field(k) for k in range(6))
-            start = first.to_numpy() + ends[text]
-            stop = last.to_numpy() + ends[text] + size
-            # one string of all words, and where each of them starts
-            said = b" ".join(chain.from_iterable(cut))
-            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chain.from_iterable(cut)), np.int64, int(ends[-1])) + 1)])
-            words = [said[a : b - 1] for a, b in zip(at[start].tolist(), at[stop].tolist(), strict=True)]
+            start = first.to_numpy() + cut.ends[text]
+            stop = last.to_numpy() + cut.ends[text] + size
+            words = cut.said(start, stop)
             counts = np.where(several.to_numpy(zero_copy_only=False), stop - start - size + 1, 0)
             upto = np.concatenate([[0], np.cumsum(counts)])
             ranks = names[np.repeat(start - upto[:-1], counts) + np.arange(upto[-1])].view(np.int64)
@@ -128,6 +102,13 @@ def occurrences(shards: DataFrame, size: int) -> DataFrame:
     """(gram, whole, hits): where in the class text ``n`` words are a phrase, and the phrase's first place."""
 
     def run(batches):
+        gc.disable()  # there are no cycles here, and looking for them among many live phrases takes long
+        try:
+            yield from found(batches)
+        finally:
+            gc.enable()
+
+    def found(batches):
         shard, phrases, waiting, automaton = None, Phrases(size), [], None
         for batch in batches:
             out: list[tuple] = []
@@ -136,10 +117,9 @@ def occurrences(shards: DataFrame, size: int) -> DataFrame:
                     out += passed(waiting, automaton or phrases.compiled())
                     shard, phrases, waiting, automaton = now, Phrases(size), [], None
                 cut = words.split(" ")
-                if supplies:
-                    phrases.add(cut, (doc, key, first), repeats, ks or ())
+                text = phrases.add(cut, (doc, key, first), repeats, ks or ()) if supplies else phrases.text(cut)
                 if streams:
-                    waiting.append((gram, whole, cut))
+                    waiting.append((gram, whole, text))
                 # a shard's phrases come first: from its first other row on, texts pass as they come
                 if not supplies:
                     automaton = automaton or phrases.compiled()
@@ -163,51 +143,60 @@ def occurrences(shards: DataFrame, size: int) -> DataFrame:
     return arrow_map(dealt, run, f"gram long, whole long, hits {HIT}")
 
 
+class Letters(dict):
+    """Gives every new word the next letter."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = found = letter(len(self) + 1)
+        return found
+
+
 class Phrases:
     """The phrases of one shard, as texts in which every word is one letter."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.letters, self.first = size, {}, {}
-
-    def add(self, words: list[str], place: tuple[int, int, int], whole: bool, ks: list[int]) -> None:
-        """A class's words from ``place`` on: all of them, and the windows that start at ``ks``."""
-        known = self.letters
-        for w in words:
-            if w not in known:
-                known[w] = letter(len(known) + 1)
-        text = "".join([known[w] for w in words])
+        self.size, self.letters, self.first = size, Letters(), {}
+
+    def add(self, words: list[str], place: tuple[int, int, int], whole: bool, ks: list[int]) -> str:
+        """A class's words from ``place`` on are phrases: all of them, and the windows that start at ``ks``."""
+        text = "".join(map(self.letters.__getitem__, words))
         doc, key, first = place
         for t, at in [*([(text, first)] if whole else []), *((text[k : k + self.size], first + k) for k in ks)]:
             if t not in self.first or (doc, key, at) < self.first[t]:
                 self.first[t] = (doc, key, at)
+        return text
+
+    def text(self, words: list[str]) -> str:
+        """Words that aren't in any phrase are no letter of one."""
+        get = self.letters.get
+        return "".join([get(w, "\0") for w in words])
 
     def compiled(self) -> Located:
-        return Located(self.letters, self.first)
+        return Located(self.first)
 
 
 class Located:
-    """An automaton of phrases; finds all of them in a word list."""
+    """An automaton of phrases; finds all of them in a text."""
 
-    def __init__(self, letters: dict[str, str], first: dict[str, tuple[int, int, int]]) -> None:
-        self.letters, self.automaton = letters, ahocorasick.Automaton()
-        for text, place in first.items():
-            self.automaton.add_word(text, (len(text), place))
+    def __init__(self, first: dict[str, tuple[int, int, int]]) -> None:
+        self.automaton, self.any = ahocorasick.Automaton(), bool(first)
+        for text, (doc, key, at) in first.items():
+            self.automaton.add_word(text, (len(text), doc, key, at + len(text) - 1))
         if first:
             self.automaton.make_automaton()
-        self.any = bool(first)
 
-    def hits(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
+    def hits(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(at, n, first place): occurrences that go on where the one before does, here and there, are one."""
         if not self.any:
             return []
-        get = self.letters.get
-        text = "".join([get(w, "\0") for w in words])
-        found = sorted((doc, key, at - (end - n + 1), end - n + 1, n) for end, (n, (doc, key, at)) in self.automaton.iter(text))
+        found = [(doc, key, last - end, end - n + 1, n) for end, (n, doc, key, last) in self.automaton.iter(text)]
+        if len(found) > 1:
+            found.sort()
         out: list[list[int]] = []
         for doc, key, shift, at, n in found:
-            last = out[-1] if out else None
-            if last and last[2:] == [doc, key, shift] and at <= last[0] + last[1]:
-                last[1] = max(last[1], at + n - last[0])
+            now = out[-1] if out else None
+            if now and now[2:] == [doc, key, shift] and at <= now[0] + now[1]:
+                now[1] = max(now[1], at + n - now[0])
             else:
                 out.append([at, n, doc, key, shift])
         return [(at, n, doc, key, shift + at) for at, n, doc, key, shift in out]
@@ -218,9 +207,9 @@ def letter(k: int) -> str:
     return chr(k if k < 0xD800 else k + 0x800)
 
 
-def passed(texts: list[tuple[int, int, list[str]]], automaton: Located) -> Iterator[tuple[int, int, list]]:
-    for gram, whole, words in texts:
-        hits = automaton.hits(words)
+def passed(texts: list[tuple[int, int, str]], automaton: Located) -> Iterator[tuple[int, int, list]]:
+    for gram, whole, text in texts:
+        hits = automaton.hits(text)
         if hits:
             yield gram, whole, hits
 
@@ -228,7 +217,7 @@ def passed(texts: list[tuple[int, int, list[str]]], automaton: Located) -> Itera
 def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, removed, kept): the removed runs of words, and the words left, joined by spaces."""
     rows = identified(docs, text_col)
-    found = recurring(rows, WordCodes, size, GRAM)
+    found = recurring(rows, lambda: word_codes, size, GRAM)
     kinds, each = summed(found)
     wanted = each.where("several or n > 1").select("gram", "whole", "several", (F.col("n") > 1).alias("repeats"), "rep.*")
     said = materialize(passages(rows, wanted, size), "passages")
@@ -245,27 +234,38 @@ def remove_repeats(docs: DataFrame, size: int = 20, text_col: str = "text") -> D
 
     def run(batches):
         for part, packs in batch_pieces(batches, 1):
-            counts, runs, kept = [], [], []
-            for raw, own in zip(unpacked(packs), part.column(2).to_pylist(), strict=True):
-                words, spans = raw.split(), merged(own or [])
-                counts.append(len(words))
-                runs.append([{"start": a, "end": b} for a, b in spans])
-                kept.append(b" ".join([w for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(words)], strict=True) for w in words[a:b]]).decode())
-            ids = [None if i == NO_ID else i for i in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], ["doc_id", "n_words", "removed", "kept"])
+            cut, kept = Words(unpacked(packs)), []
+            row, start, end = merged(part.column(2))
+            a, b = start + cut.ends[row], end + cut.ends[row]
+            upto = np.searchsorted(row, np.arange(len(packs) + 1))
+            plain, spot = cut.plain, cut.spot
+            # the gaps between runs stay: from a text's first word or a run's end to the next run or the text's end
+            low, high = spot[np.insert(b, upto[:-1], cut.ends[:-1])].tolist(), spot[np.insert(a, upto[1:], cut.ends[1:])].tolist()
+            gaps = (upto + np.arange(len(upto))).tolist()
+            for x, y in zip(gaps, gaps[1:], strict=False):
+                kept.append(b"".join([plain[p:q] for p, q in zip(low[x:y], high[x:y], strict=True)])[:-1].decode())
+            runs = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"]))
+            ids = part.column(0)
+            ids = pc.if_else(pc.equal(ids, NO_ID), pa.scalar(None, pa.int64()), ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(cut.ends), pa.int64()), runs, pa.array(kept, pa.string())], ["doc_id", "n_words", "removed", "kept"])
 
     return arrow_map(packed(rows).join(lists, ["doc_id", "key"], "left").select("doc_id", "raw", "spans"), run, OUT)
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """The union of spans, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the unions of the spans of each row, in order; a null row has none."""
+    own = lists.flatten()
+    start, end = (own.field(k).to_numpy().astype(np.int64) for k in ("start", "end"))
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(row * far + end)
+    new = np.concatenate([[True], row[1:] * far + start[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], start[new], reach[last] - row[new] * far
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
 import pytest
 
-from lexspan.llm import phrase_dedup, suffix_dedup
+from lexspan.llm import _windows, phrase_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, source string, gram long"
 
@@ -63,13 +64,40 @@ def test_bytes(spark, size):
     assert sorted((tuple(r) for r in got.collect()), key=str) == bytes_left(rows, size)
 
 
-@pytest.mark.parametrize("size", [20, 7])
-def test_words(spark, size):
+@pytest.mark.parametrize(("size", "limits"), [(20, (200_000, 1_000_000, 200_000)), (7, (50, 1_000_000, 200_000)), (7, (2000, 60, 5))])
+def test_words(spark, monkeypatch, size, limits):
+    """One shard, many shards, and shards that are cut into automata and streams."""
+    for name, limit in zip(("SHARD_WORDS", "MOST_WORDS", "MOST_TEXTS"), limits, strict=True):
+        monkeypatch.setattr(phrase_dedup, name, limit)
     rows = corpus(4, ["a", "bé", "c", "d%", "e\xa0f"], " ")
     got = phrase_dedup.digests(phrase_dedup.remove_repeats(frame(spark, rows), size))
     assert sorted((tuple(r) for r in got.collect()), key=str) == words_left(rows, size)
 
 
+def test_automaton_locates_in_unseen_texts():
+    """Phrases of one text are found in texts that gave none, wherever they stand."""
+    phrases = phrase_dedup.Phrases(3)
+    phrases.add("a b c d e".split(), (4, 0, 10), True, [1])
+    phrases.add("x y z".split(), (2, 0, 0), False, [0])
+    located = phrases.compiled()
+    assert located.hits(phrases.text("q a b c d e q b c d".split())) == [(7, 3, 4, 0, 11), (1, 5, 4, 0, 10)]
+    assert located.hits(phrases.text("x y z x y z x y".split())) == [(3, 3, 2, 0, 0), (0, 3, 2, 0, 0)]
+    assert located.hits(phrases.text("a b c d".split())) == [(1, 3, 4, 0, 11)] and phrase_dedup.Located({}).hits("ab") == []
+
+
+def test_words_of_texts():
+    rng = random.Random(7)
+    raws = ["".join(rng.choice("ab\u00e9 \t\n\x0b\x0c\r\x1c\x85\xa0") for _ in range(rng.randint(0, 30))).encode() for _ in range(300)]
+    words = _windows.Words(raws)
+    cut = [r.split() for r in raws]
+    assert words.ends.tolist() == [0, *itertools.accumulate(map(len, cut))]
+    assert words.plain == b"".join(w + b" " for c in cut for w in c)
+    names = {}
+    for w, code in zip((w for c in cut for w in c), words.codes.tolist(), strict=True):
+        assert names.setdefault(w, code) == code
+    assert len(set(names.values())) == len(names)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffix_dedup.remove_repeats(none).count() == 0 and phrase_dedup.remove_repeats(none).count() == 0
