@@ -4,9 +4,12 @@ Grammar inference builds a prefix tree over the character classes of labelled st
 states whose outgoing and ending frequencies a Hoeffding bound finds compatible, with their whole
 subtrees, which leaves a small probabilistic automaton for each label. A candidate, any run of
 credential characters in a text, is scored by the log-likelihood ratio between the best credential
-automaton and the automaton of ordinary strings; all candidates are scored.
+automaton and the automaton of ordinary strings. Every candidate of SHORTEST characters or more is scored,
+whatever its characters and whether or not it touches a span of the fixed patterns; those that
+reach the level are spans of the kind ``format``. Spans of the fixed patterns always stay.
 
-Null texts are empty, texts of any length are read whole. Positions are code points, ends exclusive.
+Null and empty texts have no spans, texts of any length are read whole, repeated rows are scanned alike, an
+empty table gives an empty one. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: The shortest candidate; shorter runs hold too little for a likelihood to tell formats apart.
+SHORTEST = 8
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+#: Candidates whose verdict a task remembers; at the bound it starts anew.
+CACHE = 100_000
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -75,15 +82,28 @@ def labelled_credentials(n: int = 400, seed: int = 17) -> list[tuple[str, str]]:
         "base64_key": lambda: draw(mixed + "+/", rng.choice([40, 64, 86])) + rng.choice(["", "=", "=="]),
         "signed_token": lambda: "eyJ" + draw(mixed, 33) + ".eyJ" + draw(mixed, rng.randint(40, 90)) + "." + draw(mixed + "_-", 43),
     }
+    word = lambda low=2, high=12: draw(lower, rng.randint(low, high))
+    stop = lambda: rng.choice(["", "", "", ".", "...", "-", "/"])
     ordinary = [
-        lambda: "".join(draw("aeiou", 1) + draw(lower, rng.randint(1, 2)) for _ in range(rng.randint(6, 12))),
-        lambda: "-".join(draw(lower, rng.randint(3, 8)) for _ in range(rng.randint(3, 6))),
-        lambda: ".".join(draw(lower, rng.randint(2, 9)) for _ in range(rng.randint(3, 5))),
-        lambda: "/".join(draw(lower, rng.randint(2, 9)) for _ in range(rng.randint(3, 6))) + draw(digits, rng.randint(0, 3)),
-        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}/" + draw(lower, rng.randint(5, 12)),
+        lambda: "".join(draw("aeiou", 1) + draw(lower, rng.randint(1, 2)) for _ in range(rng.randint(3, 12))) + stop(),
+        lambda: word(8, 24) + stop(),
+        lambda: word(8, 20).capitalize() + stop(),
+        lambda: word(8, 20).upper() + stop(),
+        lambda: "".join(word(2, 9).capitalize() for _ in range(rng.randint(2, 4))) + stop(),
+        lambda: word(2, 8) + "".join(word(3, 9).capitalize() for _ in range(rng.randint(1, 3))),
+        lambda: "-".join(word(2, 8) for _ in range(rng.randint(3, 6))) + stop(),
+        lambda: ".".join(word(2, 9) for _ in range(rng.randint(3, 5))) + stop(),
+        lambda: "/".join(word(2, 9) for _ in range(rng.randint(3, 6))) + draw(digits, rng.randint(0, 3)),
+        lambda: word(3, 9) + "." + word(3, 9).capitalize(),
+        lambda: word(5, 12) + draw(digits, rng.randint(1, 4)) + stop(),
+        lambda: word(3, 10) + rng.choice("._-") + draw(digits, rng.randint(1, 4)),
+        lambda: draw(upper, rng.randint(1, 3)) + word(5, 14) + stop(),
+        lambda: f"{rng.randint(1900, 2090)}-{rng.randint(1, 12):02d}-{rng.randint(1, 31):02d}" + rng.choice(["", "/" + word(5, 12), "."]),
+        lambda: "-".join(draw(digits, rng.randint(2, 4)) for _ in range(rng.randint(3, 4))) + stop(),
+        lambda: ".".join(draw(digits, rng.randint(1, 3)) for _ in range(4)),
         lambda: "_".join(draw(upper, rng.randint(3, 8)) for _ in range(rng.randint(3, 5))),
-        lambda: draw(digits, rng.randint(16, 24)),
-        lambda: rng.choice("=-_.") * rng.randint(16, 60),
+        lambda: draw(digits, rng.randint(8, 24)) + stop(),
+        lambda: rng.choice("=-_.+/") * rng.randint(8, 80),
     ]
     return [(kind, make()) for kind, make in formats.items() for _ in range(n)] + [("", make()) for make in ordinary for _ in range(n)]
 
@@ -193,10 +213,16 @@ class FormatModel:
             by.setdefault(kind, []).append(text)
         self.ordinary = Automaton(by.pop("", ["a"]))
         self.formats = {kind: Automaton(strings) for kind, strings in by.items()}
+        self.known: dict[str, float] = {}
 
     def score(self, text: str) -> float:
-        """Log-likelihood ratio of the best format against ordinary strings, for each character."""
-        return (max(a.log_likelihood(text) for a in self.formats.values()) - self.ordinary.log_likelihood(text)) / len(text)
+        """Log-likelihood ratio of the best format against ordinary strings."""
+        if text not in self.known:
+            if len(self.known) >= CACHE:
+                self.known = {}
+            best = max((a.log_likelihood(text) for a in self.formats.values()), default=-math.inf)
+            self.known[text] = best - self.ordinary.log_likelihood(text)
+        return self.known[text]
 
 
 @lru_cache(maxsize=4)
@@ -206,20 +232,23 @@ def format_model(labelled: tuple[tuple[str, str], ...] | None) -> FormatModel:
 
 
 def all_spans(text: str, model: FormatModel, least: float) -> list[tuple[str, int, int]]:
-    """Base spans, and candidates beside them that a format explains better than ordinary text."""
-    base = base_spans(text)
-    found = list(base)
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not any(c.isdigit() for c in run) or any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        if model.score(run) >= least:
-            found.append(("format", m.start(), m.end()))
+    """Base spans, and all candidates that a format explains better than ordinary text, by a log-likelihood
+    ratio of ``least`` at least."""
+    found = base_spans(text)
+    found += [("format", m.start(), m.end()) for m in CANDIDATE.finditer(text) if model.score(m[0]) >= least]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", labelled: tuple[tuple[str, str], ...] | None = None, least: float = 0.25) -> DataFrame:
-    """``docs`` with all secret spans of each whole text, an array of (kind, start, end)."""
+def labelled_rows(rows: DataFrame, most: int = 20_000) -> tuple[tuple[str, str], ...]:
+    """(kind, text) rows, such as a file of labelled strings, as the ``labelled`` of a scan; '' labels ordinary
+    strings. At most ``most`` teach, those with the least hash; rows without a kind or text teach nothing."""
+    some = rows.where("kind is not null and text <> ''").select("kind", "text").distinct()
+    return tuple((r.kind, r.text) for r in some.orderBy(F.xxhash64("kind", "text"), "kind", "text").limit(most).collect())
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", labelled: tuple[tuple[str, str], ...] | None = None, least: float = 12.0) -> DataFrame:
+    """``docs`` with all secret spans of each whole text, an array of (kind, start, end); a column of the table
+    with that name gives way. ``least`` outweighs prior odds of one credential in exp(12), 160,000 candidates."""
 
     def make():
         model = format_model(labelled)
