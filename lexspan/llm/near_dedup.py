@@ -1,16 +1,20 @@
-"""Near-duplicates by a set similarity join over minwise tokens.
+"""Near-duplicates by a chosen-path set similarity join over minwise tokens.
 
-A document is its set of word shingles; equal sets are one node of the join. Several trees deal the
-sets to nodes by two positions of the minwise signature each, so that similar sets, which agree in
-most positions, meet in some tree: a pair at 0.85 fails to in one case of 4 million, at 0.8 of 200,000.
-Nodes with the same members are compared once. Nodes of up to LEAF sets are compared exhaustively on
-the full sets. Larger ones lose no pair either: rounds of chance blocks of LEAF sets link what is close,
+A document is its set of word shingles; equal sets are one set of the join. Several independent trees branch the
+sets by minwise tokens: a root is two positions of the signature and the tokens there, and a node of more than LEAF sets
+branches again, each set into CHILDREN children by its tokens at positions that the node's name chooses, as long
+as that cuts the node. A pair at 0.85 fails to meet at all roots in one case of 4 million, at 0.8 of 200,000,
+and below a node in one of 13,000 for each level, in each of the 8 or 9 trees where it meets. Nodes with the same members are
+compared once.
+
+Nodes of up to LEAF sets are compared exhaustively on the full sets. A node that branching does not cut is a family
+of like sets and loses no pair either: rounds of chance blocks of LEAF sets link what is close,
 and then every set outside the node's largest component is compared with all sets of the node, in
 blocks. Sets of one component need no comparison, so a family of near copies costs in proportion to its
-size; only a large node of unlike sets costs the square. Nothing is capped.
+size; only a large node of unlike sets with the same tokens costs the square. Nothing is capped.
 
-Links hold at 100 |A and B| >= percent |A or B|, exactly. A node returns a spanning forest of its links, which loses no
-component and never lists all pairs of a group.
+Links hold at 100 |A and B| >= percent |A or B|, exactly, on 64-bit names of all shingles. A node returns a spanning forest of its links,
+which loses no component and never lists all pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked, w
 
 #: Positions of a signature, trees, sets of a node that is compared at once, rounds of chance blocks at most.
 POSITIONS, TREES, LEAF, DEPTH = 96, 12, 800, 10
+#: Children of a set in a node that branches; levels of branching below the roots at most.
+CHILDREN, LEVELS = 5, 6
 FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 SHIFTS = mixed(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -72,15 +78,37 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, n long, one long, two long, sig array<int>")
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """(node, id, n): members of all nodes of two sets or more, and how many they are; ``sets`` has (id, sig)."""
-    # each tree has nodes of two positions, which few unlike sets share
+def leaves(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, n): members of nodes of two to LEAF sets, and of larger ones that branching doesn't cut;
+    ``sets`` has (id, sig)."""
     places = np.random.default_rng(3).permutation(POSITIONS)[: 2 * TREES].reshape(-1, 2).tolist()
     roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(i), F.col("sig")[i], F.lit(j), F.col("sig")[j]) for tree, (i, j) in enumerate(places)])
-    level = materialize(sets.select("id", F.explode(roots).alias("node")), "level")
-    nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    once = nodes.groupBy("members", "n").agg(F.min("node").alias("node")).select("node", "n")
-    found = materialize(level.join(once, "node").select("node", "id", "n"), "nodes")
+    found = members(sets.select("id", F.lit(0).cast("long").alias("parent"), F.explode(roots).alias("node")))
+    small, stuck = found.where(F.col("n") <= LEAF).select("node", "id", "n"), None
+    for level in range(LEVELS):
+        large = found.where(F.col("n") > LEAF)
+        if large.isEmpty():
+            break
+        place = lambda k: F.pmod(F.xxhash64("node", k), F.lit(POSITIONS)).cast("int")
+        child = F.transform(F.sequence(F.lit(1), F.lit(CHILDREN)), lambda k: F.xxhash64("node", k, F.element_at("sig", place(k) + 1)))
+        below = members(large.select("id", "node", F.col("n").alias("from")).join(sets, "id").select("id", F.col("node").alias("parent"), F.explode(F.array_distinct(child)).alias("node")))
+        # a node is cut if no child holds most of it
+        most = below.groupBy(F.col("parent").alias("node")).agg(F.max("n").alias("most"))
+        whole = large.groupBy("node").agg(F.max("n").alias("size"), F.min("parent").alias("parent")).join(most, "node", "left")
+        keeps = whole.where((F.col("most") > 0.5 * F.col("size")) if level + 1 < LEVELS else F.lit(True)).select("node")
+        rest = large.join(keeps, "node", "left_semi").select("node", "id", "n")
+        stuck = rest if stuck is None else stuck.union(rest)
+        found = below.join(keeps.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        small = small.union(found.where(F.col("n") <= LEAF).select("node", "id", "n"))
+    return small, small.where("false") if stuck is None else materialize(stuck, "stuck")
+
+
+def members(level: DataFrame) -> DataFrame:
+    """(parent, node, id, n): the members of all nodes of two sets or more, nodes with the same members of one parent once."""
+    level = materialize(level, "level")
+    nodes = level.groupBy("parent", "node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    once = nodes.groupBy("members", "n").agg(F.min(F.struct("parent", "node")).alias("s")).select("s.node", "n")
+    found = materialize(level.join(once, "node").select("parent", "node", "id", "n"), "nodes")
     forget(level)
     return found
 
@@ -213,13 +241,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, text_col
     some = named.where("n > 0 and doc_id is not null")
     sets = materialize(some.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "sets")
     copies = some.join(sets.select("one", "two", "id"), ["one", "two"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    nodes = leaves(sets.select("id", "sig"))
-    links = compared(rows, nodes.where(F.col("n") <= LEAF).select("node", "id"), width, percent)
-    large = nodes.where(F.col("n") > LEAF)
+    small, large = leaves(sets.select("id", "sig"))
+    links = compared(rows, small.select("node", "id"), width, percent)
     if not large.isEmpty():
         links = links.union(large_links(rows, large, width, percent))
     parts = connected_components(copies.union(links), "a", "b")
-    forget(sets, nodes)
+    forget(sets)
     found = named.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

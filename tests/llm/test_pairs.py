@@ -45,10 +45,11 @@ def near_texts():
     return [*rows, (1000, None), (1001, ""), (1002, "A b"), (1003, "a  B"), (1004, "a c"), (None, rows[0][1]), (1, rows[1][1]), (2, "an id with another text too"), (1005, rows[3][1].upper())]
 
 
-@pytest.mark.parametrize(("leaf", "depth"), [(400, 10), (3, 2), (3, 0)])
-def test_near_texts(spark, monkeypatch, leaf, depth):
+@pytest.mark.parametrize(("leaf", "depth", "levels"), [(400, 10, 6), (3, 2, 3), (3, 0, 1)])
+def test_near_texts(spark, monkeypatch, leaf, depth, levels):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
     monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
     rows, sets, union = near_texts(), [], Union()
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -78,6 +79,21 @@ def test_large_families(spark):
     assert [r.component_id for r in got.orderBy("doc_id").collect()] == first
 
 
+def test_hot_tokens_branch(spark, monkeypatch):
+    """Unlike sets that share their first minwise tokens are dealt on by branching; pairs below stay together."""
+    monkeypatch.setattr(near_dedup, "LEAF", 20)
+    rng = np.random.default_rng(1)
+    sigs = rng.integers(0, 1 << 30, (200, near_dedup.POSITIONS))
+    sigs[:, :] = np.where(rng.random(near_dedup.POSITIONS) < 0.3, sigs[0], sigs)  # three in ten positions say the same everywhere
+    sigs[1::2] = np.where(rng.random((100, near_dedup.POSITIONS)) < 0.9, sigs[::2], sigs[1::2])  # pairs at 0.9
+    small, stuck = near_dedup.leaves(spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sigs)], "id long, sig array<int>"))
+    together = {}
+    for r in small.union(stuck).collect():
+        together.setdefault(r.node, set()).add(r.id)
+    assert all(any({k, k + 1} <= ids for ids in together.values()) for k in range(0, 200, 2))
+    assert small.where("n > 20").count() == 0
+
+
 def near_rows():
     rng = np.random.default_rng(4)
     rows = []
