@@ -113,8 +113,10 @@ def members(level: DataFrame) -> DataFrame:
     return found
 
 
-def large_links(rows: DataFrame, inside: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links of nodes of more than LEAF sets, as ``leaves`` gives them; every pair that isn't in one component yet is compared."""
+def large_links(texts: DataFrame, inside: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links of nodes of more than LEAF sets, as ``leaves`` gives them; every pair that isn't in one component yet is compared.
+    ``texts`` has (id, raw) of their members."""
+    listed = lambda members: texts.join(members.groupBy("id").agg(F.collect_list("node").alias("nodes")), "id")
     blocks = lambda n: F.ceil(n / LEAF).cast("int")
     links, before = None, None
     own = inside.withColumn("part", F.col("id"))
@@ -126,7 +128,7 @@ def large_links(rows: DataFrame, inside: DataFrame, width: int, percent: int) ->
             break
         before = rest
         block = F.xxhash64("node", F.lit(turn), F.pmod(F.xxhash64("id", F.lit(turn)), blocks(F.col("n"))))
-        found = compared(rows, inside.select(block.alias("node"), "id"), width, percent)
+        found = compared(listed(inside.select(block.alias("node"), "id")), width, percent)
         links = materialize(found if links is None else links.union(found), "linked")
         parts = connected_components(links, "a", "b").toDF("id", "part")
         own = materialize(inside.join(parts, "id", "left").select("node", "id", "n", F.coalesce("part", "id").alias("part")), "own")
@@ -138,12 +140,12 @@ def large_links(rows: DataFrame, inside: DataFrame, width: int, percent: int) ->
     of_main = upto(rests, lambda i: key(0, i, mine(mains)))
     of_rest = F.concat(upto(mains, lambda j: key(0, mine(rests), j)), upto(rests, lambda i: key(1, F.least(i, mine(rests)), F.greatest(i, mine(rests)))))
     dealt = own.drop("n").join(F.broadcast(top.where("rest > 0")), "node").select(F.explode(F.when(F.col("part") == F.col("main"), of_main).otherwise(of_rest)).alias("node"), "id")
-    last = compared(rows, dealt, width, percent)
+    last = compared(listed(dealt), width, percent)
     return last if links is None else links.union(last)
 
 
-def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): exact links of all nodes, as a spanning forest of each node."""
+def compared(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): exact links of all nodes, as a spanning forest of each node; ``texts`` has (id, raw, nodes)."""
 
     def dealt(batches):
         for part, packs in batch_pieces(batches, 1):
@@ -162,9 +164,7 @@ def compared(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    lists = members.groupBy("id").agg(F.collect_list("node").alias("nodes"))
-    texts = packed(rows.select("doc_id", F.lit(0).cast("long").alias("key"), "raw")).join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "raw", "nodes")
-    shipped = arrow_map(texts, dealt, "node long, id long, members binary").repartition("node").sortWithinPartitions("node")
+    shipped = arrow_map(texts.select("id", "raw", "nodes"), dealt, "node long, id long, members binary").repartition("node").sortWithinPartitions("node")
     return arrow_map(shipped, linked, "a long, b long")
 
 
@@ -242,11 +242,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, text_col
     sets = materialize(some.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "sets")
     copies = some.join(sets.select("one", "two", "id"), ["one", "two"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     small, large = leaves(sets.select("id", "sig"))
-    links = compared(rows, small.select("node", "id"), width, percent)
+    # one join moves the texts of all members; as these are a share of all documents, it never broadcasts them
+    both = small.select("id", "node").union(large.select("id", F.lit(None).cast("long")))
+    lists = both.groupBy("id").agg(F.collect_list("node").alias("nodes"), F.max(F.col("node").isNull()).alias("large"))
+    moved = packed(rows.select("doc_id", F.lit(0).cast("long").alias("key"), "raw")).join(lists.hint("merge"), F.col("doc_id") == F.col("id"))
+    texts = materialize(moved.select("id", "raw", "nodes", "large"), "texts")
+    links = materialize(compared(texts.where("size(nodes) > 0"), width, percent), "small-links")
     if not large.isEmpty():
-        links = links.union(large_links(rows, large, width, percent))
+        links = links.union(large_links(texts.where("large").select("id", "raw"), large, width, percent))
     parts = connected_components(copies.union(links), "a", "b")
-    forget(sets)
+    forget(sets, texts)
     found = named.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
