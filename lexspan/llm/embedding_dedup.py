@@ -4,10 +4,13 @@ Vectors are scaled to length 1 and projected on PROJECTIONS random lines. At a c
 threshold the difference of two projections is normal with a known spread, so a window of WIDE
 spreads around a query holds its neighbours with a known chance, and the count of windows that a
 neighbour collides in is binomial: the least count asked for is the largest that keeps the recall
-over RECALL. The rows are sorted by AXES of the projections into slabs of equal numbers; in a slab
-each query counts its collisions on all lines with the rows in its window, and pairs with enough
+over RECALL. The rows are sorted by AXES of the projections into slabs of about SLAB rows, and each slab is
+compared with itself and with every later one that its windows reach, two slabs at a time: each query counts its
+collisions on all lines with the rows in its window, and pairs with enough
 are verified by cosine in double precision. A pair in the windows of several axes belongs to the
-first. Slabs overlap by one window, so what is compared is a fixed share of all pairs, in blocks.
+first. A task thus holds two slabs, whatever the table's size, and of the pairs that it verifies only the number for each
+vector and a spanning forest; what is compared in all is a fixed share of all pairs, so the work
+grows with the square of the rows.
 
 Equal vectors are one vector with a weight. Vectors that are null, zero or hold null or non-finite
 components link with nothing, vectors of different lengths don't link; rows without an id have no
@@ -17,6 +20,7 @@ links and no component and are kept. Repeated rows of one id are one vector.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from lexspan.llm._shared import arrow_map, connected_components, materialize
 
 PROJECTIONS, AXES, WIDE, RECALL = 12, 2, 2.0, 0.995
-#: Rows of a slab that are queries; queries of a block.
+#: Rows of a slab, a tenth more at most; queries of a block.
 SLAB, BLOCK = 4096, 64
 
 
@@ -71,7 +75,8 @@ def projected(rows: DataFrame) -> DataFrame:
 
 
 def slabs(rows: DataFrame, cuts: list[np.ndarray], wide: float) -> DataFrame:
-    """Each row in its own slab of each axis, and in those before it that end less than a window below."""
+    """Each row with its own slab, as a query of the slabs after it that its window reaches, and as a row that the windows
+    of slabs before it reach; ``pair`` names the two slabs and the axis."""
 
     def run(batches):
         for batch in batches:
@@ -79,16 +84,19 @@ def slabs(rows: DataFrame, cuts: list[np.ndarray], wide: float) -> DataFrame:
             for axis, cut in enumerate(cuts):
                 own = np.searchsorted(cut, p[:, axis], "right")
                 first = np.searchsorted(cut, p[:, axis] - wide, "left")
-                counts = own - first + 1
+                last = np.searchsorted(cut, p[:, axis] + wide, "right")
+                counts = last - first + 1
                 at = np.repeat(np.arange(len(p)), counts)
-                slab = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                query = slab == own[at]
+                other = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                query = other >= own[at]
+                low, high = np.minimum(other, own[at]), np.maximum(other, own[at])
+                pair = (low * (len(cut) + 1) + high) * AXES + axis
                 of = pa.array(at)
                 for k in range(0, len(at), 2000):
                     part = of.slice(k, 2000)
-                    yield pa.RecordBatch.from_arrays([pa.array(slab[k : k + 2000] * AXES + axis, pa.int64()), pa.array(query[k : k + 2000]), *(batch.column(c).take(part) for c in range(4))], ["slab", "query", "id", "n", "v", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + 2000], pa.int64()), pa.array(low[k : k + 2000] == high[k : k + 2000]), pa.array(query[k : k + 2000]), *(batch.column(c).take(part) for c in range(4))], ["pair", "same", "query", "id", "n", "v", "p"])
 
-    return arrow_map(rows, run, "slab long, query boolean, id long, n long, v binary, p array<double>")
+    return arrow_map(rows, run, "pair long, same boolean, query boolean, id long, n long, v binary, p array<double>")
 
 
 def linked(found: DataFrame, least: float) -> DataFrame:
@@ -97,62 +105,82 @@ def linked(found: DataFrame, least: float) -> DataFrame:
     wide, enough = window(least), least_count()
 
     def run(batches):
-        for axis, query, ids, weights, vectors, shots in groups(batches):
-            a, b = pairs(axis, query, vectors, shots, wide, enough, least)
-            if not len(a):
-                continue
-            count = np.bincount(a, weights[b], len(ids)) + np.bincount(b, weights[a], len(ids))
-            label = np.arange(len(ids))
-            while True:
-                low = label.copy()
-                np.minimum.at(low, a, label[b])
-                np.minimum.at(low, b, label[a])
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
+        for axis, same, query, ids, weights, vectors, shots in groups(batches):
+            count, forest = np.zeros(len(ids)), Forest(len(ids))
+            for a, b in pairs(axis, same, query, vectors, shots, wide, enough, least):
+                count += np.bincount(a, weights[b], len(ids)) + np.bincount(b, weights[a], len(ids))
+                forest.join(a, b)
+            label = forest.label
             own, tied = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[own], ids[tied]])), pa.array([None] * len(own) + ids[label[tied]].tolist(), pa.int64()), pa.array(np.concatenate([count[own], 0 * tied]).astype(np.int64))], ["id", "other", "n"])
 
-    return arrow_map(found.repartition("slab").sortWithinPartitions("slab"), run, "id long, other long, n long")
+    return arrow_map(found.repartition("pair").sortWithinPartitions("pair"), run, "id long, other long, n long")
+
+
+class Forest:
+    """Components of the rows of a group, each labelled by one of its rows."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.label[a], self.label[b]
+        links = np.unique(np.stack([x, y], 1)[x != y], axis=0)
+        if not len(links):
+            return
+        root: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        for u, v in links.tolist():
+            u, v = top(u), top(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+        to = np.arange(len(self.label))
+        to[list(root)] = [top(k) for k in list(root)]
+        self.label = to[self.label]
 
 
 def groups(batches):
-    """(axis, is query, ids, weights, vectors, projections) of one slab after another."""
+    """(axis, one slab or two, is query, ids, weights, vectors, projections) of one pair of slabs after another."""
     now, held = None, []
 
     def made():
-        query, ids, n, v, p = (list(x) for x in zip(*held, strict=True))
-        return now % AXES, np.array(query), np.array(ids, np.int64), np.array(n, np.float64), v, np.array(p, np.float64)
+        same, query, ids, n, v, p = (list(x) for x in zip(*held, strict=True))
+        return now % AXES, same[0], np.array(query), np.array(ids, np.int64), np.array(n, np.float64), v, np.array(p, np.float64)
 
     for batch in batches:
-        for slab, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if slab != now:
+        for pair, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if pair != now:
                 if held:
                     yield made()
-                now, held = slab, []
+                now, held = pair, []
             held.append(row)
     if held:
         yield made()
 
 
-def pairs(axis: int, query: np.ndarray, raw: list[bytes], p: np.ndarray, wide: float, enough: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of verified pairs; each query looks at the rows after it in the order of the axis."""
+def pairs(axis: int, same: bool, query: np.ndarray, raw: list[bytes], p: np.ndarray, wide: float, enough: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of verified pairs, some queries at a time; each query looks at the rows after it in the order of the axis, those
+    of its own slab or of the other one."""
     size = np.array([len(r) for r in raw])
     order = np.lexsort((p[:, axis], size))  # vectors of one length stand together
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for width in np.unique(size):
         own = order[size[order] == width]
         x = np.frombuffer(b"".join([raw[i] for i in own]), np.float64).reshape(len(own), -1)
-        q, on = p[own].astype(np.float32), p[own, axis]
-        asks = np.flatnonzero(query[own])
+        q, on, asking = p[own].astype(np.float32), p[own, axis], query[own]
+        asks = np.flatnonzero(asking)
         upto = np.searchsorted(on, on + wide, "right")
         for k in range(0, len(asks), BLOCK):
             rows = asks[k : k + BLOCK]
             low, high = rows[0], upto[rows].max()
             others = np.arange(low, high)
             count = np.zeros((len(rows), len(others)), np.int8)
-            good = (others[None, :] > rows[:, None]) & (others[None, :] < upto[rows][:, None])
+            good = (others[None, :] > rows[:, None]) & (others[None, :] < upto[rows][:, None]) & (same | ~asking[others][None, :])
             for m in range(PROJECTIONS):
                 hit = np.abs(q[rows, m][:, None] - q[low:high, m][None, :]) <= np.float32(wide)
                 count += hit
@@ -163,8 +191,8 @@ def pairs(axis: int, query: np.ndarray, raw: list[bytes], p: np.ndarray, wide: f
             for c in range(0, len(i), 20_000):
                 a, b = i[c : c + 20_000], j[c : c + 20_000]
                 sure = np.einsum("ij,ij->i", x[a], x[b]) >= least
-                out_a.append(own[a[sure]]), out_b.append(own[b[sure]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+                if sure.any():
+                    yield own[a[sure]], own[b[sure]]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -181,7 +209,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     made = materialize(projected(numbered), "projected")
     parts = max(1, -(-made.count() // SLAB))
     at = [k / parts for k in range(1, parts)]
-    cuts = [np.array(made.select(F.col("p")[a].alias("x")).approxQuantile("x", at, 0.002) if at else [], np.float64) for a in range(AXES)]
+    cuts = [np.array(made.select(F.col("p")[a].alias("x")).approxQuantile("x", at, 0.1 / parts) if at else [], np.float64) for a in range(AXES)]
     links = materialize(linked(slabs(made, cuts, window(least)), least), "vector-links")
     counts = links.where("other is null").groupBy("id").agg(F.sum("n").alias("more"))
     names = numbered.select("id", "key", "first", "n")

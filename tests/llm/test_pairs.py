@@ -1,5 +1,6 @@
 """Near-duplicates of texts and vectors against brute force, components, and the pipeline."""
 
+import math
 import random
 
 import numpy as np
@@ -124,6 +125,29 @@ def test_near_vectors(spark, monkeypatch, slab):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_many_near_copies(spark, monkeypatch):
+    """A group of like vectors over several slabs: exact numbers of links, one component; recall at the threshold."""
+    monkeypatch.setattr(embedding_dedup, "SLAB", 100)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    like = [centre + rng.normal(size=24) * 0.12 for _ in range(400)]
+    edge = []
+    for _ in range(300):  # pairs just above the threshold
+        a, b = rng.normal(size=(2, 24))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        c = 0.9505
+        edge += [a, c * a + math.sqrt(1 - c * c) * b / np.linalg.norm(b)]
+    x = np.array([*like, *edge])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(1) - 1
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(rows).collect()}
+    told = np.array([got[k].n_links for k in range(len(x))])
+    assert (told <= want).all() and told[:400].sum() >= 0.998 * want[:400].sum() and told[400:].sum() >= 0.99 * want[400:].sum()
+    assert {got[k].component_id for k in range(400) if want[k]} == {min(k for k in range(400) if want[k])}
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
