@@ -7,7 +7,8 @@ adjacent pair has a rank. New words of one length go through these steps togethe
 matrix. Words over ``LONG`` bytes keep the same order of merges in a heap over a
 linked list, as repeated scans would take quadratic time.
 
-Null texts are empty, empty texts have no tokens, texts of any length are encoded whole. Vocabulary
+Null texts are empty, empty texts have no tokens, texts of any length are encoded whole, repeated rows alike; an empty
+table gives an empty one, and a column with the name of a result gives way to it. Vocabulary
 files are parameters, read where the work is done and never copied.
 """
 

@@ -7,7 +7,8 @@ bands with fewer are out, the others are verified by an alignment around the ban
 items are bounded by what the lemma can tell: (n - q) / q. Every
 item is compared whole, so hits are whole items with up to ``rate`` of their length in edits.
 
-Case and white space don't count. Null and empty texts have no hits; items shorter than q characters
+Case and white space don't count. Null and empty texts have no hits, repeated rows the same ones, an empty table of either
+kind gives an empty one; items shorter than q characters
 after normalisation are looked for as they are, with no edit. Benchmark sets over ``BLOCK_CHARS`` go through the documents in
 blocks of items, so what is broadcast stays bounded.
 """

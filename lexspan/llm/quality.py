@@ -7,7 +7,9 @@ repetition), which has its own rows, so that unseen words say something too. Mea
 vectors of a text feed a network of two layers, trained with numpy on a bounded sample of labelled
 rows; the logits are divided by a temperature fitted on rows set aside.
 
-Null and empty texts have the vector 0 and get the probability that the network gives it.
+Null and empty texts have the vector 0 and get the probability that the network gives it. Repeated rows get equal
+scores, a score of exactly 0.5 counts as label 1, an empty table gives an empty one, without labelled rows every score is
+0.5, and a column of the table with the name of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -147,7 +149,8 @@ class QualityModel:
         return np.maximum((features - self.centre) / self.spread @ w1 + b1, 0) @ w2 + b2
 
     def probability(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(features) / self.temperature, -30, 30)))
+        """Rounded, as sums depend in their last digits on what stands beside a row in a batch."""
+        return (1 / (1 + np.exp(-np.clip(self.logits(features.astype(float)) / self.temperature, -30, 30)))).round(10)
 
 
 def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

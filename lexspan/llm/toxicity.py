@@ -5,12 +5,14 @@ of its document frequency in toxic against other training documents, with an inf
 prior in proportion to its overall frequency; a word takes the score of its most telling token. Words
 without a significant ratio, and unseen ones, count against a passage. One linear pass over the scores of a
 document finds all maximal-scoring segments. Chance segments of a text of n tokens follow an
-extreme-value law: with lambda of the scores under clean text and an assumed K of 0.1, K n exp(-lambda S) of them are
-expected to reach S. Segments below a level of significance are toxic passages; the evidence of a
+extreme-value law: K n exp(-lambda S) of them are expected to reach S. Lambda is solved from the scores under
+clean text, K is the maximum-likelihood estimate from the best segments of clean training rows set aside. Segments below a level of significance are toxic passages; the evidence of a
 document is the sum over its passages of lambda S - ln(K n), and a logistic fit on rows set aside
 turns it into a probability.
 
-Null and empty texts have no passage and no evidence. Without a toxic training row the score is 0.
+Null and empty texts have no passage and no evidence. Without a toxic training row the score is 0. Repeated
+rows get equal scores, a score of exactly 0.5 counts as toxic, an empty table gives an empty one, and a column of the
+table with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -55,13 +57,22 @@ class ToxicModel:
         """That of the token which differs most from ``neutral``; on a tie the higher."""
         return max((self.weights.get(t, self.neutral) for t in tokens(word)), key=lambda w: (abs(w - self.neutral), w))
 
+    def scored(self, words: list[str]) -> list[tuple[int, float]]:
+        """The places and scores of words that aren't neutral."""
+        known = self.weights.keys()
+        return [(k, w) for k, word in enumerate(words) if (word in known or word[:4] + "*" in known or word[:5] + "*" in known or word[:6] + "*" in known) and (w := self.word_score(word)) != self.neutral]
+
+    def best(self, text: str) -> tuple[int, float]:
+        """The number of words and the score of the best segment, 0 if there is none above."""
+        words = WORD.findall(text.lower())
+        return len(words), max((s for *_, s in maximal_segments(self.scored(words), self.neutral)), default=0.0)
+
     def segments(self, text: str) -> tuple[list[tuple[int, int, float, float]], float]:
         """Significant passages (first and past-the-last code point, score, expected number by
         chance), and the evidence of the whole text."""
         low = text.lower()
         words = WORD.findall(low)
-        known = self.weights.keys()
-        scored = [(k, w) for k, word in enumerate(words) if (word in known or word[:4] + "*" in known or word[:5] + "*" in known or word[:6] + "*" in known) and (w := self.word_score(word)) != self.neutral]
+        scored = self.scored(words)
         if not any(w > 0 for _, w in scored):
             return [], 0.0
         found, evidence, spots = [], 0.0, None
@@ -136,7 +147,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean:
     return ratio, np.sign(toxic - expected[0]) * np.sqrt(g.clip(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, out: int = 0, most: int = 10_000, vocabulary: int = 150_000, prior: float = 500.0, z: float = 5.0, neutral: float = -0.5, level: float = 0.05, text_col: str = "text") -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, out: int = 0, most: int = 10_000, vocabulary: int = 150_000, prior: float = 500.0, z: float = 5.0, neutral: float = -0.5, level: float = 0.001, text_col: str = "text") -> ToxicModel:
     """Learn from at most ``most`` labelled rows; ``vocabulary`` bounds the tokens that come to the driver
     (those in the most training documents, 3 at least)."""
     rows = training_rows(docs, labels, label, mod, out, most, text_col)
@@ -152,12 +163,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
     weights = {w: float(s) for w, s, r in zip(top["token"], score, sure, strict=True) if abs(r) >= z}
     share = (clean + 0.01) / (all_clean + 0.01 * len(clean))
     decay = solve_decay(score, share * (abs(sure) >= z), neutral)
-    model = ToxicModel(weights, neutral, decay, math.log(0.1), level, 1.0, 0.0)
     aside = rows.where("part >= 8").select("y", "text")
+    draft = ToxicModel(weights, neutral, decay, 0.0, level, 1.0, 0.0)
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("best", T.DoubleType())]
+    best = append_columns(aside.where("y = 0"), "text", fields, lambda: lambda texts: [pa.array(c, k) for c, k in zip(zip(*map(draft.best, texts.to_pylist()), strict=True), (pa.int32(), pa.float64()), strict=True)])
+    clean_best = best.where("n > 0").select("n", "best").toPandas()  # at most ``most`` rows
+    scale = fit_scale(clean_best["n"].to_numpy(float), clean_best["best"].to_numpy(float), decay)
+    model = ToxicModel(weights, neutral, decay, scale, level, 1.0, 0.0)
     evidence = append_columns(aside, "text", [T.StructField("evidence", T.DoubleType())], lambda: lambda texts: [pa.array([model.segments(t)[1] for t in texts.to_pylist()], pa.float64())])
     told = evidence.select(F.col("y").cast("double").alias("y"), "evidence").toPandas()
     slope, offset = logistic(told["evidence"].to_numpy(), (told["y"] > 0).to_numpy(float))
-    return ToxicModel(weights, neutral, decay, math.log(0.1), level, slope, offset)
+    return ToxicModel(weights, neutral, decay, scale, level, slope, offset)
+
+
+def fit_scale(n: np.ndarray, best: np.ndarray, decay: float) -> float:
+    """ln K by maximum likelihood under P(best < S) = exp(-K n exp(-decay S)). Texts without a segment are
+    known to be below the least score seen; with no segment at all K is that of half a one there."""
+    seen = best > 0
+    floor = best[seen].min() if seen.any() else 1.0
+    mass = float((n * np.exp(-decay * np.where(seen, best, floor))).sum())
+    return math.log(max(float(seen.sum()), 0.5) / mass) if mass else 0.0
 
 
 def solve_decay(score: np.ndarray, share: np.ndarray, neutral: float) -> float:

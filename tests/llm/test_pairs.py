@@ -178,3 +178,34 @@ def test_pipeline(spark, tmp_path):
         assert step.columns == docs.columns, name
     assert {r.text for r in step.where("doc_id = 403").collect()} == {"clean [SECRET] text"}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, an id with two texts, long texts and extra columns: clean rows stay, none crashes; empty tables give none."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node string, id int, parent int, n int"
+    long = " ".join(f"w{k}" for k in range(60_000))
+    texts = [(1, "alpha beta gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon zeta"), (1, "quite another text under one id"), (2, None), (3, ""), (None, "a row without an id"), (None, "a row without an id"), (4, long), (5, long + " more"), (6, "alpha beta gamma delta epsilon zeta")]
+    rows = [(i, t, None if k == 3 else "en", "s", len(t or ""), "x", 1, 2, 3) for k, (i, t) in enumerate(texts)]
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string")
+    for name, keep in (("full", True), ("empty", False)):
+        path = f"{tmp_path}/{name}"
+        for table, df in (("documents", spark.createDataFrame(rows, kind)), ("labels", labels), ("benchmark", items)):
+            (df if keep else df.where("false")).write.parquet(f"{path}/{table}.parquet")
+        got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, path).collect())
+        assert got == (["1", "1", "2", "3", "4", "None", "None"] if keep else [])
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte that differ in one word are near copies; their windows recur."""
+    from lexspan.llm import phrase_dedup, suffix_dedup
+
+    words = [f"w{k}" for k in range(150_000)]
+    other = [*words[:70_000], "changed", *words[70_001:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.component_id for r in near_dedup.near_duplicates(docs).collect()] == [1, 1]
+    left = {r.doc_id: r for r in phrase_dedup.remove_repeats(docs).collect()}
+    assert (left[1].n_words, left[1].removed, left[2].kept) == (150_000, [], "changed")
+    gone = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert bytes(gone[1].kept) == b"w70000" and bytes(gone[2].kept) == b"changed" or len(gone[1].kept) < 20

@@ -253,3 +253,64 @@ def test_classifiers_without_rows(spark, labelled):
     assert toxicity.score_documents(docs, toxicity.fit(docs, none)).where("toxicity >= 0.5").count() == 0
     assert quality.score_documents(docs, quality.fit(docs, none)).where(F.col("quality_score").isNull()).count() == 0
     assert toxicity.score_documents(docs.where("false"), toxicity.fit(docs.where("false"), labels)).count() == 0
+
+
+def test_best_scale_of_chance_segments():
+    """ln K comes back from drawn maxima, also where most texts have no segment."""
+    rng = np.random.default_rng(2)
+    n, k, decay = rng.integers(20, 2000, 4000).astype(float), 0.02, 1.3
+    best = (np.log(k * n) - np.log(-np.log(rng.random(4000)))) / decay
+    assert toxicity.fit_scale(n, best.clip(0.0), decay) == pytest.approx(np.log(k), abs=0.1)
+    assert toxicity.fit_scale(n, np.where(best < 4, 0.0, best), decay) == pytest.approx(np.log(k), abs=0.2)
+    assert np.isfinite(toxicity.fit_scale(n, 0 * n, decay)) and toxicity.fit_scale(n[:0], n[:0], decay) == 0.0
+
+
+LONG = "plain words of a long text without an end " * 20_000
+
+
+def odd_docs(spark):
+    """Nulls, empty and very long texts, repeated rows, an id with two texts, and columns that clash with results."""
+    rows = [(1, "same text here", 5, "x"), (1, "same text here", 5, "x"), (1, "another text", 6, "y"), (2, None, None, None), (3, "", 1, ""), (None, "no id vileword", 2, "z"), (4, LONG, 3, "q")]
+    names = ["ids", "decoded", "toxicity", "toxic_passages", "quality_score", "secret_spans", "edits", "item_id", "n", "y", "part", "lexspan_key"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, source string")
+    return docs.withColumns({c: F.lit(0) for c in names})
+
+
+def test_odd_tables(spark, labelled):
+    docs, labels = odd_docs(spark), labelled[1]
+    none = docs.where("false")
+    toxic, good = toxicity.fit(*labelled), quality.fit(*labelled)
+    items = spark.createDataFrame([(1, "words of a long text without an end plain words", 0)], "item_id long, text string, doc_id int")
+    for make in (
+        lambda d: bpe.digests(bpe.encode_decode(d, vocab_path())),
+        lambda d: secrets.digests(secrets.find_secrets(d)),
+        lambda d: verdicts(toxicity.score_documents(d, toxic), "toxicity", 5, 0),
+        lambda d: verdicts(quality.score_documents(d, good), "quality_score", 3, 1),
+    ):
+        rows = [tuple(r) for r in make(docs).collect()]
+        assert len(rows) == 7 and len({r for r in rows if r[0] == 1}) <= 2, "equal rows have equal results"
+        assert make(none).count() == 0 and make(none).columns == make(docs).columns
+    hits = decontamination.find_leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == {(4, 1)}
+    assert decontamination.find_leaks(none, items).count() == 0 and decontamination.find_leaks(docs, items.where("false")).count() == 0
+    assert toxicity.score_documents(docs, toxicity.fit(docs, labels)).count() == 7
+    n = bpe.digests(bpe.encode_decode(docs, vocab_path())).where("doc_id = 4").first().n_tokens
+    assert n == len(bpe.vocabulary(vocab_path()).encode(LONG)) > 100_000
+
+
+def test_half_counts_as_one(spark):
+    scored = spark.createDataFrame([(1, 0.5), (2, 0.49999), (3, 1.0)], "doc_id long, s double")
+    assert {r.doc_id: r.predicted for r in verdicts(scored, "s", 5, 0).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_shards_are_uniform(spark):
+    """Each row is as likely in any shard, and two rows share one as often as chance has it."""
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "doc_id long, text string")
+    counts, pairs = np.zeros((300, 5)), 0
+    for seed in range(40):
+        got = sharding.shard_rows(sharding.slim(docs), 5, seed=seed).toPandas().set_index("doc_id")["shard"].sort_index().to_numpy()
+        counts[np.arange(300), got] += 1
+        pairs += int((got[::2] == got[1::2]).sum())
+    assert counts.sum(0) == pytest.approx([2400] * 5, abs=1)
+    assert ((counts - 8) ** 2 / 8).sum() == pytest.approx(300 * 4, rel=0.12), "chi square over rows and shards"
+    assert pairs / (40 * 150) == pytest.approx((300 / 5 - 1) / 299, abs=0.025)
