@@ -16,7 +16,11 @@ from lexspan.streaming import store as st
 
 def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        shared = tempfile.gettempdir()
     return f"{shared}/store-{uuid.uuid4().hex}"
 
 

@@ -1,14 +1,18 @@
-"""A store of annotations with snapshots: transactions, erasure, and appends from streams.
+"""A store of annotations with snapshots: transactions, erasure, compaction, and appends from streams.
 
-Each transaction writes its rows as Parquet below its own id, and becomes visible when its manifest
-file is renamed into place, which is one atomic step. A reader pins the manifests that are there
-when it starts. Erased ranges are rows too; readers drop what lies inside one that came later.
+Each transaction writes its rows as Parquet below its own id, and becomes visible when its manifest takes the next
+free number. Manifests are named by the number alone and published by a step that fails if the name is taken, so
+of two writers that want one number the second takes the next. A reader pins the manifests that are there
+when it starts and reads all their rows in one scan. Erased ranges are rows too; readers drop what lies inside one
+that came later. Compaction publishes what is visible up to a snapshot as one table; later readers begin there.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +20,8 @@ from pyspark.sql.window import Window
 from lexspan.functions import text as tx
 from lexspan.operators.intervals import gc_reduce
 
-ROWS = "feature string, doc_id long, p long, q long, v double, snap long"
+PLAIN = "feature string, doc_id long, p long, q long, v double"
+ROWS = f"{PLAIN}, snap long"
 
 
 class Store:
@@ -28,24 +33,86 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.path}/manifest"))
+        self._known: dict[int, dict] = {}
+
+    def manifests(self) -> list[tuple[int, dict]]:
+        """What was published, in order: (number, {"ids": transactions} or {"compacted": id, "upto": number})."""
+        return [(n, self._manifest(n)) for n in self._numbers()]
+
+    def _numbers(self) -> list[int]:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, n: int) -> dict:
+        """Published manifests never change, so each is read once."""
+        if n not in self._known:
+            stream = self._fs.open(self._path(f"{self.path}/manifest/{n:012d}"))
+            try:
+                self._known[n] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return self._known[n]
+
+    def publish(self, entry: dict) -> int:
+        """The number that the entry got; it is visible as a whole or not at all."""
+        draft = self._path(f"{self.path}/manifest/_{uuid.uuid4().hex}")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        n = max(self._known, default=0) + 1
+        while not self._named(draft, n):
+            n = max(self._numbers()) + 1
+        self._known[n] = entry
+        return n
+
+    def _named(self, draft, n: int) -> bool:
+        """Give the draft its number unless that is taken. A rename fails then, but on a local disk, where a link does."""
+        to = self._path(f"{self.path}/manifest/{n:012d}")
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(to) and bool(self._fs.rename(draft, to))
+        jvm = self.spark._jvm
+        local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(local(to), local(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        self._fs.delete(draft, False)
+        return True
 
     def snapshots(self) -> list[tuple[int, str]]:
         """Committed transactions in order: (number, id)."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
-        found = [n.split("-", 1) for n in names if not n.startswith(("_", "."))]
-        return sorted((int(n), tid) for n, tid in found)
+        return [(n, tid) for n, m in self.manifests() for tid in m.get("ids", [])]
 
     def transaction(self) -> Transaction:
         return Transaction(self)
 
     def read(self, upto: int | None = None) -> DataFrame:
         """(feature, doc_id, p, q, v, snap) as of a snapshot; None: all that is committed now."""
-        snaps = [(n, tid) for n, tid in self.snapshots() if upto is None or n <= upto]
-        rows = self.spark.createDataFrame([], ROWS)
-        for n, tid in snaps:
-            rows = rows.unionByName(self.spark.read.schema("feature string, doc_id long, p long, q long, v double").parquet(f"{self.path}/data/{tid}").withColumn("snap", F.lit(n).cast("long")))
+        found = [(n, m) for n, m in self.manifests() if upto is None or n <= upto]
+        base = max(((m["upto"], m["compacted"]) for _, m in found if "compacted" in m), default=(0, None))
+        later = [(n, tid) for n, m in found if n > base[0] for tid in m.get("ids", [])]
+        rows = self.spark.createDataFrame([], ROWS) if base[1] is None else self.spark.read.schema(ROWS).parquet(f"{self.path}/compacted/{base[1]}")
+        if later:
+            scan = self.spark.read.schema(f"{PLAIN}, tid string").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/tid={tid}" for _, tid in later])
+            numbers = self.spark.createDataFrame([(tid, n) for n, tid in later], "tid string, snap long")
+            rows = rows.unionByName(scan.join(numbers, "tid").drop("tid"))
         return visible(rows)
 
+    def compact(self) -> int:
+        """Write what is visible now as one table; the number of the manifest. Readers of earlier snapshots and
+        transactions that commit meanwhile are not affected."""
+        upto, name = max((n for n, _ in self.manifests()), default=0), uuid.uuid4().hex
+        self.read(upto).repartition("feature").sortWithinPartitions("feature", "doc_id", "p").write.parquet(f"{self.path}/compacted/{name}")
+        return self.publish({"compacted": name, "upto": upto})
+
+    def commit_all(self, transactions: list[Transaction]) -> int:
+        """Publish several transactions as one snapshot; all of them or none."""
+        if not all(t.ready() for t in transactions):
+            raise RuntimeError("commit without a yes vote")
+        return self.publish({"ids": [t.id for t in transactions]})
+
 
 class Transaction:
     """Writes that nobody sees before ``commit``; one that isn't ready can't commit."""
@@ -64,10 +131,10 @@ class Transaction:
     def ready(self) -> bool:
         """Write all rows; the vote is remembered."""
         if self.ready_vote is None:
-            rows = self.parts[0] if self.parts else self.store.spark.createDataFrame([], "feature string, doc_id long, p long, q long, v double")
+            rows = self.parts[0] if self.parts else self.store.spark.createDataFrame([], PLAIN)
             for part in self.parts[1:]:
                 rows = rows.unionByName(part)
-            rows.sortWithinPartitions("feature", "doc_id", "p").write.mode("overwrite").parquet(f"{self.store.path}/data/{self.id}")
+            rows.sortWithinPartitions("feature", "doc_id", "p").write.mode("overwrite").parquet(f"{self.store.path}/data/tid={self.id}")
             self.ready_vote = True
         return self.ready_vote
 
@@ -75,16 +142,10 @@ class Transaction:
         """Publish; the number of the snapshot."""
         if not self.ready_vote:
             raise RuntimeError("commit without a yes vote")
-        fs, path = self.store._fs, self.store._path
-        draft = path(f"{self.store.path}/manifest/_{self.id}")
-        fs.create(draft).close()
-        n = 1 + max((k for k, _ in self.store.snapshots()), default=0)
-        if not fs.rename(draft, path(f"{self.store.path}/manifest/{n:012d}-{self.id}")):
-            raise RuntimeError("another transaction took this number")
-        return n
+        return self.store.publish({"ids": [self.id]})
 
     def abort(self) -> None:
-        self.store._fs.delete(self.store._path(f"{self.store.path}/data/{self.id}"), True)
+        self.store._fs.delete(self.store._path(f"{self.store.path}/data/tid={self.id}"), True)
         self.parts, self.ready_vote = [], False
 
 

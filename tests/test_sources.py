@@ -123,3 +123,48 @@ def test_command_line(spark, tmp_path):
     assert [r["docno"] for r in answer(spark, "gcl", path, "fox")["results"]] == ["a", "b"]
     assert answer(spark, "cover", path, "(... quick fox)")["results"][0]["summary"] == "quick brown fox"
     assert main(["nothing"]) == 1
+
+
+def test_two_writers_and_compaction(spark, tmp_path):
+    """Writers that commit at the same time get numbers of their own, and nothing is lost; compaction changes no result."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "shared")
+    st.Store(spark, path)
+
+    def writer(name):
+        store, numbers = st.Store(spark, path), []
+        for k in range(6):
+            t = store.transaction()
+            t.annotate(spark.createDataFrame([(name, k, 0, 1, float(k))], st.PLAIN))
+            t.ready()
+            numbers.append(t.commit())
+        return numbers
+
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(writer, ["a", "b", "c"]))
+    assert sorted(n for own in numbers for n in own) == list(range(1, 19)) and all(own == sorted(own) for own in numbers)
+    store = st.Store(spark, path)
+    rows = lambda upto=None: sorted(tuple(r) for r in store.read(upto).collect())
+    before, early = rows(), rows(7)
+    assert len(before) == 18 and len(early) == 7
+    assert store.compact() == 19 and rows() == before and rows(7) == early
+    t, u = store.transaction(), store.transaction()
+    t.erase(spark.createDataFrame([(0, 0, 5)], "doc_id long, p long, q long"))
+    u.annotate(spark.createDataFrame([("d", 0, 0, 1, 9.0)], st.PLAIN))
+    assert store.commit_all([t, u]) == 20
+    assert {r[0] for r in rows() if r[1] == 0} == set() and len(rows()) == 15 and rows(19) == before
+    assert store.compact() == 21 and len(rows()) == 15 and rows(18) == before
+
+
+def test_many_commits(spark, tmp_path):
+    """A plan of one size whatever the number of commits."""
+    store = st.Store(spark, str(tmp_path / "many"))
+    t = store.transaction()
+    t.annotate(spark.createDataFrame([("a", 1, 0, 0, 0.0)], st.PLAIN))
+    t.ready()
+    for _ in range(1000):
+        store.publish({"ids": []})
+    t.commit()
+    rows = store.read()
+    assert rows.collect()[0].snap == 1001 and rows._jdf.queryExecution().optimizedPlan().toString().count("parquet") < 6
