@@ -127,6 +127,27 @@ def posting_budget(spark, sf_dir):
     return counts.crossJoin(F.broadcast(total)).withColumn("admitted", F.col("total") <= 2_000_000).orderBy(F.desc("bytes"), "term").limit(4)
 
 
+@register("container_dump", with_(TOK, WORDS, select="SELECT doc_id, array_to_string(t, ' ') AS line FROM said WHERE len(t) > 0"))
+def container_dump(spark, sf_dir):
+    """Every container as one line of text."""
+    e = engine(spark, sf_dir)
+    return e.translate(spans(e.gcl(":item"))).select("doc_id", F.col("said").alias("line"))
+
+
+@register("tf_spans", with_(TOK, WHOLE, select=f"SELECT w.doc_id, w.p, w.q, count(*)::DOUBLE AS v FROM tok JOIN w USING (doc_id) WHERE term = '{A}' GROUP BY ALL"))
+def tf_spans(spark, sf_dir):
+    """Term frequencies, annotated at the first place of a content interval, with that interval."""
+    e = engine(spark, sf_dir)
+    tf = e.gcl(A).groupBy("doc_id").agg(F.count("*").cast("double").alias("v")).withColumn("p", F.lit(0).cast("long"))
+    return iv.with_content(tf, e.items())
+
+
+@register("single_sources", "SELECT 7::BIGINT AS doc_id, 3::BIGINT AS p, 5::BIGINT AS q, 1.5::DOUBLE AS v")
+def single_sources(spark, sf_dir):
+    """A list of one interval, and the empty list merged into it."""
+    return iv.merge(iv.single(spark, 7, 3, 5, 1.5), iv.single(spark))
+
+
 @register("query_weights", with_(QUERY, select="SELECT topic, term, weight FROM topic_terms"))
 def query_weights(spark, sf_dir):
     from lexspan.operators.ranking import query_terms

@@ -1,7 +1,8 @@
 """Command line: ``python -m lexspan.cli MODE FILE ARGUMENT``; FILE holds JSON lines with docid and contents.
 
 Modes: text, gcl, cover (documents for a text or an expression), get (a document by its id), count
-(documents that an expression matches), describe. Exit 1: usage; 2: a failure while running.
+(documents that an expression matches), describe, batch (the text queries of a file of lines, each an id, a
+tab and a text; all in one job). Exit 1: usage; 2: a failure while running.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.operators import ranking as rk
 from lexspan.operators import search as se
 from lexspan.plans.engine import Engine
 from lexspan.plans.gcl import GclError, Node, parse
-from lexspan.sources.ingest import jsonl_documents, read_lines
+from lexspan.sources.ingest import jsonl_documents, query_lines, read_lines
 
-MODES = ("text", "gcl", "cover", "get", "count", "describe")
+MODES = ("text", "gcl", "cover", "get", "count", "describe", "batch")
 
 
 def answer(spark: SparkSession, mode: str, path: str, argument: str, depth: int = 10) -> dict:
@@ -32,6 +34,13 @@ def answer(spark: SparkSession, mode: str, path: str, argument: str, depth: int
         return found.asDict() if found else {}
     if mode == "count":
         return {"count": engine.gcl(Node(">>", (parse(":item"), parse(argument)))).count()}
+    if mode == "batch":
+        topics = query_lines(read_lines(spark, argument))
+        ids = topics.withColumn("item_id", F.xxhash64("topic"))
+        run = rk.ranked(rk.bm25(engine.tokens, rk.query_terms(ids), length=engine.lengths()), depth)
+        found = run.join(ids.select(F.col("item_id").alias("topic"), F.col("topic").alias("name")), "topic").join(names, "doc_id")
+        results = [r.asDict() for r in found.select(F.col("name").alias("topic"), "rank", "docno", "score").orderBy("topic", "rank").collect()]
+        return {"results": results, "truncated": False}
     if mode == "cover":
         hits = se.summaries(engine, argument, depth)
     else:

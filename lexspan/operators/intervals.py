@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -158,3 +158,13 @@ def longer(a: DataFrame, n: int, yes: bool = True) -> DataFrame:
 
 def shorter(a: DataFrame, n: int, yes: bool = True) -> DataFrame:
     return a.where(f"{LENGTH} <= {n}" if yes else f"{LENGTH} > {n}")
+
+
+def single(spark: SparkSession, doc_id: int | None = None, p: int = 0, q: int = 0, v: float = 0.0) -> DataFrame:
+    """A list of one interval; without a document the empty list."""
+    return spark.createDataFrame([] if doc_id is None else [(doc_id, p, q, v)], "doc_id long, p long, q long, v double")
+
+
+def with_content(points: DataFrame, content: DataFrame) -> DataFrame:
+    """Values annotated at one place, (doc_id, p, v), with the content interval that starts there."""
+    return points.select("doc_id", "p", "v").join(content.select("doc_id", "p", "q"), ["doc_id", "p"]).select("doc_id", "p", "q", "v")
