@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces in which a batch is worked on, so that Python's memory doesn't follow the batch size.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Makes Spark delete the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

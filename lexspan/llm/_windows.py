@@ -172,7 +172,7 @@ def unpacked(packs: list[bytes]) -> list[bytes]:
     return [zstandard.decompress(p) for p in packs]
 
 
-def batch_pieces(batches, column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def batch_pieces(batches, column: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for a, b in pieces(batch.column(column), most):
             part = batch.slice(a, b - a)

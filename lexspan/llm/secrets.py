@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm._shared import append_columns, arrow_map
+from lexspan.llm._shared import append_columns, arrow_map, pieces
 
 #: The patterns every scan has, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -267,38 +267,30 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     return append_columns(docs, text_col, [T.StructField(spans_col, T.ArrayType(SPAN))], make)
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", labelled: tuple[tuple[str, str], ...] | None = None, least: float = 12.0) -> DataFrame:
     """``docs`` with every secret span (overlapping ones as one) replaced by ``mark``; texts without
-    a span, null and empty ones included, stay as they are."""
-    spans = "lexspan_secret_spans"
-
-    def make():
-        def work(texts: pa.Array, found: pa.Array) -> pa.Array:
-            out = []
-            for text, own in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-                if own:
-                    kept, at = [], 0
-                    for s in own:
-                        if s["start"] >= at:
-                            kept += [text[at : s["start"]], mark]
-                        at = max(at, s["end"])
-                    text = "".join([*kept, text[at:]])
-                out.append(text)
-            return pa.array(out, pa.string())
-
-        return work
-
-    with_spans = find_secrets(docs, text_col, spans, **options)
+    a span, null and empty ones included, stay as they are. Spans are found and cut in one pass."""
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
-        work = make()
+        model = format_model(labelled)
         for batch in batches:
-            columns = batch.columns[:-1]
-            columns[at] = work(columns[at], batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return arrow_map(with_spans, run, schema)
+            for a, b in pieces(batch.column(at)):
+                columns = batch.slice(a, b - a).columns
+                columns[at] = pa.array([text and cut(text, all_spans(text, model, least), mark) for text in columns[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return arrow_map(docs, run, schema)
+
+
+def cut(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """The text with its spans, which are in order, replaced."""
+    kept, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            kept += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*kept, text[at:]])
 
 
 def digests(found: DataFrame, spans_col: str = "secret_spans") -> DataFrame:
