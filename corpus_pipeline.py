@@ -27,12 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group, at a similarity of 0.85 or more over five words.
+    """The document with the least id of each group, linked at a similarity of 0.8 or more over five words.
 
     Of equal rows (id and text) the first in the order of the other columns stays; different texts of one
     id all stay. The ids that go are distinct, so joining and numbering share one exchange.
     """
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
     same = Window.partitionBy("doc_id", F.xxhash64("text"), F.hash("text")).orderBy(F.struct(*rest))
