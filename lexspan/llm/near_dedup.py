@@ -31,6 +31,8 @@ from lexspan.llm._windows import Names, batch_pieces, mixed, packed, unpacked, w
 
 #: Positions of a signature, trees, sets of a node that is compared at once, rounds of chance blocks at most.
 POSITIONS, TREES, LEAF, DEPTH = 96, 12, 800, 10
+#: Rows of nodes that are broadcast at most; more are joined by their name.
+FEW = 100_000
 #: Children of a set in a node that branches; levels of branching below the roots at most.
 CHILDREN, LEVELS = 5, 6
 FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -139,7 +141,9 @@ def large_links(texts: DataFrame, inside: DataFrame, width: int, percent: int) -
     key = lambda kind, i, j: F.xxhash64("node", F.lit(kind), i, j)
     of_main = upto(rests, lambda i: key(0, i, mine(mains)))
     of_rest = F.concat(upto(mains, lambda j: key(0, mine(rests), j)), upto(rests, lambda i: key(1, F.least(i, mine(rests)), F.greatest(i, mine(rests)))))
-    dealt = own.drop("n").join(F.broadcast(top.where("rest > 0")), "node").select(F.explode(F.when(F.col("part") == F.col("main"), of_main).otherwise(of_rest)).alias("node"), "id")
+    uneven = top.where("rest > 0")
+    few = uneven.count() <= FEW
+    dealt = own.drop("n").join(F.broadcast(uneven) if few else uneven, "node").select(F.explode(F.when(F.col("part") == F.col("main"), of_main).otherwise(of_rest)).alias("node"), "id")
     last = compared(listed(dealt), width, percent)
     return last if links is None else links.union(last)
 

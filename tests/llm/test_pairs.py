@@ -164,14 +164,16 @@ def test_pipeline(spark, tmp_path):
         if k % 8 == 0:
             words[5:5] = ["vileword", "scumline"]
         texts.append(" ".join(words))
-    texts += [texts[1], texts[1] + " x", f"{texts[2]} {item} {texts[3]}", "clean password: hunter2222 text", None, ""]
+    near = texts[5].split()
+    near[55] = "changed"  # 51 of 61 shingles are shared
+    texts += [texts[1], texts[1] + " x", f"{texts[2]} {item} {texts[3]}", "clean password: hunter2222 text", None, "", " ".join(near)]
     ids = list(range(len(texts)))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == {i for i in ids if not (i < 400 and i % 8 == 0) and i not in (400, 401, 402)}
+    assert got == {i for i in ids if not (i < 400 and i % 8 == 0) and i not in (400, 401, 402, 406)}
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
