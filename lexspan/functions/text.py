@@ -158,6 +158,6 @@ def stems(terms: DataFrame, col: str = "term") -> DataFrame:
 
 def with_stems(tokens_: DataFrame) -> DataFrame:
     """Tokens with those stems beside them that differ, as ``porter:`` terms at the same address."""
-    joined = tokens_.join(stems(tokens_).persist(), "term")  # each distinct word is stemmed once
+    joined = tokens_.join(stems(tokens_), "term")  # each distinct word is stemmed once
     changed = joined.where("term <> stem").select("doc_id", F.concat(F.lit("porter:"), "stem").alias("term"), "pos")
     return tokens_.unionByName(changed)
