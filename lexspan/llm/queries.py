@@ -1,5 +1,5 @@
 """The registered queries of the training-data operators: thin, with production parameters, over
-whole tables. SQL can't express these at table size; tests hold them against brute force."""
+whole tables. Spelling variants and conversation repair have SQL; tests hold all of them against brute force."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import bpe, decontamination, embedding_dedup, near_dedup, phrase_dedup, quality, secrets, sharding, suffix_dedup, toxicity
+from lexspan.llm import (
+    bpe, conversation_repair, decontamination, embedding_dedup, near_dedup, oracles, phrase_dedup, quality, secrets, sentencepiece_bpe,
+    sharding, spelling, suffix_dedup, toxicity,
+)
 from lexspan.llm._shared import remainder, table
 
 
@@ -19,6 +22,13 @@ def vocab_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The SentencePiece model that queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def verdicts(scored: DataFrame, score_col: str, mod: int, out: int) -> DataFrame:
     """doc_id, held_out, score, predicted; a null id is not held out."""
     return scored.select(
@@ -75,10 +85,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(quality.score_documents(docs, model), "quality_score", 3, 1)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.group_variants(spelling.word_counts(words, 5, 3), 2.0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, piece_model_path(), packed=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_near_dedup, op5_bpe, op6_secrets, op7_phrase_dedup, op8_decontamination, op9_embedding_dedup, op10_quality]
+    found = [op1_sharding, op2_suffix_dedup, op3_toxicity, op4_near_dedup, op5_bpe, op6_secrets, op7_phrase_dedup, op8_decontamination, op9_embedding_dedup, op10_quality, op11_spelling, op12_conversation_repair, op13_sentencepiece]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_spelling": oracles.SPELLING, "op12_conversation_repair": oracles.CONVERSATIONS}
