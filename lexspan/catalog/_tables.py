@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.plans.engine import Engine
+from lexspan.plans.engine import StoredEngine
+from lexspan.sources.postings import Postings
 
 #: Terms of the sample queries.
 A, B, C, D = "with", "was", "from", "that"
@@ -15,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def engine(spark: SparkSession, sf_dir: str, stem: bool = False) -> Engine:
-    return Engine(table(spark, sf_dir, "documents").select("doc_id", "text"), stem=stem)
+def engine(spark: SparkSession, sf_dir: str, stem: bool = False) -> StoredEngine:
+    """The engine over the stored index of the documents, which the first query of a table builds."""
+    index = Postings.stored(spark, f"{sf_dir}/documents.parquet")
+    return StoredEngine(index, table(spark, sf_dir, "documents").select("doc_id", "text"), stem=stem)
 
 
 def spans(rows: DataFrame) -> DataFrame:

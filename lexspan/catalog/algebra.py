@@ -75,14 +75,12 @@ def gc_reduce(spark, sf_dir):
 
 @register("term_df", with_(TOK, select="SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY term"))
 def term_df(spark, sf_dir):
-    from lexspan.operators import ranking as rk
-
-    return rk.document_frequencies(rk.term_frequencies(engine(spark, sf_dir).tokens)).select("term", F.col("cf").alias("n"), "df")
+    return engine(spark, sf_dir).vocabulary().select("term", F.col("cf").alias("n"), "df")
 
 
 @register("vocab_size", with_(TOK, select="SELECT count(DISTINCT term) AS vocab FROM tok"))
 def vocab_size(spark, sf_dir):
-    return engine(spark, sf_dir).tokens.agg(F.countDistinct("term").alias("vocab"))
+    return engine(spark, sf_dir).vocabulary().agg(F.count("term").alias("vocab"))
 
 
 @register("token_total", with_(TOK, select="SELECT count(*) AS n_tokens, count(DISTINCT doc_id) AS items FROM tok"))
@@ -122,7 +120,7 @@ def count_matches(spark, sf_dir):
 @register("posting_budget", with_(TOK, f"own AS (SELECT term, count(*) AS n, 24 * count(*) AS bytes FROM tok WHERE term IN ('{A}', '{B}', '{C}', '{D}', 'the') GROUP BY term)", select="SELECT term, n, bytes, sum(bytes) OVER ()::BIGINT AS total, sum(bytes) OVER () <= 2000000 AS admitted FROM own ORDER BY bytes DESC, term LIMIT 4"))
 def posting_budget(spark, sf_dir):
     terms = leaves(parse(f'(^ {A} (+ {B} {C} "{D} the"))'))
-    counts = engine(spark, sf_dir).tokens.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * 24)
+    counts = engine(spark, sf_dir).vocabulary().where(F.col("term").isin(*terms)).select("term", F.col("cf").alias("n"), (F.col("cf") * 24).alias("bytes"))
     total = counts.agg(F.sum("bytes").alias("total"))
     return counts.crossJoin(F.broadcast(total)).withColumn("admitted", F.col("total") <= 2_000_000).orderBy(F.desc("bytes"), "term").limit(4)
 

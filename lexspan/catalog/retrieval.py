@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,35 +32,33 @@ def one_query(spark, text: str) -> DataFrame:
 
 @register("tf", with_(TOK, TF, select="SELECT doc_id, term, tf FROM tf"))
 def tf(spark, sf_dir):
-    return rk.term_frequencies(engine(spark, sf_dir).tokens)
+    return engine(spark, sf_dir).frequencies()
 
 
 @register("df_stats", with_(TOK, TF, DF, select="SELECT term, df, cf FROM df"))
 def df_stats(spark, sf_dir):
-    return rk.document_frequencies(rk.term_frequencies(engine(spark, sf_dir).tokens))
+    return engine(spark, sf_dir).vocabulary().select("term", "df", "cf")
 
 
 @register("tf_annotations", with_(TOK, TF, select="SELECT concat('tf:', term) AS feature, doc_id, 0::BIGINT AS p, tf::DOUBLE AS v FROM tf UNION ALL SELECT 'total:items', NULL, 0, count(DISTINCT doc_id)::DOUBLE FROM tok UNION ALL SELECT 'total:length', NULL, 0, count(*)::DOUBLE FROM tok"))
 def tf_annotations(spark, sf_dir):
-    tokens = engine(spark, sf_dir).tokens
-    rows = rk.term_frequencies(tokens).select(F.concat(F.lit("tf:"), "term").alias("feature"), "doc_id", F.lit(0).cast("long").alias("p"), F.col("tf").cast("double").alias("v"))
-    total = rk.totals(tokens).select(F.explode(F.create_map(F.lit("total:items"), "items", F.lit("total:length"), "length")).alias("feature", "v"))
+    e = engine(spark, sf_dir)
+    rows = e.frequencies().select(F.concat(F.lit("tf:"), "term").alias("feature"), "doc_id", F.lit(0).cast("long").alias("p"), F.col("tf").cast("double").alias("v"))
+    total = rk.sums(e.lengths()).select(F.explode(F.create_map(F.lit("total:items"), "items", F.lit("total:length"), "length")).alias("feature", "v"))
     return rows.unionByName(total.select("feature", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("p"), F.col("v").cast("double").alias("v")))
 
 
 @register("idf_rsj", with_(STATS, select=f"SELECT term, round(greatest(0, ln(items / df)), 6) AS idf, round({RSJ}, 6) AS rsj, round(avgl, 6) AS avgl FROM df, total"))
 def idf_rsj(spark, sf_dir):
     e = engine(spark, sf_dir)
-    df = rk.document_frequencies(rk.term_frequencies(e.tokens)).crossJoin(F.broadcast(rk.sums(e.lengths())))
-    return df.select("term", F.round(rk.idf(F.col("items"), F.col("df")), 6).alias("idf"), F.round(rk.rsj(F.col("items"), F.col("df")), 6).alias("rsj"), F.round("avgl", 6).alias("avgl"))
+    return e.vocabulary().select("term", F.round(rk.idf(F.col("items"), F.col("df")), 6).alias("idf"), F.round(rk.rsj(F.col("items"), F.col("df")), 6).alias("rsj"), F.round("avgl", 6).alias("avgl"))
 
 
 @register("rsj_weights", with_(STATS, QUERY, select=f"SELECT topic, term, weight, round({RSJ}, 6) AS rsj FROM topic_terms JOIN df USING (term), total WHERE {RSJ} > 0"))
 def rsj_weights(spark, sf_dir):
     e = engine(spark, sf_dir)
-    tokens = e.tokens
     query = topics(spark, sf_dir)
-    found = rk.weighted_terms(query, rk.term_frequencies(rk.matching(tokens, query)), rk.sums(e.lengths()))
+    found = rk.weighted_terms(query, e.statistics(query)[1])
     return found.select("topic", "term", "weight", F.round("rsj", 6).alias("rsj"))
 
 
@@ -104,21 +104,21 @@ def run_of(scores: DataFrame, depth: int) -> DataFrame:
 
 @register("batch_bm25", with_(STATS, QUERY, BM25, select=RANKED.format("b25", 10)))
 def batch_bm25(spark, sf_dir):
-    e = engine(spark, sf_dir)
-    return run_of(rk.bm25(e.tokens, topics(spark, sf_dir), length=e.lengths()), 10)
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    return run_of(rk.bm25(e.statistics(query), query), 10)
 
 
 @register("bm25", with_(STATS, f"topic_terms AS (SELECT 0 AS topic, unnest(['{A}', '{B}', '{C}']) AS term, 1.0 AS weight)", BM25, select="SELECT doc_id, score FROM b25 ORDER BY score DESC, doc_id LIMIT 20"))
 def bm25(spark, sf_dir):
     query = spark.createDataFrame([(0, t, 1.0) for t in (A, B, C)], "topic long, term string, weight double")
     e = engine(spark, sf_dir)
-    return rk.top(rk.bm25(e.tokens, query, length=e.lengths()).drop("topic"), 20)
+    return rk.top(rk.bm25(e.statistics(query), query).drop("topic"), 20)
 
 
 @register("lmd", with_(STATS, QUERY, "lm AS (SELECT topic, doc_id, round(sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))), 6) AS score FROM tf JOIN df USING (term) JOIN topic_terms USING (term) JOIN dl USING (doc_id), total GROUP BY topic, doc_id HAVING sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))) > 0)", select=RANKED.format("lm", 10)))
 def lmd(spark, sf_dir):
-    e = engine(spark, sf_dir)
-    return run_of(rk.lmd(e.tokens, topics(spark, sf_dir), length=e.lengths()), 10)
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    return run_of(rk.lmd(e.statistics(query), query), 10)
 
 
 @register("ssr", with_(TOK, XA, XB, COVER, DENSITY, select="SELECT d.doc_id, round(d.score, 6) AS score, b.p, b.q FROM dens d JOIN (SELECT doc_id, arg_min(p, (q - p) * 1000000 + p) AS p, arg_min(q, (q - p) * 1000000 + p) AS q FROM cover GROUP BY doc_id) b USING (doc_id) ORDER BY score DESC, d.doc_id LIMIT 10"))
@@ -145,7 +145,8 @@ def dot_product(spark, sf_dir):
 @register("rrf_fusion", with_(STATS, QUERY, BM25, "lm AS (SELECT topic, doc_id, round(sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))), 6) AS score FROM tf JOIN df USING (term) JOIN topic_terms USING (term) JOIN dl USING (doc_id), total GROUP BY topic, doc_id HAVING sum(weight * (ln(2000 + tf * length / cf) - ln(2000 + len))) > 0)", f"runs AS ({RANKED.format('b25', 20)} UNION ALL {RANKED.format('lm', 20)})", select="SELECT topic, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM runs GROUP BY topic, doc_id"))
 def rrf_fusion(spark, sf_dir):
     e, query = engine(spark, sf_dir), topics(spark, sf_dir)
-    runs = run_of(rk.bm25(e.tokens, query, length=e.lengths()), 20).unionByName(run_of(rk.lmd(e.tokens, query, length=e.lengths()), 20))
+    stats = e.statistics(query)
+    runs = run_of(rk.bm25(stats, query), 20).unionByName(run_of(rk.lmd(stats, query), 20))
     return rk.reciprocal_rank_fusion(runs).withColumn("score", F.round("score", 6))
 
 
@@ -167,18 +168,14 @@ best AS (SELECT doc_id, score, p, q FROM scored WHERE score > 0 OR n = 1 QUALIFY
 def icover(spark, sf_dir):
     e = engine(spark, sf_dir)
     terms = [A, B, C]
-    total = rk.totals(e.tokens).first()
-    counts = dict(e.tokens.where(F.col("term").isin(*terms)).groupBy("term").count().collect())
-    return rk.icover(e.tokens, terms, total["length"], total["vocab"], counts, 20).withColumn("score", F.round("score", 6))
+    total = e.totals()
+    return rk.icover(e.places(terms), terms, total["length"], total["vocab"], e.counts(terms), 20).withColumn("score", F.round("score", 6))
 
 
 def tiers(spark, sf_dir) -> list[str]:
     """Tiers of the sample terms by their weights."""
     e = engine(spark, sf_dir)
-    total = rk.totals(e.tokens).first()
-    import math
-
-    counts = dict(e.tokens.where(F.col("term").isin(A, B, C)).groupBy("term").count().collect())
+    total, counts = e.totals(), e.counts([A, B, C])
     return rk.build_tiers({t: math.log((total["length"] + total["vocab"]) / (n + 1)) for t, n in counts.items()})
 
 
@@ -230,10 +227,10 @@ def rsj_prf(spark, sf_dir):
 
 
 def _feedback(spark, sf_dir, e, expansions, score, gamma):
-    tokens = e.tokens
-    run = run_of(rk.bm25(tokens, topics(spark, sf_dir), length=e.lengths()), 10)
+    query = topics(spark, sf_dir)
+    run = run_of(rk.bm25(e.statistics(query), query), 10)
     whole = run.join(e.lengths(), "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.col("len") - 1).alias("q"))
-    return rk.feedback(tokens, whole, expansions, score, gamma)
+    return rk.feedback(e.tokens_of(run), e.vocabulary(), whole, expansions, score, gamma)
 
 
 @register("kld_prf", with_(STATS, QUERY, BM25, PRF, "e AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, len)) AS e FROM seen JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", "r AS (SELECT topic, term, round(f * ln(f / e), 9) AS score FROM e WHERE f * ln(f / e) > 0)", select="SELECT topic, term, round(score / best / 3, 6) AS weight FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS best, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM r) WHERE rank <= 8"))
@@ -254,8 +251,8 @@ def stopword_query(spark, sf_dir):
 @register("feedback_fusion", with_(STATS, QUERY, BM25, PRF, "e AS (SELECT topic, term, f, sum(1 - pow(1 - cf / length, len)) AS e FROM seen JOIN df USING (term) JOIN first USING (topic) JOIN dl ON dl.doc_id = first.doc_id, total WHERE f > 1 GROUP BY ALL)", "r AS (SELECT topic, term, round(f * ln(f / e), 9) AS score FROM e WHERE f * ln(f / e) > 0)", "more AS (SELECT topic, term, score / best / 3 AS weight FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS best, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM r) WHERE rank <= 8)", "q2 AS (SELECT topic, term, sum(weight) AS weight FROM (SELECT * FROM topic_terms UNION ALL SELECT * FROM more) GROUP BY ALL)", BM25.replace("b25 AS", "b26 AS").replace("topic_terms", "q2"), f"runs AS ({RANKED.format('b25', 20)} UNION ALL {RANKED.format('b26', 20)})", select="SELECT topic, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM runs GROUP BY topic, doc_id"))
 def feedback_fusion(spark, sf_dir):
     e, query = engine(spark, sf_dir), topics(spark, sf_dir)
-    wider = rk.expanded(query, _feedback(spark, sf_dir, e, 8, "kld", 1 / 3))
-    runs = run_of(rk.bm25(e.tokens, query, length=e.lengths()), 20).unionByName(run_of(rk.bm25(e.tokens, wider, length=e.lengths()), 20))
+    wider = rk.expanded(query, _feedback(spark, sf_dir, e, 8, "kld", 1 / 3), 8)
+    runs = run_of(rk.bm25(e.statistics(query), query), 20).unionByName(run_of(rk.bm25(e.statistics(wider), wider), 20))
     return rk.reciprocal_rank_fusion(runs).withColumn("score", F.round("score", 6))
 
 
@@ -263,8 +260,9 @@ def feedback_fusion(spark, sf_dir):
 def qa_prf(spark, sf_dir):
     """Terms around the best cover of each ranked document."""
     e, query = engine(spark, sf_dir), topics(spark, sf_dir)
-    tokens, run = e.tokens, run_of(rk.bm25(e.tokens, query, length=e.lengths()), 10)
-    return se.window_feedback(tokens, rk.best_covers(tokens, query, run), 64)
+    run = run_of(rk.bm25(e.statistics(query), query), 10)
+    places = e.tokens_of(run).join(run.select("topic", "doc_id"), "doc_id").join(rk.term_weights(query, e.vocabulary()), ["topic", "term"])
+    return se.window_feedback(e, rk.topic_covers(places), 64)
 
 
 # search service
@@ -317,4 +315,4 @@ def phrase_terms(spark, sf_dir):
     from lexspan.plans.gcl import leaves, parse
 
     terms = leaves(parse(f'(^ {A} (+ {B} "{D} the"))'))
-    return engine(spark, sf_dir).tokens.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count("*").alias("n"))
+    return engine(spark, sf_dir).places(terms).groupBy("term").agg(F.count("*").alias("n"))

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.catalog._tables import DF, TF, TOK, A, B, table, with_
 from lexspan.operators import ranking as rk
 from lexspan.registry import register
+from lexspan.sources.workspace import passing_folder
 from lexspan.streaming import store as st
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared}/store-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, deleted when the driver ends."""
+    return passing_folder(spark, "store")
 
 
 def documents(spark, sf_dir) -> DataFrame:

@@ -37,7 +37,7 @@ def answer(spark: SparkSession, mode: str, path: str, argument: str, depth: int
     if mode == "batch":
         topics = query_lines(read_lines(spark, argument))
         ids = topics.withColumn("item_id", F.xxhash64("topic"))
-        run = rk.ranked(rk.bm25(engine.tokens, rk.query_terms(ids), length=engine.lengths()), depth)
+        run = rk.ranked(rk.bm25(engine.statistics(query := rk.query_terms(ids)), query), depth)
         found = run.join(ids.select(F.col("item_id").alias("topic"), F.col("topic").alias("name")), "topic").join(names, "doc_id")
         results = [r.asDict() for r in found.select(F.col("name").alias("topic"), "rank", "docno", "score").orderBy("topic", "rank").collect()]
         return {"results": results, "truncated": False}

@@ -45,19 +45,28 @@ def _sides(*lists: DataFrame) -> DataFrame:
 
 
 def all_of(*lists: DataFrame) -> DataFrame:
-    """Minimal intervals that hold one of each list: at each end, back to the least of the lists' latest starts."""
+    """Minimal intervals that hold one of each list."""
+    return all_of_sides(_sides(*lists), len(lists))
+
+
+def all_of_sides(rows: DataFrame, n: int) -> DataFrame:
+    """``all_of`` of n lists in one table, told apart by ``side``: at each end, back to the least of the lists' latest starts."""
     seen = _by("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("side") == i, F.col("p"))).over(seen).alias(f"last{i}") for i in range(len(lists))]
-    rows = _sides(*lists).select("doc_id", "q", *last)
-    for i in range(len(lists)):
+    last = [F.max(F.when(F.col("side") == i, F.col("p"))).over(seen).alias(f"last{i}") for i in range(n)]
+    rows = rows.select("doc_id", "q", *last)
+    for i in range(n):
         rows = rows.where(F.col(f"last{i}").isNotNull())
-    start = F.least(*[F.col(f"last{i}") for i in range(len(lists))]) if len(lists) > 1 else F.col("last0")
+    start = F.least(*[F.col(f"last{i}") for i in range(n)]) if n > 1 else F.col("last0")
     return least_ends(rows.select("doc_id", start.alias("p"), "q"))
 
 
 def one_of(*lists: DataFrame) -> DataFrame:
     """Minimal intervals of all lists."""
-    return gc_reduce(reduce(DataFrame.unionByName, [x.select(*COLUMNS) for x in lists])).withColumn("v", F.lit(0.0))
+    return one_of_sides(_sides(*lists))
+
+
+def one_of_sides(rows: DataFrame) -> DataFrame:
+    return gc_reduce(rows.select(*COLUMNS)).withColumn("v", F.lit(0.0))
 
 
 def merge(*lists: DataFrame) -> DataFrame:
@@ -67,45 +76,48 @@ def merge(*lists: DataFrame) -> DataFrame:
 
 def followed_by(a: DataFrame, b: DataFrame) -> DataFrame:
     """Minimal intervals from one of a to one of b that starts after a's end."""
-    ends = a.select("doc_id", F.col("q").alias("at"), F.col("p").alias("start"), F.lit(None).cast("long").alias("q"))
-    starts = b.select("doc_id", F.col("p").alias("at"), F.lit(None).cast("long").alias("start"), "q")
+    return followed_by_sides(_sides(a, b))
+
+
+def followed_by_sides(rows: DataFrame) -> DataFrame:
+    first = F.col("side") == 0
+    ends = rows.select("doc_id", F.when(first, F.col("q")).otherwise(F.col("p")).alias("at"), F.when(first, F.col("p")).alias("start"), F.when(~first, F.col("q")).alias("q"))
     before = F.max("start").over(_by("at").rangeBetween(Window.unboundedPreceding, -1))
-    rows = ends.unionByName(starts).withColumn("p", before).where("q is not null and p is not null")
-    return least_ends(rows.select("doc_id", "p", "q"))
+    return least_ends(ends.withColumn("p", before).where("q is not null and p is not null").select("doc_id", "p", "q"))
 
 
-def _holder(a: DataFrame, b: DataFrame) -> tuple[DataFrame, Column]:
-    """a with the end of the last of b that starts no later: among minimal intervals the furthest end."""
+def contained_in_sides(rows: DataFrame, yes: bool = True) -> DataFrame:
+    """Those of side 0 that lie (not) in one of side 1, by the end of the last of side 1 that starts no later: among
+    minimal intervals the furthest end."""
     upto = _by("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = _sides(a, b).withColumn("far", F.max(F.when(F.col("side") == 1, F.col("q"))).over(upto)).where("side = 0")
-    return rows, F.coalesce(F.col("far") >= F.col("q"), F.lit(False))
+    found = rows.withColumn("far", F.max(F.when(F.col("side") == 1, F.col("q"))).over(upto)).where("side = 0")
+    held = F.coalesce(F.col("far") >= F.col("q"), F.lit(False))
+    return found.where(held if yes else ~held).select(*COLUMNS)
 
 
-def _held(a: DataFrame, b: DataFrame) -> tuple[DataFrame, Column]:
-    """a with the end of the first of b that starts no earlier: among minimal intervals the nearest end."""
+def containing_sides(rows: DataFrame, yes: bool = True) -> DataFrame:
+    """Those of side 0 that (don't) hold one of side 1, by the end of the first of side 1 that starts no earlier: among
+    minimal intervals the nearest end."""
     on = _by("p").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = _sides(a, b).withColumn("near", F.min(F.when(F.col("side") == 1, F.col("q"))).over(on)).where("side = 0")
-    return rows, F.coalesce(F.col("near") <= F.col("q"), F.lit(False))
+    found = rows.withColumn("near", F.min(F.when(F.col("side") == 1, F.col("q"))).over(on)).where("side = 0")
+    holds = F.coalesce(F.col("near") <= F.col("q"), F.lit(False))
+    return found.where(holds if yes else ~holds).select(*COLUMNS)
 
 
 def contained_in(a: DataFrame, b: DataFrame) -> DataFrame:
-    rows, yes = _holder(a, b)
-    return rows.where(yes).select(*COLUMNS)
+    return contained_in_sides(_sides(a, b))
 
 
 def not_contained_in(a: DataFrame, b: DataFrame) -> DataFrame:
-    rows, yes = _holder(a, b)
-    return rows.where(~yes).select(*COLUMNS)
+    return contained_in_sides(_sides(a, b), False)
 
 
 def containing(a: DataFrame, b: DataFrame) -> DataFrame:
-    rows, yes = _held(a, b)
-    return rows.where(yes).select(*COLUMNS)
+    return containing_sides(_sides(a, b))
 
 
 def not_containing(a: DataFrame, b: DataFrame) -> DataFrame:
-    rows, yes = _held(a, b)
-    return rows.where(~yes).select(*COLUMNS)
+    return containing_sides(_sides(a, b), False)
 
 
 def link(a: DataFrame) -> DataFrame:
@@ -115,11 +127,16 @@ def link(a: DataFrame) -> DataFrame:
 
 
 def phrase(*terms: DataFrame) -> DataFrame:
-    """Adjacent places: equi-joins on place and distance, the way a phrase index would do it."""
-    rows = terms[0].select("doc_id", "p", F.col("q").alias("q"))
-    for i, term in enumerate(terms[1:], 1):
-        rows = rows.join(term.select("doc_id", (F.col("p") - i).alias("p"), F.col("q").alias("end")), ["doc_id", "p"]).select("doc_id", "p", F.col("end").alias("q"))
-    return rows.withColumn("v", F.lit(0.0))
+    """Adjacent places of one list each."""
+    return phrase_sides(_sides(*terms), len(terms))
+
+
+def phrase_sides(rows: DataFrame, n: int) -> DataFrame:
+    """Adjacent places of n lists: every place votes for the start that it would belong to, and a start with all votes is a
+    phrase. One aggregation, combined before the shuffle, whatever the number of words."""
+    start = rows.select("doc_id", (F.col("p") - F.col("side")).alias("p"), "side")
+    votes = start.groupBy("doc_id", "p").agg(F.count_distinct("side").alias("n")) if n > 62 else start.groupBy("doc_id", "p").agg(F.bit_or(F.expr("shiftleft(1L, side)")).alias("n"))
+    return votes.where(F.col("n") == (n if n > 62 else (1 << n) - 1)).select("doc_id", "p", (F.col("p") + (n - 1)).alias("q"), F.lit(0.0).alias("v"))
 
 
 # Windows of n tokens are an infinite list, so they only exist inside another operator.

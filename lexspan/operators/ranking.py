@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,34 +57,62 @@ def matching(tokens: DataFrame, query: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(terms) if _few(query) else terms, "term", "left_semi")
 
 
-def weighted_terms(query: DataFrame, tf: DataFrame, total: DataFrame) -> DataFrame:
-    """Query terms with the rsj weight of each, those of weight 0 left out."""
-    df = document_frequencies(tf)
-    return query.join(df, "term").crossJoin(F.broadcast(total.select("items", "avgl"))).withColumn("rsj", rsj(F.col("items"), F.col("df"))).where("rsj > 0")
+def weighted_terms(query: DataFrame, terms: DataFrame) -> DataFrame:
+    """Query terms with the rsj weight of each, those of weight 0 left out; ``terms`` as of ``statistics``."""
+    return query.join(terms, "term").withColumn("rsj", rsj(F.col("items"), F.col("df"))).where("rsj > 0")
 
 
-def _few(query: DataFrame, most: int = 100_000) -> bool:
-    """Whether the query's rows are few enough to broadcast, by count."""
-    return query.limit(most + 1).count() <= most
+#: Rows of a query that may be broadcast, counted or bounded by what it was made of.
+FEW = 1_000_000
 
 
-def bm25(tokens: DataFrame, query: DataFrame, k1: float = 0.5, b: float = 0.25, tf: DataFrame | None = None, length: DataFrame | None = None) -> DataFrame:
-    """(topic, doc_id, score)."""
-    tf = term_frequencies(matching(tokens, query)) if tf is None else tf
+def size_of(query: DataFrame, most: int = FEW) -> int:
+    """The number of rows, or ``most`` + 1 if there are more; a table is counted once."""
+    if not hasattr(query, "lexspan_rows"):
+        query.lexspan_rows = query.limit(most + 1).count()
+    return query.lexspan_rows
+
+
+def made_of(made: DataFrame, query: DataFrame, times: int = 1) -> DataFrame:
+    """``made``, which has at most ``times`` as many rows as ``query``, so that it needs no count of its own."""
+    made.lexspan_rows = size_of(query) * times
+    return made
+
+
+def _few(query: DataFrame) -> bool:
+    """Whether the rows are few enough to broadcast."""
+    return size_of(query) <= FEW
+
+
+Statistics = tuple[DataFrame, DataFrame]
+
+
+def statistics(tokens: DataFrame, query: DataFrame, length: DataFrame | None = None) -> Statistics:
+    """What rankers read, from tokens: (term, doc_id, tf, len) of the query's terms, and (term, df, cf) with the collection's
+    items, length and avgl. A stored index has the same, see ``lexspan.plans.engine``."""
+    tf = term_frequencies(matching(tokens, query))
     length = lengths(tokens) if length is None else length
-    terms = weighted_terms(query, tf, sums(length))
+    terms = document_frequencies(tf).crossJoin(F.broadcast(sums(length).select("items", "length", "avgl")))
+    return tf.join(length, "doc_id"), terms
+
+
+def scored(tf: DataFrame, terms: DataFrame, query: DataFrame, gain: Column) -> DataFrame:
+    """(topic, doc_id, score): the gains of a document's postings added up. The query's terms go to the postings."""
+    return tf.join(F.broadcast(terms) if _few(query) else terms, "term").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
+
+
+def bm25(stats: Statistics, query: DataFrame, k1: float = 0.5, b: float = 0.25) -> DataFrame:
+    """(topic, doc_id, score)."""
+    tf, terms = stats
     gain = F.col("weight") * F.col("rsj") * F.col("tf") / (k1 * ((1 - b) + b * F.col("len") / F.col("avgl")) + F.col("tf"))
-    return tf.join(terms, "term").join(length, "doc_id").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
+    return scored(tf, weighted_terms(query, terms), query, gain)
 
 
-def lmd(tokens: DataFrame, query: DataFrame, mu: float = 2000.0, length: DataFrame | None = None) -> DataFrame:
+def lmd(stats: Statistics, query: DataFrame, mu: float = 2000.0) -> DataFrame:
     """Language model with Dirichlet smoothing over the matching terms; scores above 0."""
-    tf = term_frequencies(matching(tokens, query))
-    length = lengths(tokens) if length is None else length
-    terms = query.join(document_frequencies(tf), "term").crossJoin(F.broadcast(sums(length).select("length")))
+    tf, terms = stats
     gain = F.col("weight") * (F.log(mu + F.col("tf") * F.col("length") / F.col("cf")) - F.log(mu + F.col("len")))
-    scored = tf.join(terms, "term").join(length, "doc_id").groupBy("topic", "doc_id").agg(F.sum(gain).alias("score"))
-    return scored.where("score > 0")
+    return scored(tf, query.join(terms, "term"), query, gain).where("score > 0")
 
 
 def dot_product(values: DataFrame, query: DataFrame) -> DataFrame:
@@ -101,12 +128,50 @@ def cover_density(covers: DataFrame, k: float = 42.0, containers: DataFrame | No
     if containers is None:
         found = covers.groupBy("doc_id").agg(F.sum(gain).alias("score"), best)
         return found.select("doc_id", "score", "best.p", "best.q")
-    c = containers.select("doc_id", F.col("p").alias("container_p"), F.col("q").alias("container_q"))
-    inside = covers.join(c, "doc_id").where("p >= container_p and q <= container_q")
-    found = inside.groupBy("doc_id", "container_p", "container_q").agg(F.sum(gain).alias("score"), best)
+    found = inside(covers, containers).groupBy("doc_id", "container_p", "container_q").agg(F.sum(gain).alias("score"), best)
     return found.select("doc_id", "container_p", "container_q", "score", "best.p", "best.q")
 
 
+def inside(covers: DataFrame, containers: DataFrame) -> DataFrame:
+    """(doc_id, container_p, container_q, p, q): each cover with each container that holds it. Containers may overlap and
+    be nested.
+
+    Covers are minimal, so those inside a container are neighbours: from the first that starts in it to the last that
+    ends in it. One sweep over all ends of a document numbers the covers and tells each container these two numbers; the numbers
+    in between are joined, so every joined row is a result.
+    """
+    c = containers.select("doc_id", F.col("p").alias("container_p"), F.col("q").alias("container_q")).distinct()
+    none = F.lit(None).cast("long")
+    ends = (
+        covers.select("doc_id", F.col("p").alias("at"), F.lit("start").alias("kind"), "p", "q", none.alias("container_p"), none.alias("container_q"))
+        .unionByName(covers.select("doc_id", F.col("q").alias("at"), F.lit("end").alias("kind"), "p", "q", none.alias("container_p"), none.alias("container_q")))
+        .unionByName(c.select("doc_id", F.col("container_p").alias("at"), F.lit("from").alias("kind"), none.alias("p"), none.alias("q"), "container_p", "container_q"))
+        .unionByName(c.select("doc_id", F.col("container_q").alias("at"), F.lit("to").alias("kind"), none.alias("p"), none.alias("q"), "container_p", "container_q"))
+    )
+    order = Window.partitionBy("doc_id").orderBy("at")
+    count = lambda kind, last: F.count(F.when(F.col("kind") == kind, 1)).over(order.rangeBetween(Window.unboundedPreceding, last))
+    swept = ends.withColumns({"before": count("start", -1), "upto": count("end", 0)})
+    numbered = swept.where("kind = 'start'").select("doc_id", (F.col("before") + 1).alias("n"), "p", "q")
+    held = swept.where("kind in ('from', 'to')").groupBy("doc_id", "container_p", "container_q").agg(
+        (F.max(F.when(F.col("kind") == "from", F.col("before"))) + 1).alias("first"), F.max(F.when(F.col("kind") == "to", F.col("upto"))).alias("last")
+    )
+    wanted = held.where("first <= last").select("doc_id", "container_p", "container_q", F.explode(F.sequence("first", "last")).alias("n"))
+    return wanted.join(numbered, ["doc_id", "n"]).select("doc_id", "container_p", "container_q", "p", "q")
+
+
+def attached(results: DataFrame, containers: DataFrame) -> DataFrame:
+    """``results`` (doc_id, p, q and more) with the container that ends first at or after q, (container_p, container_q); null if none
+    does. A window over the ends of a document; of containers with one end the last to start."""
+    none = F.lit(None).cast("long")
+    rest = [c for c in results.columns if c != "doc_id"]
+    c = containers.groupBy("doc_id", "q").agg(F.max("p").alias("p"))
+    at = c.select("doc_id", F.col("q").alias("at"), F.struct(F.col("q").alias("container_q"), F.col("p").alias("container_p")).alias("own"), F.lit(None).cast(results.select(F.struct(*rest)).schema[0].dataType).alias("row"))
+    rows = results.select("doc_id", F.col("q").alias("at"), F.lit(None).cast(at.schema["own"].dataType).alias("own"), F.struct(*rest).alias("row"))
+    ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    found = at.unionByName(rows).withColumn("held", F.min("own").over(ahead)).where("row is not null")
+    return found.select("doc_id", "row.*", "held.container_p", "held.container_q")
+
+
 def ranked(scores: DataFrame, depth: int, by: str = "topic", digits: int = 6) -> DataFrame:
     """The best ``depth`` of each topic with their rank; ties by doc_id."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
@@ -147,45 +212,38 @@ def build_tiers(weights: dict[str, float], gap: float = 1.0, most: int = 16) ->
     return [t[0] if len(t) == 1 else f"(+ {' '.join(t)})" for t in tiers]
 
 
-def best_cover(places: list[tuple[int, str]], weights: dict[str, float]) -> tuple[float, int, int] | None:
-    """(-score, p, q) of the best cover of two terms or more, from the sorted places of a document."""
-    found, most = None, sum(weights[t] for t in {t for _, t in places})
-    for i in range(len(places)):
-        seen: dict[str, int] = {}
-        for pos, term in places[i:]:
-            seen.setdefault(term, pos)
-            n, size = len(seen), math.log(pos - places[i][0] + 1)
-            # no longer cover from here can be better
-            if most - n * size < (-found[0] if found else 0):
-                break
-            if n < 2:
-                continue
-            score = sum(weights[t] for t in seen) - n * size
-            if score > 0 and (found is None or (-score, places[i][0], pos) < found):
-                found = (-score, places[i][0], pos)
-            if n == len(weights):
-                break
-    return found
-
-
-def best_covers(tokens: DataFrame, query: DataFrame, run: DataFrame) -> DataFrame:
-    """(topic, doc_id, p, q): the cover that ``icover`` takes for each document of a run, for the topic's terms."""
-    total = tokens.agg(F.count("*").alias("length"), F.countDistinct("term").alias("vocab"))
-    counts = tokens.groupBy("term").agg(F.count("*").alias("cf"))
+def term_weights(query: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(topic, term, w): the weight in covers of each topic's terms that occur."""
     w = F.log((F.col("length") + F.col("vocab")) / (F.col("cf") + 1))
-    known = query.select("topic", "term").distinct().join(counts, "term").crossJoin(F.broadcast(total)).select("topic", "term", w.alias("w"))
-    own = tokens.join(run.select("topic", "doc_id"), "doc_id").join(known, ["topic", "term"]).select("topic", "doc_id", "term", "pos", "w")
+    return query.select("topic", "term").distinct().join(vocabulary, "term").select("topic", "term", w.alias("w"))
+
+
+def topic_covers(places: DataFrame) -> DataFrame:
+    """(topic, doc_id, score, p, q): for each topic and document the best of the covers that ``icover`` scores.
+
+    ``places`` has (topic, doc_id, term, pos, w). Going back over the places of a document, the term met is moved to the front
+    of a list, so that the list holds the next place of each term in order, and its first n are the
+    cover of n terms from there.
+    """
+    spot = F.array_sort(F.collect_list(F.struct("pos", "term", "w")))
+    rows = places.groupBy("topic", "doc_id").agg(F.reverse(spot).alias("spots"))
+    score = lambda s: F.round(s["w"] - F.when(s["n"] > 1, s["n"] * F.log(s["q"] - s["p"] + 1)).otherwise(0.0), 9)
+    kind, none = "struct<loss:double,p:bigint,q:bigint>", "array<struct<pos:bigint,term:string,w:double>>"
+
+    def longer(s: Column, x: Column) -> Column:
+        """The cover with one term more, and the best so far."""
+        more = F.struct((s["w"] + x["w"]).alias("w"), (s["n"] + 1).alias("n"), F.when(s["n"] == 0, x["pos"]).otherwise(s["p"]).alias("p"), x["pos"].alias("q"))
+        new = F.when((more["n"] == 1) | (score(more) > 0), F.struct((-score(more)).alias("loss"), more["p"].alias("p"), more["q"].alias("q")))
+        return F.struct(more["w"].alias("w"), more["n"].alias("n"), more["p"].alias("p"), more["q"].alias("q"), F.least(s["best"], new).cast(kind).alias("best"))
 
-    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        places, weights = sorted(zip(rows["pos"].tolist(), rows["term"].tolist(), strict=True)), dict(zip(rows["term"], rows["w"], strict=True))
-        found = best_cover(places, weights)
-        if found is None:
-            term = max(weights, key=lambda t: (weights[t], t))
-            at = min(p for p, t in places if t == term)
-            found = (0.0, at, at)
-        return pd.DataFrame([(*key, found[1], found[2])], columns=["topic", "doc_id", "p", "q"])
+    def back(s: Column, x: Column) -> Column:
+        ahead = F.concat(F.array(x), F.filter(s["ahead"], lambda y: y["term"] != x["term"]))
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), F.lit(None).cast(kind).alias("best"))
+        return F.struct(ahead.cast(none).alias("ahead"), F.least(s["best"], F.aggregate(ahead, start, longer)["best"]).cast(kind).alias("best"))
 
-    return own.groupBy("topic", "doc_id").applyInPandas(best, "topic long, doc_id long, p long, q long")
+    first = F.struct(F.array().cast(none).alias("ahead"), F.lit(None).cast(kind).alias("best"))
+    found = rows.select("topic", "doc_id", F.aggregate("spots", first, back)["best"].alias("best"))
+    return found.select("topic", "doc_id", (-F.col("best.loss")).alias("score"), "best.p", "best.q")
 
 
 def icover(tokens: DataFrame, query: list[str], total: float, vocab: float, frequencies: dict[str, float], depth: int) -> DataFrame:
@@ -209,25 +267,22 @@ def icover(tokens: DataFrame, query: list[str], total: float, vocab: float, freq
     return top(found.select("doc_id", (-F.col("best.loss")).alias("score"), "best.p", "best.q"), depth, 9)
 
 
-def feedback(tokens: DataFrame, ranking: DataFrame, expansions: int, score: str, gamma: float) -> DataFrame:
+def feedback(inside: DataFrame, vocabulary: DataFrame, ranking: DataFrame, expansions: int, score: str, gamma: float) -> DataFrame:
     """Expansion terms (topic, term, weight) from the ranked passages of each topic.
 
-    ``ranking`` has (topic, doc_id, p, q). ``score`` is "kld": f ln(f / E) with E the passages expected
-    to hold the term by its frequency, f above 1; or "rsj": f times the rsj weight. The weight is
-    gamma times the score over the topic's best.
+    ``ranking`` has (topic, doc_id, p, q), ``inside`` the tokens of its documents, ``vocabulary`` (term, df, cf) with totals. ``score`` is
+    "kld": f ln(f / E) with E the passages expected to hold the term by its frequency, f above 1; or "rsj": f times the rsj
+    weight. The weight is gamma times the score over the topic's best.
     """
-    total = totals(tokens)
-    tf = term_frequencies(tokens)
-    df = document_frequencies(tf).crossJoin(F.broadcast(total.select("length", "items")))
-    inside = tokens.join(F.broadcast(ranking.select("topic", "doc_id", "p", "q")) if _few(ranking) else ranking.select("topic", "doc_id", "p", "q"), "doc_id").where("pos between p and q")
-    counts = inside.groupBy("topic", "term").agg(F.countDistinct("doc_id", "p").alias("f"))
+    own = inside.join(ranking.select("topic", "doc_id", "p", "q"), "doc_id").where("pos between p and q")
+    counts = own.groupBy("topic", "term").agg(F.countDistinct("doc_id", "p").alias("f"))
     sizes = ranking.select("topic", (F.col("q") - F.col("p") + 1).alias("n"))
     if score == "kld":
         share = F.col("cf") / F.col("length")
-        expected = counts.join(df, "term").join(sizes, "topic").groupBy("topic", "term", "f").agg(F.sum(1 - F.pow(1 - share, F.col("n"))).alias("e"))
-        made = expected.where("f > 1").withColumn("score", F.col("f") * F.log(F.col("f") / F.col("e")))
+        expected = counts.where("f > 1").join(vocabulary, "term").join(sizes, "topic").groupBy("topic", "term", "f").agg(F.sum(1 - F.pow(1 - share, F.col("n"))).alias("e"))
+        made = expected.withColumn("score", F.col("f") * F.log(F.col("f") / F.col("e")))
     else:
-        made = counts.join(df, "term").withColumn("score", F.col("f") * rsj(F.col("items"), F.col("df")))
+        made = counts.join(vocabulary, "term").withColumn("score", F.col("f") * rsj(F.col("items"), F.col("df")))
     made = made.where("score > 0").withColumn("score", F.round("score", 9))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "term")
     best = F.max("score").over(Window.partitionBy("topic"))
@@ -235,5 +290,6 @@ def feedback(tokens: DataFrame, ranking: DataFrame, expansions: int, score: str,
     return kept.select("topic", "term", "weight")
 
 
-def expanded(query: DataFrame, more: DataFrame) -> DataFrame:
-    return query.unionByName(more).groupBy("topic", "term").agg(F.sum("weight").alias("weight"))
+def expanded(query: DataFrame, more: DataFrame, expansions: int) -> DataFrame:
+    """The query with at most ``expansions`` further terms for each topic, weights added up."""
+    return made_of(query.unionByName(more).groupBy("topic", "term").agg(F.sum("weight").alias("weight")), query, 1 + expansions)

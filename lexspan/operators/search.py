@@ -30,9 +30,8 @@ def search_text(engine: Engine, text: str, depth: int) -> DataFrame:
     terms = list(dict.fromkeys(words_of(text)))
     if len(terms) < 2:
         return search_gcl(engine, terms[0], depth).select("doc_id", "score", "p", "q")
-    total = rk.totals(engine.plain).first()
-    counts = dict(engine.plain.where(F.col("term").isin(*terms)).groupBy("term").count().collect())
-    found = rk.icover(engine.plain, terms, total["length"], total["vocab"], counts, depth)
+    total = engine.totals()
+    found = rk.icover(engine.places(terms), terms, total["length"], total["vocab"], engine.counts(terms), depth)
     return found.select("doc_id", F.round("score", 6).alias("score"), "p", "q")
 
 
@@ -104,28 +103,24 @@ def highlighted(engine: Engine, expr: Expr | str, depth: int, around: int = 10)
 def answer_terms(engine: Engine, query: list[str], depth: int, passages: int = 32, window: int = 64) -> DataFrame:
     """Words that stand near the query's best passages: the weight of a word falls with its distance
     from a passage, sums over the passages, and rare words weigh more."""
-    total = rk.totals(engine.plain).first()
+    total = engine.totals()
     size = total["length"] + total["vocab"]
-    counts = engine.plain.groupBy("term").agg(F.count("*").alias("cf"))
-    own = dict(counts.where(F.col("term").isin(*query)).collect())
-    best = rk.icover(engine.plain, query, total["length"], total["vocab"], own, passages).select("doc_id", F.col("p").alias("from"), F.col("q").alias("to"))
-    near = engine.plain.join(best, "doc_id").where((F.col("pos") >= F.col("from") - window) & (F.col("pos") <= F.col("to") + window))
+    best = rk.icover(engine.places(query), query, total["length"], total["vocab"], engine.counts(query), passages).select("doc_id", F.col("p").alias("from"), F.col("q").alias("to"))
+    near = engine.tokens_of(best).join(best, "doc_id").where((F.col("pos") >= F.col("from") - window) & (F.col("pos") <= F.col("to") + window))
     distance = F.greatest(F.col("from") - F.col("pos"), F.col("pos") - F.col("to"), F.lit(0))
     gain = F.greatest(F.log(size / (F.col("cf") * (distance + 1))), F.lit(0.0))
-    scored = near.join(counts, "term").groupBy("term").agg(F.sum(gain).alias("score"), F.countDistinct("doc_id").alias("docs"))
+    scored = near.join(engine.vocabulary().select("term", "cf"), "term").groupBy("term").agg(F.sum(gain).alias("score"), F.countDistinct("doc_id").alias("docs"))
     return scored.where(~F.col("term").isin(*query)).withColumn("score", F.round(F.pow("score", F.lit(3.0)), 3)).orderBy(F.desc("score"), "term").limit(depth)
 
 
-def window_feedback(tokens: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+def window_feedback(engine: Engine, passages: DataFrame, window: int) -> DataFrame:
     """(topic, term, score): terms that stand near more of a topic's passages than their frequency lets expect.
     Near is up to ``window`` places before or after (p, q); the exponent of a term is its least gap, 1 at least."""
-    total = tokens.agg(F.count("*").alias("length"), F.countDistinct("term").alias("vocab"))
-    counts = tokens.groupBy("term").agg(F.count("*").alias("cf"))
-    near = tokens.join(passages, "doc_id").where(F.col("pos").between(F.col("p") - window, F.col("q") + window))
+    near = engine.tokens_of(passages).join(passages, "doc_id").where(F.col("pos").between(F.col("p") - window, F.col("q") + window))
     gap = F.when(F.col("pos") < F.col("p"), F.col("q") - F.col("pos")).when(F.col("pos") <= F.col("q"), F.col("q") - F.col("p") + 1).otherwise(F.col("pos") - 1 - F.col("p"))
     gaps = near.groupBy("topic", "doc_id", "term").agg(F.min(F.greatest(gap, F.lit(1))).alias("gap"))
     chance = (F.col("cf") + 1) / (F.col("length") + F.col("vocab"))
-    rows = gaps.join(counts, "term").crossJoin(F.broadcast(total))
+    rows = gaps.join(engine.vocabulary(), "term")
     expected = rows.groupBy("topic", "term").agg(F.count("*").alias("f"), F.sum(1 - F.pow(1 - chance, F.col("gap"))).alias("e")).where("f > 1")
     score = F.col("f") * F.log(F.col("f") / F.col("e"))
     return expected.select("topic", "term", F.round(score, 6).alias("score"), score.alias("raw")).where("raw > 0").drop("raw")
@@ -135,7 +130,7 @@ def stopped(query: DataFrame) -> DataFrame:
     """Query terms without stop words; a topic of stop words only stays as it is."""
     stop = F.col("term").isin(*STOPWORDS)
     whole = F.min(stop.cast("int")).over(Window.partitionBy("topic")) == 1
-    return query.withColumn("whole", whole).where(~stop | F.col("whole")).drop("whole")
+    return rk.made_of(query.withColumn("whole", whole).where(~stop | F.col("whole")).drop("whole"), query)
 
 
 class Pipeline:
@@ -158,25 +153,29 @@ class Pipeline:
     def run(self, engine: Engine, topics: DataFrame) -> DataFrame:
         """(topic, doc_id, score, rank) of the last ranking."""
         query, run = rk.query_terms(topics), None
-        tokens, length = engine.plain, engine.lengths()
+        stems, length = False, engine.lengths()
         for name, p in self.stages:
             if name == "stop":
                 query = stopped(query)
             elif name == "stem":
                 stem = tx.stems(query)
                 changed = F.when(F.col("stem") == F.col("term"), F.col("term")).otherwise(F.concat(F.lit("porter:"), "stem"))
-                query = query.where(~F.col("term").startswith("porter:")).join(stem, "term").select("topic", changed.alias("term"), "weight").unionByName(query.where(F.col("term").startswith("porter:"))).groupBy("topic", "term").agg(F.sum("weight").alias("weight"))
-                tokens = engine.tokens
+                bare = query.where(~F.col("term").startswith("porter:")).join(stem, "term").select("topic", changed.alias("term"), "weight")
+                both = bare.unionByName(query.where(F.col("term").startswith("porter:")))
+                query = rk.made_of(both.groupBy("topic", "term").agg(F.sum("weight").alias("weight")), query)
+                stems = True
             elif name == "bm25":
-                scores = rk.bm25(tokens, query, p.get("k1", 0.5), p.get("b", 0.25), length=length)
+                scores = rk.bm25(engine.statistics(query, stems), query, p.get("k1", 0.5), p.get("b", 0.25))
                 run = rk.ranked(scores, int(p.get("depth", 1000)))
             elif name == "lmd":
-                run = rk.ranked(rk.lmd(tokens, query, p.get("mu", 2000.0), length), int(p.get("depth", 1000)))
+                run = rk.ranked(rk.lmd(engine.statistics(query, stems), query, p.get("mu", 2000.0)), int(p.get("depth", 1000)))
             else:
                 depth = 10 if name == "rsj" else 16
                 spans = run.where(F.col("rank") <= depth).join(length, "doc_id").select("topic", "doc_id", F.lit(0).cast("long").alias("p"), (F.col("len") - 1).alias("q"))
                 defaults = (25, 0.2) if name == "rsj" else (8, 1 / 3)
-                query = rk.expanded(query, rk.feedback(tokens, spans, int(p.get("expansions", defaults[0])), name, p.get("gamma", defaults[1])))
+                own, expansions = engine.tokens_of(spans, stems), int(p.get("expansions", defaults[0]))
+                known = engine.vocabulary(stems, own.select("term").distinct())
+                query = rk.expanded(query, rk.feedback(own, known, spans, expansions, name, p.get("gamma", defaults[1])), expansions)
         return run.select("topic", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexspan.functions.text import STOPWORDS, porter
 from lexspan.operators import intervals as iv
@@ -354,39 +356,73 @@ def any_of_words(text: str) -> list[str]:
 # Lowering
 
 class Lowering:
-    """Turns expressions into lists of intervals; ``leaf`` gives a term's list."""
+    """Turns expressions into lists of intervals.
 
-    def __init__(self, leaf: Callable[[str], DataFrame]) -> None:
-        self.leaf = leaf
+    ``leaf`` gives the list of a feature. ``places``, if given, has (term, doc_id, pos) of several terms from one scan, so the
+    terms of a phrase, or those side by side under an operator, are read together. ``share`` writes a list
+    that the expression uses more than once, so that it is made once; without it such a list is planned anew.
+    """
+
+    def __init__(self, leaf: Callable[[str], DataFrame], places: Callable[[list[str]], DataFrame] | None = None, share: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.leaf, self.places, self.share = leaf, places, share
+        self.made: dict[Expr, DataFrame | int] = {}
+        self.uses: Counter = Counter()
 
     def __call__(self, expr: Expr | str) -> DataFrame:
-        made = self._lower(optimized(parse(expr) if isinstance(expr, str) else expr))
-        if isinstance(made, int):
-            raise GclError("windows without a list have no end")
-        return made
+        expr = optimized(parse(expr) if isinstance(expr, str) else expr)
+        self.uses = uses(expr)
+        return self._list(self._lower(expr))
 
     def _lower(self, expr: Expr) -> DataFrame | int:
+        expr = plain(expr)
+        if expr not in self.made:
+            made = self._make(expr)
+            self.made[expr] = self.share(made) if self.share and self.uses[expr] > 1 and not isinstance(made, int) else made
+        return self.made[expr]
+
+    def _make(self, expr: Expr) -> DataFrame | int:
         if isinstance(expr, Width):
             return expr.n
         if isinstance(expr, Term):
-            if expr.text.startswith((":", "porter:")) and " " not in expr.text:
-                return self.leaf(expr.text)
-            terms = [w if w.startswith("porter:") else w.lower() for w in expr.text.split()] if "porter:" in expr.text else words_of(expr.text)
+            terms = self._words(expr)
             if not terms:
                 return self.leaf(expr.text)
-            lists = [self.leaf(t) for t in terms]
-            return lists[0] if len(lists) == 1 else iv.phrase(*lists)
+            if len(terms) == 1:
+                return self.leaf(terms[0])
+            return iv.phrase_sides(self._sided(tuple(Term(t) for t in terms)), len(terms))
         if expr.op.isdigit():
             raise GclError("n of m can't be evaluated in this notation")
-        args = [self._lower(a) for a in expr.args]
-        if expr.op == "%":
-            return args[0]
         if expr.op == "@":
-            return iv.link(self._list(args[0]))
-        lists = [a for a in args if not isinstance(a, int)]
-        if expr.op in ("^", "+") and len(lists) == len(args):
-            return iv.all_of(*lists) if expr.op == "^" else iv.one_of(*lists)
-        return reduce(lambda a, b: self._pair(expr.op, a, b), args)
+            return iv.link(self._list(self._lower(expr.args[0])))
+        if expr.op in ("^", "+") and not any(isinstance(plain(a), Width) for a in expr.args):
+            rows = self._sided(expr.args)
+            return iv.all_of_sides(rows, len(expr.args)) if expr.op == "^" else iv.one_of_sides(rows)
+        if len(expr.args) == 2 and expr.op in SIDED and not any(isinstance(plain(a), Width) for a in expr.args):
+            return SIDED[expr.op](self._sided(expr.args))
+        return reduce(lambda a, b: self._pair(expr.op, a, b), [self._lower(a) for a in expr.args])
+
+    def _words(self, term: Term) -> list[str]:
+        """The words of a term; none for a tag or annotation."""
+        if term.text.startswith(":"):
+            return []
+        if "porter:" in term.text:
+            return [w if w.startswith("porter:") else w.lower() for w in term.text.split()]
+        return words_of(term.text)
+
+    def _sided(self, args: tuple[Expr, ...]) -> DataFrame:
+        """(doc_id, p, q, v, side): the lists of some arguments in one table; single words from one scan."""
+        words = {i: w[0] for i, a in enumerate(args) if self.places and isinstance(plain(a), Term) and len(w := self._words(plain(a))) == 1}
+        lists = []
+        if words:
+            sides = F.lit(None)
+            for term in dict.fromkeys(words.values()):
+                sides = F.when(F.col("term") == term, F.array(*[F.lit(i) for i, t in words.items() if t == term])).otherwise(sides)
+            found = self.places(list(dict.fromkeys(words.values())))
+            lists.append(found.select("doc_id", F.col("pos").alias("p"), F.col("pos").alias("q"), F.lit(0.0).alias("v"), F.explode(sides).alias("side")))
+        for i, a in enumerate(args):
+            if i not in words:
+                lists.append(self._list(self._lower(a)).select(*iv.COLUMNS, F.lit(i).alias("side")))
+        return reduce(DataFrame.unionByName, lists)
 
     def _list(self, made: DataFrame | int) -> DataFrame:
         if isinstance(made, int):
@@ -401,7 +437,37 @@ class Lowering:
         elif isinstance(a, int):
             made = {">>": lambda: iv.windows_containing(a, b), "<<": lambda: iv.windows_inside(a, b), "...": lambda: iv.window_then(a, b), "^": lambda: iv.window_and(a, b)}.get(op)
         else:
-            made = {"^": lambda: iv.all_of(a, b), "+": lambda: iv.one_of(a, b), "...": lambda: iv.followed_by(a, b), "<<": lambda: iv.contained_in(a, b), ">>": lambda: iv.containing(a, b), "!<": lambda: iv.not_contained_in(a, b), "!>": lambda: iv.not_containing(a, b)}.get(op)
+            made = {"^": lambda: iv.all_of(a, b), "+": lambda: iv.one_of(a, b), **{o: lambda f=f: f(iv._sides(a, b)) for o, f in SIDED.items()}}.get(op)
         if made is None:
             raise GclError("windows without a list have no end")
         return made()
+
+
+#: Operators of two lists, from both in one table.
+SIDED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "...": iv.followed_by_sides,
+    "<<": iv.contained_in_sides,
+    ">>": iv.containing_sides,
+    "!<": lambda rows: iv.contained_in_sides(rows, False),
+    "!>": lambda rows: iv.containing_sides(rows, False),
+}
+
+
+def uses(expr: Expr) -> Counter:
+    """How many operators read each compound expression, what is inside a repeated one counted once."""
+    found: Counter = Counter()
+    todo = [expr]
+    while todo:
+        x = plain(todo.pop())
+        if isinstance(x, Node):
+            found[x] += 1
+            if found[x] == 1:
+                todo += x.args
+    return found
+
+
+def plain(expr: Expr) -> Expr:
+    """An expression without a mark to materialise it: what is used twice is shared anyway."""
+    while isinstance(expr, Node) and expr.op == "%":
+        expr = expr.args[0]
+    return expr

@@ -18,7 +18,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.operators import ranking as rk
 from lexspan.operators import search as se
 from lexspan.plans.engine import Engine
 from lexspan.plans.gcl import GclError, Node, compile_program, leaves, parse
@@ -60,7 +59,7 @@ class Collection:
             raise Refused(400, str(e)) from e
 
     def describe(self) -> dict:
-        total = rk.sums(self.engine.lengths()).first()
+        total = self.engine.totals()
         return {"documents": total["items"], "tokens": total["length"] or 0, "tools": sorted(self.tools)}
 
     def postings(self, expr: str, words: bool = False) -> list[tuple[str, int]]:

@@ -32,14 +32,14 @@ def test_statistics(engine):
 
 
 def test_bm25(engine, query):
-    got = {r.doc_id: r.score for r in rk.bm25(engine.tokens, query).collect()}
+    got = {r.doc_id: r.score for r in rk.bm25(engine.statistics(query), query).collect()}
     # world and hello are in half of the documents or more, so their weight is 0
     w = math.log((4 - 1 + 0.5) / 1.5)
     assert got == {2: pytest.approx(2 * w * 1 / (0.5 * (0.75 + 0.25 * 4 / 3.5) + 1))}
 
 
 def test_lmd(engine, query):
-    got = {r.doc_id: r.score for r in rk.lmd(engine.tokens, query, mu=10.0).collect()}
+    got = {r.doc_id: r.score for r in rk.lmd(engine.statistics(query), query, mu=10.0).collect()}
     want = math.log(10 + 3 * 14 / 5) - math.log(15) + math.log(10 + 14 / 3) - math.log(15)
     assert got[0] == pytest.approx(want)
 
