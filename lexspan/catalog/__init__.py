@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one module for each part of the engine."""
 
-from lexspan.catalog import aggregates, algebra, evaluation, ingest, retrieval, updates
+from lexspan.catalog import aggregates, algebra, evaluation, feedback, ingest, retrieval, updates
 
-__all__ = ["aggregates", "algebra", "evaluation", "ingest", "retrieval", "updates"]
+__all__ = ["aggregates", "algebra", "evaluation", "feedback", "ingest", "retrieval", "updates"]

@@ -36,6 +36,7 @@ PAIR = f"ph AS (SELECT doc_id, pos AS p, pos + 1 AS q FROM (SELECT *, lead(term)
 gcl("gcl_phrase", f'"{D} the"', with_(TOK, PAIR, select="SELECT doc_id, p, q FROM ph"))
 gcl("gcl_nary", f"(... {A} {B} {C})", with_(TOK, XA, XB, XC, AB, select=reduced(THEN.format("ab", "c"))))
 gcl("gcl_materialize", f"(^ (% (... {A} {B})) {C})", with_(TOK, XA, XB, XC, AB, select=reduced(BOTH.format("ab", "c"))))
+gcl("gcl_shared", f"(+ (>> (% (... {A} {B})) {C}) (^ (... {A} {B}) {D}))", with_(TOK, XA, XB, XC, XD, AB, "l AS (SELECT doc_id, p, q FROM ab x WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND x.p <= c.p AND c.q <= x.q))", f"r AS ({reduced(BOTH.format('ab', 'd'))})", select=reduced("SELECT doc_id, p, q FROM l UNION ALL SELECT doc_id, p, q FROM r")))
 gcl("gcl_phrase_in_facet", f'(^ (+ {A} "{D} the") {B})', with_(TOK, XA, XB, PAIR, f"f AS ({reduced('SELECT doc_id, p, q FROM a UNION ALL SELECT doc_id, p, q FROM ph')})", select=reduced(BOTH.format("f", "b"))))
 
 
@@ -106,10 +107,12 @@ def translate_span(spark, sf_dir):
     return e.translate(spans(e.gcl(f"(... {A} {B})")))
 
 
-@register("concordance", with_(TOK, XA, XB, AB, "hit AS (SELECT * FROM ab ORDER BY doc_id, p LIMIT 24)", select="SELECT hit.doc_id, p, q, (SELECT string_agg(term, ' ' ORDER BY pos) FROM tok t WHERE t.doc_id = hit.doc_id AND t.pos BETWEEN p AND q) AS said FROM hit"))
+@register("concordance", with_(TOK, XA, XB, AB, WORDS, select="""SELECT doc_id, p, q, array_to_string(t[greatest(p - 5, 0) + 1 : p], ' ') AS before, array_to_string(t[p + 1 : q + 1], ' ') AS said,
+  array_to_string(t[q + 2 : q + 6], ' ') AS after FROM ab JOIN said USING (doc_id)"""))
 def concordance(spark, sf_dir):
+    """Every span with the five words before and after it."""
     e = engine(spark, sf_dir)
-    return e.translate(spans(e.gcl(f"(... {A} {B})")).orderBy("doc_id", "p").limit(24))
+    return e.around(spans(e.gcl(f"(... {A} {B})")), 5)
 
 
 @register("count_matches", with_(TOK, select=f"SELECT count(*) AS n FROM (SELECT doc_id FROM tok WHERE term = '{A}' INTERSECT SELECT doc_id FROM tok WHERE term = '{B}')"))
@@ -140,10 +143,11 @@ def tf_spans(spark, sf_dir):
     return iv.with_content(tf, e.items())
 
 
-@register("single_sources", "SELECT 7::BIGINT AS doc_id, 3::BIGINT AS p, 5::BIGINT AS q, 1.5::DOUBLE AS v")
+@register("single_sources", with_(TOK, WHOLE, select="SELECT doc_id, p, q, (q + 1)::DOUBLE AS v FROM w ORDER BY q DESC, doc_id LIMIT 1"))
 def single_sources(spark, sf_dir):
-    """A list of one interval, and the empty list merged into it."""
-    return iv.merge(iv.single(spark, 7, 3, 5, 1.5), iv.single(spark))
+    """A list of one interval, the longest document with its length, and the empty list merged into it."""
+    longest = engine(spark, sf_dir).items().orderBy(F.desc("q"), "doc_id").limit(1).withColumn("v", (F.col("q") + 1).cast("double"))
+    return iv.merge(longest, iv.single(spark))
 
 
 @register("query_weights", with_(QUERY, select="SELECT topic, term, weight FROM topic_terms"))

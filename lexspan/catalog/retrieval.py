@@ -210,11 +210,6 @@ def mt_search(spark, sf_dir):
     return se.tiered(engine(spark, sf_dir), [expr for _, expr in found], 50)
 
 
-@register("tiered")
-def tiered(spark, sf_dir):
-    return se.tiered(engine(spark, sf_dir), tiers(spark, sf_dir), 50)
-
-
 # feedback and pipelines
 
 PRF = f"""first AS (SELECT topic, doc_id FROM ({RANKED.format('b25', 10)})),
@@ -256,15 +251,6 @@ def feedback_fusion(spark, sf_dir):
     return rk.reciprocal_rank_fusion(runs).withColumn("score", F.round("score", 6))
 
 
-@register("qa_prf")
-def qa_prf(spark, sf_dir):
-    """Terms around the best cover of each ranked document."""
-    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
-    run = run_of(rk.bm25(e.statistics(query), query), 10)
-    places = e.tokens_of(run).join(run.select("topic", "doc_id"), "doc_id").join(rk.term_weights(query, e.vocabulary()), ["topic", "term"])
-    return se.window_feedback(e, rk.topic_covers(places), 64)
-
-
 # search service
 
 @register("search_text", with_(STATS, COVERS, select="SELECT doc_id, round(score, 6) AS score, p, q FROM best ORDER BY 2 DESC, 1 LIMIT 10"))
@@ -283,11 +269,6 @@ def cover_search(spark, sf_dir):
     return se.cover_search(engine(spark, sf_dir), f"(^ {A} {B})", 10, exclude).select("doc_id", "score")
 
 
-@register("cover_summary")
-def cover_summary(spark, sf_dir):
-    return se.summaries(engine(spark, sf_dir), f"(^ {A} {B})", 10)
-
-
 @register("highlight_snippet", with_(TOK, XA, XB, f"cover AS ({reduced(THEN.format('a', 'b'))})", "top AS (SELECT doc_id, round(sum(1 / (42 + q - p)), 6) AS score, min({'n': q - p, 'p': p, 'q': q}) AS s FROM cover GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 10)", WORDS, select="""SELECT doc_id, score, concat(array_to_string(t[greatest(s.p - 10, 0) + 1 : s.p], ' '), ' <cover>', array_to_string(t[s.p + 1 : s.q + 1], ' '), '</cover> ', array_to_string(t[s.q + 2 : s.q + 11], ' ')) AS snippet FROM top JOIN said USING (doc_id)"""))
 def highlight_snippet(spark, sf_dir):
     return se.highlighted(engine(spark, sf_dir), f"(... {A} {B})", 10)
@@ -303,13 +284,6 @@ def qap(spark, sf_dir):
     return se.answer_terms(engine(spark, sf_dir), [A, B, C], 10)
 
 
-@register("family_search")
-def family_search(spark, sf_dir):
-    from lexspan.plans.gcl import families, parse
-
-    return engine(spark, sf_dir, stem=True).gcl(families(parse(f"(^ thing* {A})"))).select("doc_id", "p", "q")
-
-
 @register("phrase_terms", with_(TOK, select=f"SELECT term, count(*) AS n FROM tok WHERE term IN ('{A}', '{B}', '{D}', 'the') GROUP BY term"))
 def phrase_terms(spark, sf_dir):
     from lexspan.plans.gcl import leaves, parse

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +16,6 @@ from lexspan.plans.gcl import Expr, words_of
 
 #: Tiers are this far apart in the scores of a tiered search.
 TIER_STEP = 1_000_000
-COVER = "doc_id long, p long, q long"
 
 
 def search_gcl(engine: Engine, expr: Expr | str, depth: int) -> DataFrame:
@@ -41,13 +39,23 @@ def cover_search(engine: Engine, expr: Expr | str, depth: int, exclude: DataFram
 
 
 def tiered(engine: Engine, tiers: list[Expr | str], depth: int) -> DataFrame:
-    """Each document in the first tier that finds it, the tiers in order."""
-    rows = None
+    """(doc_id, tier, score): each document in the first tier that finds it, the tiers in order.
+
+    A stage for each tier: it looks for as many documents as are still open, without those found before, and
+    when ``depth`` are found the later tiers are never evaluated. A stage gives the driver at most ``depth`` rows.
+    """
+    spark, found = engine.spark, []
     for n, expr in enumerate(tiers):
-        found = rk.cover_density(engine.gcl(expr)).select(F.lit(n).cast("long").alias("tier"), "doc_id", "score")
-        rows = found if rows is None else rows.unionByName(found)
-    first = rows.groupBy("doc_id").agg(F.min(F.struct("tier", "score")).alias("s")).select("doc_id", "s.tier", "s.score")
-    return rk.top(first.withColumn("score", F.col("score") + (len(tiers) - 1 - F.col("tier")) * TIER_STEP), depth).select("doc_id", "tier", "score")
+        density = rk.cover_density(engine.gcl(expr)).select("doc_id", "score")
+        if found:
+            known = spark.createDataFrame([(d,) for d, _, _ in found], "doc_id long")
+            density = density.join(F.broadcast(known), "doc_id", "left_anti")
+        # a score is rounded with the step of its tier, as ties are told by the rounded number
+        raised = density.withColumn("score", F.col("score") + float((len(tiers) - 1 - n) * TIER_STEP))
+        found += [(r.doc_id, n, r.score) for r in rk.top(raised, depth - len(found)).collect()]
+        if len(found) >= depth:
+            break
+    return spark.createDataFrame(found, "doc_id long, tier long, score double")
 
 
 def summaries(engine: Engine, expr: Expr | str, depth: int, keep: int = 3, window: int = 75, most: int = 150) -> DataFrame:
@@ -58,36 +66,23 @@ def summaries(engine: Engine, expr: Expr | str, depth: int, keep: int = 3, windo
     """
     covers = engine.gcl(expr)
     best = rk.top(rk.cover_density(covers), depth).select("doc_id", "score")
+    words = engine.docs.join(best, "doc_id").select("doc_id", "score", tx.words(F.col("text")).alias("words"))
     order = Window.partitionBy("doc_id").orderBy(F.col("q") - F.col("p"), "p")
-    tight = covers.join(best, "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
-    lists = tight.groupBy("doc_id", "score").agg(F.collect_list(F.struct("p", "q")).alias("covers"))
-    words = engine.docs.select("doc_id", tx.words(F.col("text")).alias("words"))
-
-    def run(batches):
-        for rows in batches:
-            said = [_summary(list(w), [(c["p"], c["q"]) for c in own], window, most) for w, own in zip(rows["words"], rows["covers"], strict=True)]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "score": rows["score"], "summary": said})
-
-    return words.join(lists, "doc_id").mapInPandas(run, "doc_id long, score double, summary string")
-
-
-def _summary(words: list[str], covers: list[tuple[int, int]], window: int, most: int) -> str:
-    spans: list[list[int]] = []
-    for p, q in sorted(covers):
-        size = max(window, q - p + 1)
-        start = max(0, min((p + q + 1 - size) // 2, len(words) - size))
-        end = min(len(words), start + size)
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], end)
-        else:
-            spans.append([start, end])
-    parts, left = [], most
-    for a, b in spans:
-        if left <= 0:
-            break
-        parts.append(" ".join(words[a : min(b, a + left)]) + (" ..." if b - a > left else ""))
-        left -= b - a
-    return " . . . ".join(parts)
+    tight = covers.join(best.select("doc_id"), "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
+    size = F.greatest(F.lit(window), F.col("q") - F.col("p") + 1)
+    length = F.size("words")
+    start = F.greatest(F.lit(0), F.least(F.floor((F.col("p") + F.col("q") + 1 - size) / 2), length - size))
+    own = tight.join(words.select("doc_id", "words"), "doc_id").select("doc_id", "p", "q", start.alias("a"), F.least(length.cast("long"), start + size).alias("b"))
+    by = Window.partitionBy("doc_id")
+    seen = by.orderBy("p", "q").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = own.withColumn("fresh", (F.col("a") > F.coalesce(F.max("b").over(seen), F.lit(-1))).cast("int"))
+    spans = fresh.withColumn("span", F.sum("fresh").over(by.orderBy("p", "q"))).groupBy("doc_id", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    told = by.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    shown = spans.withColumn("left", F.lit(most) - F.coalesce(F.sum(F.col("b") - F.col("a")).over(told), F.lit(0))).where("left > 0")
+    said = F.array_join(F.slice("words", (F.col("a") + 1).cast("int"), F.least(F.col("b") - F.col("a"), F.col("left")).cast("int")), " ")
+    parts = shown.join(words, "doc_id").select("doc_id", "score", "span", F.concat(said, F.when(F.col("b") - F.col("a") > F.col("left"), " ...").otherwise("")).alias("said"))
+    listed = parts.groupBy("doc_id", "score").agg(F.array_sort(F.collect_list(F.struct("span", "said"))).alias("parts"))
+    return listed.select("doc_id", "score", F.array_join("parts.said", " . . . ").alias("summary"))
 
 
 def highlighted(engine: Engine, expr: Expr | str, depth: int, around: int = 10) -> DataFrame:
@@ -126,6 +121,32 @@ def window_feedback(engine: Engine, passages: DataFrame, window: int) -> DataFra
     return expected.select("topic", "term", F.round(score, 6).alias("score"), score.alias("raw")).where("raw > 0").drop("raw")
 
 
+def text_covers(engine: Engine, query: DataFrame, depth: int) -> DataFrame:
+    """(topic, doc_id, score, p, q): the best cover of each topic's words in each document, the best ``depth`` of each topic."""
+    weights = rk.term_weights(query, engine.vocabulary())
+    places = engine.plain.join(F.broadcast(weights) if rk._few(query) else weights, "term")
+    return rk.ranked(rk.topic_covers(places), depth, digits=9).drop("rank")
+
+
+def cross_feedback(first: Engine, second: Engine, query: DataFrame, expansions: int = 16, depth: int = 32, window: int = 64, stem: bool = False, k1: float = 1.18281, b: float = 0.447428, most: int = 1000) -> DataFrame:
+    """(topic, doc_id, rank): documents of ``second``, ranked by terms that ``first`` tells.
+
+    In one collection, the words around the best covers of each topic are weighed against chance, and the
+    best ``expansions`` of them are the topic's new query, by stem with their weights added up if ``stem``; it ranks the
+    other collection by BM25.
+    """
+    near = window_feedback(first, text_covers(first, query, depth), window)
+    order = Window.partitionBy("topic").orderBy(F.desc("score"), "term")
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= expansions)
+    new = best.select("topic", "term", F.col("score").alias("weight"))
+    if stem:
+        stems = tx.stems(new)
+        changed = F.when(F.col("stem") == F.col("term"), F.col("term")).otherwise(F.concat(F.lit("porter:"), "stem"))
+        new = new.join(stems, "term").select("topic", changed.alias("term"), "weight").groupBy("topic", "term").agg(F.sum("weight").alias("weight"))
+    new = rk.made_of(new, query, expansions)
+    return rk.ranked(rk.bm25(second.statistics(new, stem), new, k1, b), most)
+
+
 def stopped(query: DataFrame) -> DataFrame:
     """Query terms without stop words; a topic of stop words only stays as it is."""
     stop = F.col("term").isin(*STOPWORDS)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexspan.operators import ranking as rk
+
 #: Defaults of the rankers' parameters.
 DEFAULTS = {"bm25:k1": 0.5, "bm25:b": 0.25, "bm25:depth": 1000, "lmd:mu": 2000.0, "ssr:K": 42.0, "kld:expansions": 8, "kld:depth": 16, "kld:gamma": 1 / 3, "rsj:expansions": 25, "rsj:depth": 10, "rsj:gamma": 0.2, "qa:window": 64}
 
@@ -42,6 +44,19 @@ def trials(rank: Callable[[dict[str, float]], DataFrame], settings: list[dict[st
     return rows
 
 
+def bm25_trials(stats: rk.Statistics, query: DataFrame, settings: list[dict[str, float]], depth: int) -> DataFrame:
+    """(trial, k1, b, topic, doc_id, score, rank): BM25 under each setting, in one job: postings are read and joined with the query
+    once, and each joined row is scored under every setting before it is added up."""
+    tf, terms = stats
+    weighted = rk.weighted_terms(query, terms)
+    trial = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), F.lit(s["k1"]).alias("k1"), F.lit(s["b"]).alias("b")) for n, s in enumerate(settings)])).alias("s")
+    rows = tf.join(F.broadcast(weighted) if rk._few(query) else weighted, "term").select("topic", "doc_id", "weight", "rsj", "tf", "len", "avgl", trial).select("*", "s.*")
+    gain = F.col("weight") * F.col("rsj") * F.col("tf") / (F.col("k1") * ((1 - F.col("b")) + F.col("b") * F.col("len") / F.col("avgl")) + F.col("tf"))
+    scores = rows.groupBy("trial", "k1", "b", "topic", "doc_id").agg(F.sum(gain).alias("score")).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("trial", "topic").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+
+
 def bootstrap(values: DataFrame, samples: int = 1000, seed: int = 1) -> DataFrame:
     """(trial, mean, wins): the mean of each trial, and in how many resamples of the topics it was best.
 

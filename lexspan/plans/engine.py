@@ -105,6 +105,14 @@ class Engine:
         said = F.array_join(F.slice("lexspan_words", (start + 1).cast("int"), size.cast("int")), " ")
         return spans.join(words, "doc_id").withColumn("said", said).drop("lexspan_words")
 
+    def around(self, spans: DataFrame, n: int) -> DataFrame:
+        """(doc_id, p, q, before, said, after): spans with their words and the ``n`` before and after."""
+        words = self.docs.select("doc_id", tx.words(F.col("text")).alias("words"))
+        part = lambda start, size: F.array_join(F.slice("words", (start + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int")), " ")
+        start = F.greatest(F.col("p") - n, F.lit(0))
+        rows = spans.join(words, "doc_id")
+        return rows.select("doc_id", "p", "q", part(start, F.col("p") - start).alias("before"), part(F.col("p"), F.col("q") - F.col("p") + 1).alias("said"), part(F.col("q") + 1, F.lit(n)).alias("after"))
+
 
 class StoredEngine(Engine):
     """An engine over a stored index of the documents."""

@@ -97,17 +97,17 @@ class Postings:
         return cls(spark, path)
 
     @classmethod
-    def stored(cls, spark: SparkSession, table: str) -> Postings:
-        """The index of a Parquet table (doc_id, text) in the shared folder. Its name follows from the table's files, with their
+    def stored(cls, spark: SparkSession, table: str, docs: DataFrame | None = None, kind: str = "") -> Postings:
+        """The index of a Parquet table (doc_id, text), or of ``docs`` made of it and called ``kind``, in the shared folder. Its name follows from the table's files, with their
         sizes and times, so a changed table gets a new index; an index is built aside and named when it is whole."""
         found, total = files_of(spark, table)
-        name = hashlib.sha256(json.dumps([VERSION, found]).encode()).hexdigest()[:24]
+        name = hashlib.sha256(json.dumps([VERSION, kind, found]).encode()).hexdigest()[:24]
         path = f"{shared_folder(spark)}/postings-{name}"
         fs, p = file_system(spark, path)
         if not fs.exists(file_system(spark, f"{path}/totals.json")[1]):
             slots = max(LEAST_SLOTS, min(MOST_SLOTS, total // SLOT_BYTES))
             aside = f"{path}-{uuid.uuid4().hex}"
-            cls.build(spark.read.parquet(table).select("doc_id", "text"), aside, slots)
+            cls.build(spark.read.parquet(table).select("doc_id", "text") if docs is None else docs, aside, slots)
             if fs.exists(p) or not fs.rename(file_system(spark, aside)[1], p):
                 remove(spark, aside)  # another driver was first
         return cls(spark, path)
