@@ -38,6 +38,8 @@ BLOCK = 4096
 SPACE, ENDS = " \t\n\x0b\f\r", ".!?"
 SOUND, BLANK, DUPLICATE, TRUNCATED = range(4)
 NEVER = 1 << 60
+#: Row and cost patterns whose best arcs a task remembers.
+KNOWN = 50_000
 
 
 @dataclass(frozen=True)
@@ -89,11 +91,14 @@ class Machine:
         """Best way on from each state behind the last row."""
         return self.inserting([(0 if q in self.accepting else NEVER, "", q) for q in range(len(self.arcs))])
 
-    def back(self, rows: list[tuple[str, int]], behind: list[int]) -> list[list[tuple[int, str, int]]]:
-        """For each row and state the best (cost, label, state) before it, given the costs behind the last."""
+    def back(self, rows: list[tuple[str, int]], behind: list[int], known: dict | None = None) -> list[list[tuple[int, str, int]]]:
+        """For each row and state the best (cost, label, state) before it, given the costs behind the last. ``known`` keeps
+        what was found for other conversations; it starts anew at ``KNOWN`` entries."""
         ways, costs = [], behind
         states = range(len(self.arcs))
-        known: dict = {}
+        known = {} if known is None else known
+        if len(known) > KNOWN:
+            known.clear()
         for row in reversed(rows):
             # the same row before the same costs, but for a constant, has the same best arcs
             low = min(costs)
@@ -108,10 +113,10 @@ class Machine:
             costs = [x[0] for x in found]
         return ways[::-1]
 
-    def matrix(self, rows: list[tuple[str, int]]) -> list[int]:
+    def matrix(self, rows: list[tuple[str, int]], known: dict | None = None) -> list[int]:
         """Cheapest cost from each state before the rows to each behind them, by rows of the first."""
         n = len(self.arcs)
-        to = [[w[0] for w in self.back(rows, [0 if q == x else NEVER for q in range(n)])[0]] for x in range(n)]
+        to = [[w[0] for w in self.back(rows, [0 if q == x else NEVER for q in range(n)], known)[0]] for x in range(n)]
         return [min(to[x][q], NEVER) for q in range(n) for x in range(n)]
 
     def walk(self, ways: list[list[tuple[int, str, int]]], state: int) -> tuple[list[str], int]:
@@ -192,8 +197,9 @@ class Repairs:
         machine = self.machine
 
         def run(batches):
+            known: dict = {}
             for batch in batches:
-                made = [(machine.matrix([*zip(i, f, strict=True)]), sum(a + b not in machine.legal for a, b in zip(i, i[1:], strict=False))) for i, f in zip(batch.column("initials").to_pylist(), batch.column("faults").to_pylist(), strict=True)]
+                made = [(machine.matrix([*zip(i, f, strict=True)], known), sum(a + b not in machine.legal for a, b in zip(i, i[1:], strict=False))) for i, f in zip(batch.column("initials").to_pylist(), batch.column("faults").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m for m, _ in made], pa.list_(pa.int64())), pa.array([n for _, n in made], pa.int64())], [*batch.schema.names, "matrix", "illegal"])
 
         return arrow_map(blocks, run, "conv string, pos long, initials array<string>, faults array<int>, matrix array<long>, illegal long")
@@ -222,10 +228,11 @@ class Repairs:
         names = ["conv", "pos", "codes", "exits", "cost", "faults", "first", "last", "illegal"]
 
         def run(batches):
+            known: dict = {}
             for batch in batches:
                 made = []
                 for row in batch.to_pylist():
-                    ways = machine.back([*zip(row["initials"], row["faults"], strict=True)], row["behind"])
+                    ways = machine.back([*zip(row["initials"], row["faults"], strict=True)], row["behind"], known)
                     walks = [machine.walk(ways, q) if ways[0][q][0] < NEVER else (["D"] * len(ways), q) for q in range(len(machine.arcs))]
                     counts = [row["faults"].count(k) for k in (BLANK, DUPLICATE, TRUNCATED)]
                     made.append((row["conv"], row["pos"], [",".join(c) for c, _ in walks], [q for _, q in walks], ways[0][0][0], counts, row["initials"][0], row["initials"][-1], row["illegal"]))
