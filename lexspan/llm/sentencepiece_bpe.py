@@ -38,7 +38,7 @@ MARK = "▁"
 #: Words over this many characters are cut again before they are merged.
 LONG = 500
 #: Words whose encoding a task remembers; at the bound it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 #: Agenda entries are one number: rank of the score, place, length of the merged piece.
 PLACE, RANK = 16, 64
 #: Types of pieces in model files.
