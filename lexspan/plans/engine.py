@@ -129,7 +129,7 @@ class StoredEngine(Engine):
     def tokens(self) -> DataFrame:
         if not self.stem:
             return self.plain
-        family = self.index.terms.where("term <> stem").select("slot", F.col("term").alias("word"), F.concat(F.lit("porter:"), "stem").alias("term"))
+        family = self.index.stems.select("slot", F.col("term").alias("word"), F.concat(F.lit("porter:"), "stem").alias("term"))
         stems = self.index.tokens.withColumnRenamed("term", "word").join(family, ["slot", "word"])
         return self.plain.unionByName(stems.select("doc_id", "term", "pos"))
 
@@ -159,7 +159,7 @@ class StoredEngine(Engine):
         plain = super().tokens_of(ids)
         if not stems:
             return plain
-        stem = self.index.terms.where("term <> stem").select("term", F.concat(F.lit("porter:"), "stem").alias("stem"))
+        stem = self.index.stems.select("term", F.concat(F.lit("porter:"), "stem").alias("stem"))
         return plain.unionByName(plain.join(stem, "term").select("doc_id", F.col("stem").alias("term"), "pos"))
 
     def statistics(self, query: DataFrame, stems: bool = False) -> rk.Statistics:

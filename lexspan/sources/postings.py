@@ -4,7 +4,8 @@ Tables below one folder, written once for a state of the documents:
 
     tokens    slot, term, doc_id, pos       every token, in order of term, document and place
     postings  slot, term, doc_id, tf, len   a row for each term of a document, with the document's length
-    terms     slot, term, df, cf, stem      the vocabulary
+    terms     slot, term, df, cf            the vocabulary
+    stems     slot, term, stem              words that differ from their stem; written when first asked for
     lengths   doc_id, len, last             words of each document with a word, and its last place
 
 and ``totals.json`` with items, length and vocabulary size. ``slot`` is a hash of the term and the
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ class Postings:
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
         self.tokens = read("tokens", "term string, doc_id long, pos long, slot int")
         self.postings = read("postings", "term string, doc_id long, tf long, len long, slot int")
-        self.terms = read("terms", "term string, df long, cf long, stem string, slot int")
+        self.terms = read("terms", "term string, df long, cf long, slot int")
         self.lengths = read("lengths", "doc_id long, len long, last long")
 
     @classmethod
@@ -86,8 +87,7 @@ class Postings:
         written(both.select("slot", "term", "doc_id", "tf", "len"), f"{path}/postings", "term", "doc_id")
         postings = spark.read.schema("term string, doc_id long, tf long, len long, slot int").parquet(f"{path}/postings")
         counts = postings.groupBy("slot", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        stem = F.pandas_udf(tx._stem_all, "string")(F.col("term"))
-        written(counts.select("slot", "term", "df", "cf", stem.alias("stem")), f"{path}/terms", "term")
+        written(counts.select("slot", "term", "df", "cf"), f"{path}/terms", "term")
         items, length = lengths.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         vocab = spark.read.schema("term string, slot int").parquet(f"{path}/terms").count()
         fs, p = file_system(spark, f"{path}/totals.json")
@@ -103,15 +103,24 @@ class Postings:
         found, total = files_of(spark, table)
         name = hashlib.sha256(json.dumps([VERSION, kind, found]).encode()).hexdigest()[:24]
         path = f"{shared_folder(spark)}/postings-{name}"
-        fs, p = file_system(spark, path)
-        if not fs.exists(file_system(spark, f"{path}/totals.json")[1]):
+        if not exists(spark, f"{path}/totals.json"):
             slots = max(LEAST_SLOTS, min(MOST_SLOTS, total // SLOT_BYTES))
             aside = f"{path}-{uuid.uuid4().hex}"
             cls.build(spark.read.parquet(table).select("doc_id", "text") if docs is None else docs, aside, slots)
-            if fs.exists(p) or not fs.rename(file_system(spark, aside)[1], p):
-                remove(spark, aside)  # another driver was first
+            renamed(spark, aside, path)
         return cls(spark, path)
 
+    @cached_property
+    def stems(self) -> DataFrame:
+        """(slot, term, stem) of the words that differ from their stem: the Python stemmer sees each word of the vocabulary once."""
+        path = f"{self.path}/stems"
+        if not exists(self.spark, path):
+            aside = f"{path}-{uuid.uuid4().hex}"
+            stem = F.pandas_udf(tx._stem_all, "string")(F.col("term"))
+            written(self.terms.select("slot", "term", stem.alias("stem")).where("term <> stem"), aside, "stem")
+            renamed(self.spark, aside, path)
+        return self.spark.read.schema("term string, stem string, slot int").parquet(path)
+
     def in_slots(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """The rows of some terms: folders and row groups of other terms are not read."""
         if not terms:
@@ -124,13 +133,13 @@ class Postings:
         found = self.in_slots(self.tokens, [t for t in terms if not t.startswith("porter:")]).select("term", "doc_id", "pos")
         asked = [t.removeprefix("porter:") for t in terms if t.startswith("porter:")]
         if asked:
-            family = self.terms.where(F.col("stem").isin(*asked) & (F.col("term") != F.col("stem"))).select("slot", "term", "stem")
+            family = self.stems.where(F.col("stem").isin(*asked)).select("slot", "term", "stem")
             found = found.unionByName(self.tokens.join(family, ["slot", "term"]).select(F.concat(F.lit("porter:"), "stem").alias("term"), "doc_id", "pos"))
         return found
 
     def stemmed(self, asked: DataFrame | None = None) -> DataFrame:
         """(term, doc_id, tf, len) of stems, as ``porter:`` terms: the sums over the words that differ from their stem."""
-        family = self.terms.where("term <> stem").select("slot", F.col("term").alias("word"), F.concat(F.lit("porter:"), "stem").alias("term"))
+        family = self.stems.select("slot", F.col("term").alias("word"), F.concat(F.lit("porter:"), "stem").alias("term"))
         if asked is not None:
             family = family.join(asked, "term", "left_semi")
         own = self.postings.withColumnRenamed("term", "word").join(family, ["slot", "word"])
@@ -156,6 +165,18 @@ class Postings:
         return tf, self.with_totals(df)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def renamed(spark: SparkSession, aside: str, path: str) -> None:
+    """Give a whole folder its name, unless another driver was first."""
+    fs, p = file_system(spark, path)
+    if fs.exists(p) or not fs.rename(file_system(spark, aside)[1], p):
+        remove(spark, aside)
+
+
 def files_of(spark: SparkSession, table: str) -> tuple[list, int]:
     """Name, size and time of each data file below a path, in order; and the bytes of all."""
     fs, p = file_system(spark, table)

@@ -104,7 +104,8 @@ class Store:
         """Write what is visible now as one table; the number of the manifest. Readers of earlier snapshots and
         transactions that commit meanwhile are not affected."""
         upto, name = max((n for n, _ in self.manifests()), default=0), uuid.uuid4().hex
-        self.read(upto).repartition("feature").sortWithinPartitions("feature", "doc_id", "p").write.parquet(f"{self.path}/compacted/{name}")
+        # ordered by feature and document, so a frequent feature is cut between documents and no task holds it whole
+        self.read(upto).orderBy("feature", "doc_id", "p").write.parquet(f"{self.path}/compacted/{name}")
         return self.publish({"compacted": name, "upto": upto})
 
     def commit_all(self, transactions: list[Transaction]) -> int:
@@ -150,10 +151,32 @@ class Transaction:
 
 
 def visible(rows: DataFrame) -> DataFrame:
-    """Rows that no later erasure holds, without the erasures."""
-    erased = rows.where("feature = ''").select("doc_id", F.col("p").alias("from"), F.col("q").alias("to"), F.col("snap").alias("erased_at"))
-    inside = F.col("p") >= F.col("from")
-    return rows.where("feature <> ''").alias("r").join(erased.alias("e"), (F.col("r.doc_id") == F.col("e.doc_id")) & inside & (F.col("q") <= F.col("to")) & (F.col("snap") <= F.col("erased_at")), "left_anti")
+    """Rows that no later erasure holds, without the erasures.
+
+    In each document a window in order of start carries the furthest end of the erasures begun so far; a row is gone if that
+    reaches its end. Only erasures of snapshots not before the row's own count: of n snapshots that erase, in order, those
+    are made up of at most log n blocks of sizes 1, 2, 4, ..., at most one of each size, so there is a window for each size, in which a
+    row stands with the erasures of its block. The work grows with the rows and erasures together, and no row is compared with each erasure.
+    """
+    erasing = [r.snap for r in rows.where("feature = ''").select("snap").distinct().orderBy("snap").collect()]  # at most one for each manifest
+    if not erasing:
+        return rows.where("feature <> ''")
+    size = 1 << (len(erasing) - 1).bit_length()
+    top = size.bit_length() - 1
+    # the place of a row's snapshot among those that erase: the first not before it
+    place = F.size(F.filter(F.array(*[F.lit(n).cast("long") for n in erasing]), lambda n: n < F.col("snap")))
+    found = rows.withColumns({"lexspan_at": place, "lexspan_place": place, "lexspan_gone": F.lit(False)})
+    erasure = F.col("feature") == ""
+    for k in range(top + 1):
+        # from its place up to the end a row takes the blocks with odd places, and in the end the whole
+        at = F.col("lexspan_place")
+        takes = ((at % 2 == 1) | (F.lit(k == top) & (at == 0))) & (at < size >> k)
+        block = F.when(erasure, F.shiftright("lexspan_at", k)).when(takes, at).otherwise(-1)
+        begun = Window.partitionBy("doc_id", "lexspan_block").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        found = found.withColumn("lexspan_block", block.cast("int")).withColumn("lexspan_reach", F.max(F.when(erasure, F.col("q"))).over(begun))
+        gone = F.col("lexspan_gone") | ((F.col("lexspan_block") >= 0) & F.coalesce(F.col("lexspan_reach") >= F.col("q"), F.lit(False)))
+        found = found.withColumns({"lexspan_gone": gone, "lexspan_place": F.floor((at + 1) / 2).cast("int")})
+    return found.where(~erasure & ~F.col("lexspan_gone")).select(*rows.columns)
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -168,3 +168,43 @@ def test_many_commits(spark, tmp_path):
     t.commit()
     rows = store.read()
     assert rows.collect()[0].snap == 1001 and rows._jdf.queryExecution().optimizedPlan().toString().count("parquet") < 6
+
+
+def test_many_erasures_by_snapshot(spark):
+    """Against every row compared with every erasure: only erasures not before a row count, and only if one holds all of it."""
+    import random
+
+    from lexspan.streaming import store as st
+
+    rng = random.Random(3)
+    for snaps in (1, 2, 3, 7):
+        rows, erased = [], []
+        for k in range(400):
+            p = rng.randint(0, 60)
+            q = p + rng.choice([0, 1, 3, 9])
+            feature = "" if k % 5 == 0 else rng.choice("ab")
+            rows.append((feature, rng.choice([1, 2, None]), p, q + (6 if not feature else 0), float(k), rng.randint(1, snaps)))
+        erased = [r for r in rows if not r[0]]
+        gone = lambda r, e: r[1] is not None and r[1] == e[1] and e[2] <= r[2] and r[3] <= e[3] and r[5] <= e[5]
+        want = {r[4] for r in rows if r[0] and not any(gone(r, e) for e in erased)}
+        got = st.visible(spark.createDataFrame([r for r in rows if r[1] is not None], st.ROWS))
+        assert {r.v for r in got.collect()} == {v for v in want if rows[int(v)][1] is not None}
+        assert got.columns == ["feature", "doc_id", "p", "q", "v", "snap"]
+
+
+def test_one_document_with_many_erasures(spark, tmp_path):
+    from lexspan.streaming import store as st
+
+    store = st.Store(spark, str(tmp_path / "store"))
+    spans = spark.range(2000).selectExpr("'x' feature", "1L doc_id", "id p", "id q", "0.0D v")
+    for part in range(3):
+        t = store.transaction()
+        t.annotate(spans)
+        t.erase(spark.range(part * 200, part * 200 + 200).selectExpr("1L doc_id", "id * 3 p", "id * 3 + 1 q"))
+        t.ready()
+        t.commit()
+    left = store.read().groupBy("snap").count().orderBy("snap").collect()
+    # the first part loses what all three erase, the last only what its own does
+    assert [r["count"] for r in left] == [2000 - 1200, 2000 - 800, 2000 - 400]
+    store.compact()
+    assert store.read().count() == 6000 - 2400
