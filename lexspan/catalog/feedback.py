@@ -10,6 +10,7 @@ from lexspan.catalog.retrieval import BM25, COVER, RANKED, run_of, tiers, topics
 from lexspan.functions.text import STOPWORDS, porter
 from lexspan.operators import ranking as rk
 from lexspan.operators import search as se
+from lexspan.operators import statistics as sl
 from lexspan.operators import tuning
 from lexspan.plans.engine import StoredEngine
 from lexspan.plans.gcl import families, parse
@@ -179,6 +180,23 @@ def container_attach(spark, sf_dir):
     return rk.attached(e.gcl(f"(^ {A} {B})").select("doc_id", "p", "q"), boxes(e))
 
 
+# statistics by recipe
+
+SPAN_STATS = f"""ends_ AS ({reduced(THEN.format('a', 'c'))}), stf AS (SELECT e.doc_id, e.p, e.q, term, count(*) AS tf FROM ends_ e JOIN tok t ON t.doc_id = e.doc_id AND t.pos BETWEEN e.p AND e.q JOIN (SELECT DISTINCT term FROM topic_terms) USING (term) GROUP BY ALL),
+sdf AS (SELECT term, count(*) AS df FROM stf GROUP BY term), stotal AS (SELECT count(*) AS items, avg(q - p + 1) AS avgl FROM ends_),
+sb AS (SELECT topic, doc_id, p, q, round(sum(weight * {RSJ} * tf / (0.5 * (0.75 + 0.25 * (q - p + 1) / avgl) + tf)), 6) AS score FROM stf JOIN sdf USING (term) JOIN topic_terms USING (term), stotal WHERE {RSJ} > 0 GROUP BY ALL)"""
+
+
+@register("stats_selection", with_(STATS, QUERY, BM25, XA, XC, SPAN_STATS, select="""SELECT 'df' AS recipe, topic, doc_id, -1::BIGINT AS p, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id) AS rank FROM b25) WHERE rank <= 5
+  UNION ALL SELECT 'idf', topic, doc_id, p, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id, p, q) AS rank FROM sb) WHERE rank <= 5"""))
+def stats_selection(spark, sf_dir):
+    """The same ranker over two statistics: stored counts of documents, and counts inside spans between two terms."""
+    e, query = engine(spark, sf_dir), topics(spark, sf_dir)
+    whole = rk.ranked(rk.bm25(sl.select(e, {"statistics": "df"}, query), query), 5).select(F.lit("df").alias("recipe"), "topic", "doc_id", F.lit(-1).cast("long").alias("p"), "score")
+    parts = rk.ranked(rk.bm25(sl.select(e, {"container": f"(... {A} {C})"}, query), query), 5)
+    return whole.unionByName(parts.select(F.lit("idf").alias("recipe"), "topic", "doc_id.doc_id", "doc_id.p", "score"))
+
+
 # families and summaries
 
 

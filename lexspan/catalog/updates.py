@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexspan.catalog._tables import DF, TF, TOK, A, B, table, with_
 from lexspan.operators import ranking as rk
 from lexspan.registry import register
-from lexspan.sources.workspace import passing_folder
+from lexspan.sources.workspace import file_system, passing_folder
+from lexspan.streaming import statistics as sm
 from lexspan.streaming import store as st
 
 
@@ -95,6 +96,18 @@ def incremental_stats(spark, sf_dir):
     return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
+@register("stream_statistics", with_(TOK, TF, DF, "n AS (SELECT count(DISTINCT doc_id) AS items, count(*) AS length FROM tok)", select="SELECT term, df, cf, items, length FROM df, n"))
+def stream_statistics(spark, sf_dir):
+    """The statistics that a stream of the documents has kept when it has caught up."""
+    path = folder(spark)
+    fs, p = file_system(spark, f"{sf_dir}/documents.parquet")
+    reader = spark.readStream.schema("doc_id long, text string")
+    # a stream reads folders: of a table that is one file, the folder with that name picked
+    stream = reader.option("pathGlobFilter", p.getName()).parquet(sf_dir) if fs.isFile(p) else reader.parquet(f"{sf_dir}/documents.parquet")
+    sm.keep_statistics(stream, f"{path}/counts", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return sm.statistics_now(spark, f"{path}/counts").drop("avgl")
+
+
 @register("forage_tfidf", with_(TOK, TF, DF, select="SELECT concat('@tf-idf:', term) AS feature, doc_id, round(tf * ln((SELECT count(DISTINCT doc_id) FROM tok) / df), 6) AS v FROM tf JOIN df USING (term)"))
 def forage_tfidf(spark, sf_dir):
     """tf-idf weights of all terms as annotations."""

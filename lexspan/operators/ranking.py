@@ -133,30 +133,28 @@ def cover_density(covers: DataFrame, k: float = 42.0, containers: DataFrame | No
 
 
 def inside(covers: DataFrame, containers: DataFrame) -> DataFrame:
-    """(doc_id, container_p, container_q, p, q): each cover with each container that holds it. Containers may overlap and
-    be nested.
+    """(doc_id, container_p, container_q, p, q and what else a cover has): each cover with each container that holds it.
+    Containers may overlap and be nested.
 
     Covers are minimal, so those inside a container are neighbours: from the first that starts in it to the last that
     ends in it. One sweep over all ends of a document numbers the covers and tells each container these two numbers; the numbers
     in between are joined, so every joined row is a result.
     """
-    c = containers.select("doc_id", F.col("p").alias("container_p"), F.col("q").alias("container_q")).distinct()
-    none = F.lit(None).cast("long")
-    ends = (
-        covers.select("doc_id", F.col("p").alias("at"), F.lit("start").alias("kind"), "p", "q", none.alias("container_p"), none.alias("container_q"))
-        .unionByName(covers.select("doc_id", F.col("q").alias("at"), F.lit("end").alias("kind"), "p", "q", none.alias("container_p"), none.alias("container_q")))
-        .unionByName(c.select("doc_id", F.col("container_p").alias("at"), F.lit("from").alias("kind"), none.alias("p"), none.alias("q"), "container_p", "container_q"))
-        .unionByName(c.select("doc_id", F.col("container_q").alias("at"), F.lit("to").alias("kind"), none.alias("p"), none.alias("q"), "container_p", "container_q"))
-    )
+    rest = [c for c in covers.columns if c != "doc_id"]
+    c = containers.select("doc_id", F.struct(F.col("p").alias("container_p"), F.col("q").alias("container_q")).alias("box")).distinct()
+    own = covers.select("doc_id", F.struct(*rest).alias("own"))
+    null = lambda rows, name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
+    end = lambda rows, at, kind: rows.select("doc_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), *[x if x in rows.columns else null({"own": own, "box": c}[x], x) for x in ("own", "box")])
+    ends = end(own, "own.p", "start").unionByName(end(own, "own.q", "end")).unionByName(end(c, "box.container_p", "from")).unionByName(end(c, "box.container_q", "to"))
     order = Window.partitionBy("doc_id").orderBy("at")
     count = lambda kind, last: F.count(F.when(F.col("kind") == kind, 1)).over(order.rangeBetween(Window.unboundedPreceding, last))
     swept = ends.withColumns({"before": count("start", -1), "upto": count("end", 0)})
-    numbered = swept.where("kind = 'start'").select("doc_id", (F.col("before") + 1).alias("n"), "p", "q")
-    held = swept.where("kind in ('from', 'to')").groupBy("doc_id", "container_p", "container_q").agg(
+    numbered = swept.where("kind = 'start'").select("doc_id", (F.col("before") + 1).alias("n"), "own")
+    held = swept.where("kind in ('from', 'to')").groupBy("doc_id", "box").agg(
         (F.max(F.when(F.col("kind") == "from", F.col("before"))) + 1).alias("first"), F.max(F.when(F.col("kind") == "to", F.col("upto"))).alias("last")
     )
-    wanted = held.where("first <= last").select("doc_id", "container_p", "container_q", F.explode(F.sequence("first", "last")).alias("n"))
-    return wanted.join(numbered, ["doc_id", "n"]).select("doc_id", "container_p", "container_q", "p", "q")
+    wanted = held.where("first <= last").select("doc_id", "box", F.explode(F.sequence("first", "last")).alias("n"))
+    return wanted.join(numbered, ["doc_id", "n"]).select("doc_id", "box.container_p", "box.container_q", "own.*")
 
 
 def attached(results: DataFrame, containers: DataFrame) -> DataFrame:

@@ -128,3 +128,29 @@ def test_tuning(spark):
     docs = spark.range(30).withColumnRenamed("id", "doc_id")
     one, two = (tuning.random_ranking(docs, 5, s).collect() for s in (1, 2))
     assert len(one) == 5 and one != two and one == tuning.random_ranking(docs.repartition(3), 5, 1).collect()
+
+
+def test_statistics_by_recipe(spark):
+    from lexspan.operators import statistics as sl
+
+    texts = ["one fox two", "fox fox three four", "nothing here", "one two three four five six"]
+    notes = [(":title:", 0, 0, 1, 0.0), (":body:", 0, 1, 2, 0.0), (":title:", 1, 0, 0, 0.0), (":body:", 1, 1, 3, 0.0), ("@tf-idf:tf:fox", 1, 0, 0, 7.0)]
+    engine = Engine(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(notes, "feature string, doc_id long, p long, q long, v double"))
+    query = spark.createDataFrame([(0, "fox", 1.0), (0, "two", 1.0)], "topic long, term string, weight double")
+
+    def told(stats):
+        tf, terms = stats
+        return {(r.term, r.doc_id): (r.tf, r.len) for r in tf.collect()}, {r.term: (r.df, r.cf, r["items"]) for r in terms.collect()}
+
+    assert told(sl.select(engine, {"statistics": "df"}, query)) == ({("fox", 0): (1, 3), ("fox", 1): (2, 4), ("two", 0): (1, 3), ("two", 3): (1, 6)}, {"fox": (2, 3, 4), "two": (2, 2, 4)})
+    tf, df = told(sl.select(engine, {"container": "(... one two)"}, query))
+    assert {(t, d[0], d[1], d[2]): n for (t, d), n in tf.items()} == {("fox", 0, 0, 2): (1, 3), ("two", 0, 0, 2): (1, 3), ("two", 3, 0, 1): (1, 2)} and df == {"fox": (1, 1, 2), "two": (2, 2, 2)}
+    assert told(sl.select(engine, {"container": ":item"}, query))[1] == {"fox": (2, 3, 4), "two": (2, 2, 4)}
+    tf, _ = told(sl.select(engine, {}, query, "field", ":title:=2 :body:=0.5"))
+    # place 1 of the first document stands in both fields
+    assert tf == {("fox", 0): (2.5, 3), ("two", 0): (0.5, 3), ("fox", 1): (2.5, 4)}
+    assert told(sl.select(engine, {"foraged": "yes"}, query))[0] == {("fox", 1): (7.0, 4)}
+    for wrong in (({}, "", ""), ({}, "other", ""), ({}, "field", "title"), ({}, "field", "")):
+        with pytest.raises(sl.NoStatistics):
+            sl.select(engine, wrong[0], query, wrong[1], wrong[2])
+    assert rk.bm25(sl.select(engine, {"container": ":item"}, spark.createDataFrame([(0, "one", 1.0)], query.schema)), spark.createDataFrame([(0, "six", 1.0)], query.schema)).count() == 0

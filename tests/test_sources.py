@@ -208,3 +208,28 @@ def test_one_document_with_many_erasures(spark, tmp_path):
     assert [r["count"] for r in left] == [2000 - 1200, 2000 - 800, 2000 - 400]
     store.compact()
     assert store.read().count() == 6000 - 2400
+
+
+def test_statistics_follow_a_stream(spark, tmp_path):
+    """Files arrive one after another; after each, the stream's counts are those of a batch over all of them."""
+    import random
+    from collections import Counter
+
+    from lexspan.streaming import statistics as sm
+
+    rng = random.Random(2)
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(source)
+    texts = []
+    for part in range(3):
+        new = [" ".join(rng.choice("Aa b c d e f".split()) for _ in range(rng.randint(0, 9))) for _ in range(20)] + [None, "same same", "same same"]
+        texts += new
+        spark.createDataFrame([(part * 100 + k, t) for k, t in enumerate(new)], "doc_id long, text string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+        sm.keep_statistics(stream, kept, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+        words = [(t or "").lower().split() for t in texts]
+        df, cf = Counter(w for ws in words for w in set(ws)), Counter(w for ws in words for w in ws)
+        rows = sm.statistics_now(spark, kept).collect()
+        assert {r.term: (r.df, r.cf) for r in rows} == {w: (df[w], cf[w]) for w in df}
+        assert {(r["items"], r["length"]) for r in rows} == {(sum(map(bool, words)), sum(map(len, words)))}
+        assert {r.term: (r.df, r.cf) for r in sm.term_counts(spark.read.parquet(source)).collect() if r.term} == {w: (df[w], cf[w]) for w in df}
