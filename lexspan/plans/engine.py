@@ -17,6 +17,8 @@ from lexspan.plans.gcl import Expr, Lowering
 from lexspan.sources.postings import Postings
 from lexspan.sources.workspace import passing_folder
 
+#: Terms of a query that are named in the plan, so that only their folders are read.
+SMALL = 64
 ANNOTATIONS = "feature string, doc_id long, p long, q long, v double"
 
 
@@ -163,5 +165,6 @@ class StoredEngine(Engine):
         return plain.unionByName(plain.join(stem, "term").select("doc_id", F.col("stem").alias("term"), "pos"))
 
     def statistics(self, query: DataFrame, stems: bool = False) -> rk.Statistics:
-        terms = query.select("term").distinct()
-        return self.index.statistics(F.broadcast(terms) if rk._few(query) else terms, stems)
+        if rk.size_of(query) <= SMALL:
+            return self.index.statistics([r.term for r in query.select("term").distinct().collect()], stems)
+        return self.index.statistics(query.select("term").distinct() if stems else None, stems)

@@ -154,14 +154,16 @@ class Postings:
         told = {"items": self.items, "length": self.length, "vocab": self.vocab, "avgl": self.length / self.items if self.items else 0.0}
         return rows.withColumns({k: F.lit(v) for k, v in told.items()})
 
-    def statistics(self, terms: DataFrame, stems: bool = False) -> tuple[DataFrame, DataFrame]:
-        """For a table of distinct terms: (term, doc_id, tf, len) and (term, df, cf) with totals. With ``stems``, terms
-        like ``porter:word`` are the sums over the words of that stem that differ from it."""
-        wanted = terms.select("term").withColumn("slot", slot_of(F.col("term"), self.slots))
-        tf = self.postings.join(wanted, ["slot", "term"]).select("term", "doc_id", "tf", "len")
-        df = self.terms.join(wanted, ["slot", "term"]).select("term", "df", "cf")
-        if stems:
-            tf, df = tf.unionByName(self.stemmed(terms)), df.unionByName(self.stem_counts(terms))
+    def statistics(self, terms: list[str] | DataFrame | None = None, stems: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(term, doc_id, tf, len) and (term, df, cf) with totals: of a list of terms from their folders alone, else of all terms, as a
+        ranker joins them with a query's terms anyway. With ``stems``, ``porter:`` terms (of the list or table) too."""
+        named = isinstance(terms, list)
+        tf = self.in_slots(self.postings, terms) if named else self.postings
+        df = self.in_slots(self.terms, terms) if named else self.terms
+        tf, df = tf.select("term", "doc_id", "tf", "len"), df.select("term", "df", "cf")
+        if stems and not (named and not any(t.startswith("porter:") for t in terms)):
+            asked = self.spark.createDataFrame([(t,) for t in terms], "term string") if named else terms
+            tf, df = tf.unionByName(self.stemmed(asked)), df.unionByName(self.stem_counts(asked))
         return tf, self.with_totals(df)
 
 
