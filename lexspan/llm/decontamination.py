@@ -9,7 +9,9 @@ item is compared whole, so hits are whole items with up to ``rate`` of their len
 
 Case and white space don't count. Null and empty texts have no hits, repeated rows the same ones, an empty table of either
 kind gives an empty one; items shorter than q characters
-after normalisation are looked for as they are, with no edit. Benchmark sets over ``BLOCK_CHARS`` go through the documents in
+after normalisation are looked for as they are, with no edit, inside words too: an item of one or two letters is found in nearly
+every document, so such items should be taken out of a benchmark before. No columns but ids and texts are read, so that none can
+clash. Benchmark sets over ``BLOCK_CHARS`` go through the documents in
 blocks of items, so what is broadcast stays bounded.
 """
 

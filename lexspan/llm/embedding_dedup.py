@@ -14,7 +14,8 @@ grows with the square of the rows.
 
 Equal vectors are one vector with a weight. Vectors that are null, zero or hold null or non-finite
 components link with nothing, vectors of different lengths don't link; rows without an id have no
-links and no component and are kept. Repeated rows of one id are one vector.
+links and no component and are kept. Repeated rows of one id are one vector. An empty table gives an empty one; no
+other column is read, so that none can clash.
 """
 
 from __future__ import annotations

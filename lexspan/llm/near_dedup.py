@@ -13,6 +13,9 @@ and then every set outside the node's largest component is compared with all set
 blocks. Sets of one component need no comparison, so a family of near copies costs in proportion to its
 size; only a large node of unlike sets with the same tokens costs the square. Nothing is capped.
 
+A null or empty text has no set and links with nothing, ids may be null or repeated, an empty table gives an empty one, and no other
+column is read, so that none can clash.
+
 Links hold at 100 |A and B| >= percent |A or B|, exactly, on 64-bit names of all shingles. A node returns a spanning forest of its links,
 which loses no component and never lists all pairs of a group.
 """

@@ -45,9 +45,11 @@ def shard_rows(rows: DataFrame, shards: int, seed: int = 7, shard_col: str = "sh
 
     ``rows`` should be slim, an id with what the caller needs beside it; it is written once, so
     that counting and dealing see the same rows if executors are lost. Equal rows are dealt like
-    different ones. An empty input gives an empty output.
+    different ones. An empty input gives an empty output; columns of the input with the names of the results give way to
+    them, and other columns, nulls and long values pass untouched.
     """
     number = "lexspan_row"
+    rows = rows.drop(shard_col, slot_col)
     kept = materialize(rows.withColumn(number, F.monotonically_increasing_id()), "shard-rows")
     total = kept.count()
     blocks = max(1, min(MAX_BLOCKS, -(-total // BLOCK_ROWS)))
@@ -64,7 +66,7 @@ def shard_rows(rows: DataFrame, shards: int, seed: int = 7, shard_col: str = "sh
     fine = np.stack([draw_matrix(matrix[:, s], cell_sizes[s], rng) for s in range(shards)], axis=1)
     flat = np.cumsum(fine.reshape(blocks, shards, cells), axis=2)
     upto = np.cumsum(matrix, axis=1)
-    schema = T.StructType([T.StructField("lexspan_block", T.IntegerType()), T.StructField("upto", T.ArrayType(T.LongType())), T.StructField("inner", T.ArrayType(T.ArrayType(T.LongType())))])
+    schema = T.StructType([T.StructField("lexspan_block", T.IntegerType()), T.StructField("lexspan_upto", T.ArrayType(T.LongType())), T.StructField("lexspan_inner", T.ArrayType(T.ArrayType(T.LongType())))])
     deal = kept.sparkSession.createDataFrame([(b, upto[b].tolist(), flat[b].tolist()) for b in range(blocks)], schema)
     starts = F.array(*[F.array(*[F.lit(int(x)) for x in np.cumsum(row) - row]) for row in cell_sizes])
 
@@ -73,9 +75,9 @@ def shard_rows(rows: DataFrame, shards: int, seed: int = 7, shard_col: str = "sh
     placed = (
         own.withColumn("lexspan_at", (F.row_number().over(first) - 1).cast("long"))
         .join(F.broadcast(deal), "lexspan_block")
-        .withColumn(shard_col, F.size(F.filter("upto", lambda x: x <= F.col("lexspan_at"))))
-        .withColumn("lexspan_in", F.col("lexspan_at") - F.when(F.col(shard_col) > 0, F.expr(f"upto[{shard_col} - 1]")).otherwise(0))
-        .withColumn("lexspan_cell", F.size(F.filter(F.expr(f"inner[{shard_col}]"), lambda x: x <= F.col("lexspan_in"))))
+        .withColumn(shard_col, F.size(F.filter("lexspan_upto", lambda x: x <= F.col("lexspan_at"))))
+        .withColumn("lexspan_in", F.col("lexspan_at") - F.when(F.col(shard_col) > 0, F.expr(f"lexspan_upto[`{shard_col}` - 1]")).otherwise(0))
+        .withColumn("lexspan_cell", F.size(F.filter(F.expr(f"lexspan_inner[`{shard_col}`]"), lambda x: x <= F.col("lexspan_in"))))
         .withColumn("lexspan_key", F.xxhash64(F.lit(seed + 2), number))
     )
     second = Window.partitionBy(shard_col, "lexspan_cell").orderBy("lexspan_key", number)

@@ -303,6 +303,18 @@ def test_half_counts_as_one(spark):
     assert {r.doc_id: r.predicted for r in verdicts(scored, "s", 5, 0).collect()} == {1: 1, 2: 0, 3: 1}
 
 
+def test_shards_of_odd_rows(spark):
+    """Nulls, long texts, repeated rows, and columns with the names that the operator uses inside or returns."""
+    rows = [(k % 5 if k % 7 else None, None if k % 3 else "x" * 200_000, k, "s", -1.0, k, k) for k in range(60)] + [(1, "same", 0, "s", -1.0, 0, 0)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, upto int, shard string, slot double, inner int, b int")
+    got = sharding.shard_rows(docs, 8).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "upto", "inner", "b", "shard", "slot"}
+    assert sorted(((r.doc_id or -1, r.text or "", r.upto, r.inner) for r in got)) == sorted((r[0] or -1, r[1] or "", r[2], r[5]) for r in rows)
+    for s in range(8):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own))) and len(own) in (11, 12)
+
+
 def test_shards_are_uniform(spark):
     """Each row is as likely in any shard, and two rows share one as often as chance has it."""
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "doc_id long, text string")
