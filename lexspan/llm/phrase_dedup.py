@@ -82,10 +82,12 @@ def sharded(phrases: DataFrame, size: int) -> DataFrame:
     text passes; one row for both unless the shard is cut."""
     supplies = F.col("repeats") | F.col("ks").isNotNull()
     weight = F.when(F.col("repeats"), F.size(F.split("words", " "))).otherwise(0) + F.when(F.col("ks").isNotNull(), size * F.size("ks")).otherwise(0)
-    rows = phrases.withColumn("supplies", supplies).withColumn("weight", weight.cast("long"))
+    # every word of a class that supplies phrases gets a letter, and letters are bounded
+    letters = F.when(supplies, F.size(F.split("words", " "))).otherwise(0)
+    rows = phrases.withColumns({"supplies": supplies, "weight": weight.cast("long"), "letters": letters.cast("long")})
     shards = max(1, -(-int(rows.agg(F.sum("weight")).first()[0] or 0) // SHARD_WORDS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    sizes = rows.groupBy("shard").agg(F.ceil(F.sum("weight") / MOST_WORDS).cast("int").alias("parts"), F.ceil(F.count("*") / MOST_TEXTS).cast("int").alias("flows"))
+    sizes = rows.groupBy("shard").agg(F.ceil(F.greatest(F.sum("weight"), F.sum("letters")) / MOST_WORDS).cast("int").alias("parts"), F.ceil(F.count("*") / MOST_TEXTS).cast("int").alias("flows"))
     rows = rows.join(sizes.where("parts > 1 or flows > 1"), "shard", "left")
     mine = lambda n: F.pmod(F.xxhash64("whole"), F.col(n)).cast("int")
     place = lambda part, stream, supplies, streams: F.struct(part.alias("part"), stream.alias("stream"), supplies.alias("supplies"), streams.alias("streams"))
