@@ -46,7 +46,11 @@ def trials(rank: Callable[[dict[str, float]], DataFrame], settings: list[dict[st
 
 def bm25_trials(stats: rk.Statistics, query: DataFrame, settings: list[dict[str, float]], depth: int) -> DataFrame:
     """(trial, k1, b, topic, doc_id, score, rank): BM25 under each setting, in one job: postings are read and joined with the query
-    once, and each joined row is scored under every setting before it is added up."""
+    once, and each document is scored under every setting at its place."""
+    if rk._few(query):
+        found = rk.best_bm25_of(stats, query, depth, [(s["k1"], s["b"]) for s in settings])
+        of = lambda name: F.element_at(F.array(*[F.lit(float(s[name])) for s in settings]), F.col("trial") + 1).alias(name)
+        return found.select("trial", of("k1"), of("b"), "topic", "doc_id", "score", "rank")
     tf, terms = stats
     weighted = rk.weighted_terms(query, terms)
     trial = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), F.lit(s["k1"]).alias("k1"), F.lit(s["b"]).alias("b")) for n, s in enumerate(settings)])).alias("s")
