@@ -50,3 +50,21 @@ def test_changes_of_ids():
     assert topk.changes(pa.array([None, None, 1, 1, 2, None])).tolist() == [True, False, True, False, True, True]
     spans = pa.array([{"d": 1, "p": 2}, {"d": 1, "p": 2}, {"d": 1, "p": 3}, {"d": 2, "p": 3}])
     assert topk.changes(spans).tolist() == [True, False, True, True]
+
+
+def test_all_products_of_vectors(spark, tmp_path, monkeypatch):
+    """Before, the query kept the hundred best of a topic, and shuffled every pair of vectors."""
+    import duckdb
+
+    from lexspan import catalog, registry  # noqa: F401
+
+    rng = random.Random(1)
+    vectors = [(k, [rng.uniform(-0.3, 1) for _ in range(6)]) for k in range(260)] + [(300, None), (301, [0.0] * 6), (302, [1.0, None, -2.0]), (303, [float("inf"), -1.0]), (None, [1.0] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    spark.createDataFrame([*vectors, (20, [0.5] * 6)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/b/embeddings.parquet")
+    monkeypatch.setattr(rk, "BLOCK", 50)
+    for name in ("a", "b"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        want = {r[:2]: r[2] for r in duckdb.sql(registry.oracle_sql()["dot_product"]).fetchall()}
+        found = registry.queries()["dot_product"](spark, f"{tmp_path}/{name}")
+        assert {(r.topic, r.doc_id): r.score for r in found.collect()} == pytest.approx(want, abs=2e-5, nan_ok=True) and len(want) > 100 * 13
