@@ -68,3 +68,28 @@ def test_all_products_of_vectors(spark, tmp_path, monkeypatch):
         want = {r[:2]: r[2] for r in duckdb.sql(registry.oracle_sql()["dot_product"]).fetchall()}
         found = registry.queries()["dot_product"](spark, f"{tmp_path}/{name}")
         assert {(r.topic, r.doc_id): r.score for r in found.collect()} == pytest.approx(want, abs=2e-5, nan_ok=True) and len(want) > 100 * 13
+
+
+@pytest.mark.parametrize("cells", [1, 2_000_000])
+def test_covers_of_many_groups(cells, monkeypatch):
+    """Against all intervals between places; before, each place of a group was a step of an expression of the plan."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(topk, "CELLS", cells)
+    rng = random.Random(9)
+    weight = [0.7, 2.0, 3.5, 5.0]
+    spots = [(g, p, rng.randrange(4)) for g in range(60) for p in sorted(rng.sample(range(40), rng.randint(1, 12)))]
+    rng.shuffle(spots)
+    g, p, t = (np.array(x, np.int64) for x in zip(*spots, strict=True))
+    score, first, last = topk.covers(g, p, t, np.array(weight)[t])
+    for k in range(60):
+        own = sorted((p, t) for g, p, t in spots if g == k)
+        found = []
+        for a, b in itertools.combinations_with_replacement(range(len(own)), 2):
+            seen = {t for _, t in own[a : b + 1]}
+            s = sum(weight[t] for t in seen) - (len(seen) * math.log(own[b][0] - own[a][0] + 1) if len(seen) > 1 else 0)
+            found += [(-round(s, 9), own[a][0], own[b][0])] if a == b or (len(seen) > 1 and s > 0) else []
+        assert (score[k], first[k], last[k]) == pytest.approx((-min(found)[0], *min(found)[1:]), abs=1e-8)
