@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspan.catalog._tables import TOK, engine, table, with_
+from lexspan.catalog._tables import TOK, table, with_
 from lexspan.functions import text as tx
 from lexspan.operators import intervals as iv
 from lexspan.registry import register
@@ -73,7 +73,7 @@ def load_c4_like(spark, sf_dir):
 @register("sparse_annotate", with_(TOK, select="SELECT doc_id::VARCHAR AS docid, concat('splade:', term) AS feature, count(*) AS v FROM tok GROUP BY ALL"))
 def sparse_annotate(spark, sf_dir):
     """Vectors of all words of all documents, written as JSON lines and read as annotations."""
-    counts = engine(spark, sf_dir).tokens.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counts = tx.frequencies(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("tf", "n")
     lines = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("splade_vector")).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("docid"), "splade_vector")).alias("value"))
     return src.sparse_vectors(lines)
 

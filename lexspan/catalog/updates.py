@@ -111,11 +111,12 @@ def stream_statistics(spark, sf_dir):
 @register("forage_tfidf", with_(TOK, TF, DF, select="SELECT concat('@tf-idf:', term) AS feature, doc_id, round(tf * ln((SELECT count(DISTINCT doc_id) FROM tok) / df), 6) AS v FROM tf JOIN df USING (term)"))
 def forage_tfidf(spark, sf_dir):
     """tf-idf weights of all terms as annotations."""
-    from lexspan.functions.text import tokens
+    from lexspan.functions.text import frequencies
 
-    rows = tokens(documents(spark, sf_dir))
-    tf = rk.term_frequencies(rows)
-    df = rk.document_frequencies(tf).crossJoin(F.broadcast(rows.agg(F.countDistinct("doc_id").alias("items"))))
+    tf = frequencies(documents(spark, sf_dir))
+    # what has a word at all is an item; a null id, which counts as none, is not
+    items = tf.agg(F.countDistinct("doc_id").alias("items"))
+    df = rk.document_frequencies(tf).crossJoin(F.broadcast(items))
     v = F.round(F.col("tf") * F.log(F.col("items") / F.col("df")), 6)
     return tf.join(df, "term").select(*note(F.col("term"), v))
 
@@ -128,12 +129,11 @@ def note(name: Column, v: Column) -> tuple[Column, Column, Column]:
 @register("forage_stats")
 def forage_stats(spark, sf_dir):
     """The forager's tf and df of all stems, and its totals, as annotations; df and totals stand at the first document."""
-    from lexspan.functions.text import stems, tokens
+    from lexspan.functions.text import frequencies, stems
 
-    rows = tokens(documents(spark, sf_dir))
-    tf = rk.term_frequencies(rows)
+    tf = frequencies(documents(spark, sf_dir))
     stemmed = tf.join(stems(tf), "term").groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
-    first = F.broadcast(rows.agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("items"), F.count("*").alias("length")))
+    first = F.broadcast(tf.agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("items"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length")))
     dfs = stemmed.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(first)
     sums = first.where("items > 0").select("doc_id", F.explode(F.create_map(F.lit("items"), "items", F.lit("length"), "length")).alias("name", "n"))
     return (

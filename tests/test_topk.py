@@ -93,3 +93,21 @@ def test_covers_of_many_groups(cells, monkeypatch):
             s = sum(weight[t] for t in seen) - (len(seen) * math.log(own[b][0] - own[a][0] + 1) if len(seen) > 1 else 0)
             found += [(-round(s, 9), own[a][0], own[b][0])] if a == b or (len(seen) > 1 and s > 0) else []
         assert (score[k], first[k], last[k]) == pytest.approx((-min(found)[0], *min(found)[1:]), abs=1e-8)
+
+
+def test_word_lists_need_no_exchange(spark):
+    """Before, every word of every document was a row of an exchange by document and word."""
+    import re
+    from collections import Counter
+
+    from lexspan.functions import text as tx
+
+    texts = [(1, "One two one, TWO! é x1"), (2, None), (3, ""), (4, "..."), (5, "a " * 3000 + "Ünd b"), (None, "no id")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = Counter((k, w) for k, t in texts for w in re.findall("[a-z0-9]+", (t or "").lower()))
+    assert {(r.doc_id, r.term): r.tf for r in tx.frequencies(docs).collect()} == want
+    assert "Exchange" not in tx.frequencies(docs)._jdf.queryExecution().executedPlan().toString()
+    twice = docs.unionByName(docs)
+    assert {(r.doc_id, r.term): r.tf for r in tx.frequencies(twice).collect()} == {k: 2 * n for k, n in want.items()}
+    lists = {(r.doc_id, r.term): (r.len, r.places) for r in tx.word_lists(docs).collect()}
+    assert lists[1, "two"] == (5, [1, 3]) and lists[5, "a"][1] == list(range(3000))
