@@ -68,11 +68,14 @@ def with_totals(tf: DataFrame, lengths: DataFrame) -> rk.Statistics:
 
 def contained(engine: Engine, query: DataFrame, container: str) -> rk.Statistics:
     """Counts inside the intervals of an expression, which are ranked; their lengths are those of the intervals."""
-    units = engine.gcl(parse(container)).select("doc_id", "p", "q").distinct()
-    held = rk.inside(places_of(engine, query), units)
+    units = engine.shared(engine.gcl(parse(container)).select("doc_id", "p", "q").distinct())
+    # a document without a container has nothing to count
+    places = places_of(engine, query).join(units.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = rk.inside(places, units)
     unit = F.struct("doc_id", F.col("container_p").alias("p"), F.col("container_q").alias("q")).alias("doc_id")
     tf = held.groupBy(unit, "term").agg(F.count("*").alias("tf"))
-    tf = tf.select("term", "doc_id", "tf", (F.col("doc_id.q") - F.col("doc_id.p") + 1).alias("len"))
+    # read for the document frequencies, and again for the scores
+    tf = engine.shared(tf.select("term", "doc_id", "tf", (F.col("doc_id.q") - F.col("doc_id.p") + 1).alias("len")))
     size = F.col("q") - F.col("p") + 1
     totals = units.agg(F.count("*").alias("items"), F.sum(size).alias("length"), F.avg(size).alias("avgl"))
     return with_totals(tf, totals)
