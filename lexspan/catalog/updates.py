@@ -25,12 +25,16 @@ def documents(spark, sf_dir) -> DataFrame:
 @register("build_index", with_(TOK, select="SELECT term AS feature, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY term UNION ALL SELECT ':item', count(DISTINCT doc_id), count(DISTINCT doc_id) FROM tok"))
 def build_index(spark, sf_dir):
     """All documents as one transaction, read back."""
-    store = st.Store(spark, folder(spark))
+    from lexspan.functions.text import one_row_each
+
+    store, docs = st.Store(spark, folder(spark)), documents(spark, sf_dir)
     t = store.transaction()
-    t.annotate(st.token_rows(documents(spark, sf_dir)))
+    t.annotate_lists(st.token_lists(docs))
     t.ready()
     t.commit()
-    return store.read().groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+    # of documents that are one row each a feature has one list in each; else ids are counted once
+    df = F.count("doc_id") if one_row_each(docs) else F.countDistinct("doc_id")
+    return store.lists().groupBy("feature").agg(F.when(F.col("feature") == ":item", df).otherwise(F.sum(F.size("at.p").cast("long"))).alias("n"), df.alias("df"))
 
 
 def in_batches(spark, sf_dir, batches: int) -> tuple[st.Store, list[int]]:

@@ -1,7 +1,8 @@
 """A store of annotations with snapshots: transactions, erasure, compaction, and appends from streams.
 
-Each transaction writes its rows as Parquet below its own id, and becomes visible when its manifest takes the next
-free number. Manifests are named by the number alone and published by a step that fails if the name is taken, so
+Each transaction writes its annotations as Parquet below its own id, and becomes visible when its manifest takes the next
+free number. What is stored is lists: a feature, a document and intervals of it there, so a text becomes one row for each of its words
+that differ, and not one for each word. Manifests are named by the number alone and published by a step that fails if the name is taken, so
 of two writers that want one number the second takes the next. A reader pins the manifests that are there
 when it starts and reads all their rows in one scan. Erased ranges are rows too; readers drop what lies inside one
 that came later. Compaction publishes what is visible up to a snapshot as one table; later readers begin there.
@@ -12,6 +13,9 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from lexspan.operators.intervals import gc_reduce
 
 PLAIN = "feature string, doc_id long, p long, q long, v double"
 ROWS = f"{PLAIN}, snap long"
+LISTS = "feature string, doc_id long, at array<struct<p: long, q: long, v: double>>"
 
 
 class Store:
@@ -90,15 +95,30 @@ class Store:
 
     def read(self, upto: int | None = None) -> DataFrame:
         """(feature, doc_id, p, q, v, snap) as of a snapshot; None: all that is committed now."""
+        return visible(single(self._stored(upto)))
+
+    def lists(self, upto: int | None = None) -> DataFrame:
+        """What ``read`` returns in lists (feature, doc_id, at, snap), as they were written. A feature of a document may have several."""
+        stored = self._stored(upto)
+        if stored.where("feature = ''").isEmpty():
+            return stored
+        return visible(single(stored)).groupBy("feature", "doc_id", "snap").agg(F.collect_list(interval()).alias("at")).select("feature", "doc_id", "at", "snap")
+
+    def _stored(self, upto: int | None) -> DataFrame:
+        """The lists of a snapshot, with the erased and the erasures."""
         found = [(n, m) for n, m in self.manifests() if upto is None or n <= upto]
         base = max(((m["upto"], m["compacted"]) for _, m in found if "compacted" in m), default=(0, None))
         later = [(n, tid) for n, m in found if n > base[0] for tid in m.get("ids", [])]
-        rows = self.spark.createDataFrame([], ROWS) if base[1] is None else self.spark.read.schema(ROWS).parquet(f"{self.path}/compacted/{base[1]}")
+        rows = None
+        if base[1] is not None:
+            rows = self.spark.read.schema(ROWS).parquet(f"{self.path}/compacted/{base[1]}").select("feature", "doc_id", F.array(interval()).alias("at"), "snap")
         if later:
-            scan = self.spark.read.schema(f"{PLAIN}, tid string").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/tid={tid}" for _, tid in later])
+            scan = self.spark.read.schema(f"{LISTS}, tid string").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/tid={tid}" for _, tid in later])
             numbers = self.spark.createDataFrame([(tid, n) for n, tid in later], "tid string, snap long")
-            rows = rows.unionByName(scan.join(numbers, "tid").drop("tid"))
-        return visible(rows)
+            # one row for each transaction; else all lists of a transaction would be sent to one task
+            scan = scan.join(F.broadcast(numbers), "tid").drop("tid")
+            rows = scan if rows is None else rows.unionByName(scan)
+        return self.spark.createDataFrame([], f"{LISTS}, snap long") if rows is None else rows
 
     def compact(self) -> int:
         """Write what is visible now as one table; the number of the manifest. Readers of earlier snapshots and
@@ -122,20 +142,25 @@ class Transaction:
         self.store, self.id, self.parts, self.ready_vote = store, uuid.uuid4().hex, [], None
 
     def annotate(self, rows: DataFrame) -> None:
-        """Rows without a feature are dropped, as are reversed intervals."""
-        self.parts.append(rows.where("feature is not null and feature <> '' and p <= q").select("feature", "doc_id", "p", "q", F.col("v").cast("double").alias("v")))
+        """Rows (feature, doc_id, p, q, v) without a feature are dropped, as are reversed intervals."""
+        self.parts.append(rows.where("feature is not null and feature <> '' and p <= q").select("feature", "doc_id", F.array(interval()).alias("at")))
+
+    def annotate_lists(self, lists: DataFrame) -> None:
+        """The same of (feature, doc_id, at), where ``at`` is an array of (p, q, v)."""
+        forward = F.filter("at", lambda x: x["p"] <= x["q"]).alias("at")
+        self.parts.append(lists.where("feature is not null and feature <> ''").select("feature", "doc_id", forward).where(F.size("at") > 0))
 
     def erase(self, ranges: DataFrame) -> None:
         """(doc_id, p, q): what lies inside one of these goes."""
-        self.parts.append(ranges.select(F.lit("").alias("feature"), "doc_id", "p", "q", F.lit(0.0).alias("v")))
+        self.parts.append(ranges.withColumn("v", F.lit(0.0)).select(F.lit("").alias("feature"), "doc_id", F.array(interval()).alias("at")))
 
     def ready(self) -> bool:
-        """Write all rows; the vote is remembered."""
+        """Write all lists; the vote is remembered."""
         if self.ready_vote is None:
-            rows = self.parts[0] if self.parts else self.store.spark.createDataFrame([], PLAIN)
+            rows = self.parts[0] if self.parts else self.store.spark.createDataFrame([], LISTS)
             for part in self.parts[1:]:
                 rows = rows.unionByName(part)
-            rows.sortWithinPartitions("feature", "doc_id", "p").write.mode("overwrite").parquet(f"{self.store.path}/data/tid={self.id}")
+            rows.sortWithinPartitions("feature", "doc_id", F.get("at", F.lit(0))["p"]).write.mode("overwrite").parquet(f"{self.store.path}/data/tid={self.id}")
             self.ready_vote = True
         return self.ready_vote
 
@@ -150,6 +175,16 @@ class Transaction:
         self.parts, self.ready_vote = [], False
 
 
+def interval() -> Column:
+    """p, q and v as one value."""
+    return F.struct(F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), F.col("v").cast("double").alias("v"))
+
+
+def single(lists: DataFrame) -> DataFrame:
+    """A row for each interval of lists."""
+    return lists.select("feature", "doc_id", F.inline("at"), "snap")
+
+
 def visible(rows: DataFrame) -> DataFrame:
     """Rows that no later erasure holds, without the erasures.
 
@@ -196,12 +231,34 @@ def token_rows(docs: DataFrame) -> DataFrame:
     return tokens.unionByName(items)
 
 
+def _annotated(batches):
+    """The rows of ``token_lists`` of batches (id, text in lower case)."""
+    for words in tx._counted(batches):
+        term, doc, length, places = (words.column(k) for k in (0, 1, 3, 4))
+        p = places.flatten().cast(pa.int64())
+        first = pc.equal(pc.list_element(places, 0), 0)
+        # one word of each document stands at its start
+        doc_ends = pc.subtract(length.filter(first), 1).cast(pa.int64())
+        items = len(doc_ends)
+        yield from (_lists(term, doc, places.offsets, p, p), _lists(pa.array([":item"] * items), doc.filter(first), pa.array(range(items + 1), pa.int32()), pa.array(np.zeros(items, np.int64)), doc_ends))
+
+
+def _lists(feature: pa.Array, doc: pa.Array, ends: pa.Array, p: pa.Array, q: pa.Array) -> pa.RecordBatch:
+    at = pa.StructArray.from_arrays([p, q, pa.array(np.zeros(len(p)))], ["p", "q", "v"])
+    return pa.RecordBatch.from_arrays([feature, doc, pa.ListArray.from_arrays(ends, at)], ["feature", "doc_id", "at"])
+
+
+def token_lists(docs: DataFrame) -> DataFrame:
+    """``token_rows`` in lists (feature, doc_id, at): one for each word of a row (doc_id, text), and one for ``:item``. Texts are cut once and nothing is shuffled."""
+    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_annotated, LISTS)
+
+
 def append_stream(stream: DataFrame, store: Store, checkpoint: str):
     """A streaming query that commits each micro-batch of (doc_id, text) as one snapshot."""
 
     def commit(batch: DataFrame, _: int) -> None:
         t = store.transaction()
-        t.annotate(token_rows(batch))
+        t.annotate_lists(token_lists(batch))
         t.ready()
         t.commit()
 

@@ -30,6 +30,18 @@ def test_every_document_is_read(spark, folder):
     assert got == Counter((k, w) for k, t in TEXTS.items() for w in t.split())
 
 
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, None], [1, 1, 3, None, None]])
+def test_build_index(spark, tmp_path, ids):
+    """Places and documents of each word; an id that several rows have counts once, no id not at all."""
+    texts = ["One two one", "two Three", None, "four one", "one 5"]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(w, i) for i, t in zip(ids, texts, strict=True) for w in words(t or "")]
+    want = {w: (n, len({i for x, i in said if x == w and i is not None})) for w, n in Counter(w for w, _ in said).items()}
+    want[":item"] = (len({i for _, i in said if i is not None}),) * 2
+    got = registry.queries()["build_index"](spark, str(tmp_path))
+    assert {r.feature: (r.n, r.df) for r in got.collect()} == want and dict(got.dtypes) == {"feature": "string", "n": "bigint", "df": "bigint"}
+
+
 def test_long_spans_and_all_scores(spark, folder):
     found = {r.doc_id: r.said for r in registry.queries()["translate_span"](spark, folder).collect()}
     assert found == {k: " ".join(words(t)[2:-1]) for k, t in TEXTS.items()}

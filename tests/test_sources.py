@@ -94,6 +94,38 @@ def test_transactions(spark, tmp_path):
     assert store.read().where("feature = 'c'").count() == 0
 
 
+def test_lists(spark, tmp_path):
+    """A text is stored as one row for each of its words that differ, read back as one for each place; no exchange puts all rows of a transaction together."""
+    texts = {1: "One two, one", 2: None, 3: "", 4: "two K\u212a \u0130x", 5: ", ,"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").union(spark.sql("SELECT NULL, 'one one'"))
+    plain = lambda rows: sorted((str(tuple(r)) for r in rows.select("feature", "doc_id", "p", "q", "v").collect()))
+    store = st.Store(spark, str(tmp_path / "store"))
+    assert store.lists().count() == store.read().count() == 0
+    t = store.transaction()
+    t.annotate_lists(st.token_lists(docs))
+    t.annotate_lists(spark.createDataFrame([("", 1, [(0, 1, 0.0)]), (None, 1, [(0, 1, 0.0)]), ("x", 1, [(2, 1, 0.0)]), ("x", 2, [])], st.LISTS))
+    t.ready()
+    t.commit()
+    want = plain(st.token_rows(docs))
+    assert plain(store.read()) == want and len(want) == 3 + 4 + 2 + 3
+    written = spark.read.parquet(str(tmp_path / "store" / "data"))
+    assert written.count() == store.lists().count() == 2 + 4 + 1 + 3
+    # however large a transaction is, its rows aren't dealt by its id
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in store.read()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    store.compact()
+    assert plain(store.read()) == plain(st.single(store.lists())) == want
+    t = store.transaction()
+    t.erase(spark.createDataFrame([(1, 0, 1)], "doc_id long, p long, q long"))
+    t.ready()
+    t.commit()
+    left = {(r.feature, r.doc_id): [tuple(x) for x in r.at] for r in store.lists().collect()}
+    assert left["one", 1] == [(2, 2, 0.0)] and ("two", 1) not in left and left[":item", 1] == [(0, 2, 0.0)]
+
+
 def test_stream(spark, tmp_path):
     store = st.Store(spark, f"file://{tmp_path}/store")
     docs = spark.createDataFrame([(1, "one two"), (2, "two")], "doc_id long, text string")
