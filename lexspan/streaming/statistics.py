@@ -15,15 +15,10 @@ TOTAL = ""
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, cf) of documents, batch or stream; under ``TOTAL`` the documents with a word, and all words.
 
-    The words of a document are sorted in its row, so its first word of each kind is known without another aggregation, and
-    one grouping counts both documents and words. A document is one row.
+    Documents and words are counted where the texts are cut, so one grouping adds up rows of many documents, not of one word each.
+    A document is one row.
     """
-    words = F.array_sort(tx.words(F.col(text_col)))
-    rows = docs.select(words.alias("words")).where(F.size("words") > 0)
-    count = lambda term, first, n: F.struct(term.alias("term"), first.cast("long").alias("first"), n.cast("long").alias("n"))
-    each = F.transform("words", lambda w, i: count(w, F.coalesce(F.get("words", i - 1) != w, F.lit(True)), F.lit(1)))
-    every = rows.select(F.explode(F.concat(F.array(count(F.lit(TOTAL), F.lit(1), F.size("words"))), each)).alias("x")).select("x.*")
-    return every.groupBy("term").agg(F.sum("first").alias("df"), F.sum("n").alias("cf"))
+    return tx.tallies(docs, text_col).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def keep_statistics(stream: DataFrame, path: str, checkpoint: str, text_col: str = "text", **trigger):
@@ -38,8 +33,9 @@ def keep_statistics(stream: DataFrame, path: str, checkpoint: str, text_col: str
 
 
 def statistics_now(spark: SparkSession, path: str) -> DataFrame:
-    """(term, df, cf) with items, length and avgl, of all batches so far: the latest counts of each term."""
+    """(term, df, cf) with items, length and avgl, of all batches so far: the latest counts of each term, which
+    are its largest, as a stream only adds documents."""
     written = spark.read.schema("term string, df long, cf long, batch long").parquet(path)
-    latest = written.groupBy("term").agg(F.max_by(F.struct("df", "cf"), "batch").alias("n")).select("term", "n.df", "n.cf")
+    latest = written.groupBy("term").agg(F.max("df").alias("df"), F.max("cf").alias("cf"))
     total = latest.where(F.col("term") == TOTAL).select(F.col("df").alias("items"), F.col("cf").alias("length"), (F.col("cf") / F.col("df")).alias("avgl"))
     return latest.where(F.col("term") != TOTAL).crossJoin(F.broadcast(total))

@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -242,6 +243,25 @@ def test_one_document_with_many_erasures(spark, tmp_path):
     assert store.read().count() == 6000 - 2400
 
 
+def test_tallies_of_pieces(spark, monkeypatch):
+    """A piece of many documents gives a row for each of its different words and one for its totals; pieces and empty texts add up."""
+    from collections import Counter
+
+    from lexspan.streaming import statistics as sm
+
+    texts = ["One two, ONE", None, "", ",", "two \u212a9", "three"] * 50
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, tx.tallies(docs).collect())) == [("", 150, 300), ("k9", 50, 50), ("one", 50, 100), ("three", 50, 50), ("two", 100, 100)]
+    assert sorted(map(tuple, sm.term_counts(docs.repartition(7)).collect())) == sorted(map(tuple, tx.tallies(docs).collect()))
+    # rows that are larger than a piece, and pieces of several rows
+    monkeypatch.setattr(tx, "CUT", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([t if t is None else t.lower() for t in texts[:12]])], names=["text"])
+    found, cf = list(tx._tallied([batch, batch.slice(1, 3)])), Counter()
+    for part in found:
+        cf.update({r["term"]: r["cf"] for r in part.to_pylist()})
+    assert len(found) > 2 and cf == {"": 12, "one": 4, "two": 4, "k9": 2, "three": 2}
+
+
 def test_statistics_follow_a_stream(spark, tmp_path):
     """Files arrive one after another; after each, the stream's counts are those of a batch over all of them."""
     import random
