@@ -34,7 +34,7 @@ def build_index(spark, sf_dir):
     t.commit()
     # of documents that are one row each a feature has one list in each; else ids are counted once
     df = F.count("doc_id") if one_row_each(docs) else F.countDistinct("doc_id")
-    return store.lists().groupBy("feature").agg(F.when(F.col("feature") == ":item", df).otherwise(F.sum(F.size("at.p").cast("long"))).alias("n"), df.alias("df"))
+    return store.lists().groupBy("feature").agg(F.when(F.col("feature") == ":item", df).otherwise(F.sum(F.size("p").cast("long"))).alias("n"), df.alias("df"))
 
 
 def in_batches(spark, sf_dir, batches: int) -> tuple[st.Store, list[int]]:

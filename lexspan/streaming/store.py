@@ -26,7 +26,8 @@ from lexspan.operators.intervals import gc_reduce
 
 PLAIN = "feature string, doc_id long, p long, q long, v double"
 ROWS = f"{PLAIN}, snap long"
-LISTS = "feature string, doc_id long, at array<struct<p: long, q: long, v: double>>"
+#: Intervals p to q with values v; without q they are single places, none of them null, without v the values are 0.
+LISTS = "feature string, doc_id long, p array<long>, q array<long>, v array<double>"
 
 
 class Store:
@@ -98,11 +99,12 @@ class Store:
         return visible(single(self._stored(upto)))
 
     def lists(self, upto: int | None = None) -> DataFrame:
-        """What ``read`` returns in lists (feature, doc_id, at, snap), as they were written. A feature of a document may have several."""
+        """What ``read`` returns in lists (feature, doc_id, p, q, v, snap), as they were written. A feature of a document may have several."""
         stored = self._stored(upto)
         if stored.where("feature = ''").isEmpty():
             return stored
-        return visible(single(stored)).groupBy("feature", "doc_id", "snap").agg(F.collect_list(interval()).alias("at")).select("feature", "doc_id", "at", "snap")
+        left = visible(single(stored)).groupBy("feature", "doc_id", "snap").agg(F.collect_list(F.struct("p", "q", "v")).alias("at"))
+        return left.select("feature", "doc_id", "at.p", "at.q", "at.v", "snap")
 
     def _stored(self, upto: int | None) -> DataFrame:
         """The lists of a snapshot, with the erased and the erasures."""
@@ -111,7 +113,7 @@ class Store:
         later = [(n, tid) for n, m in found if n > base[0] for tid in m.get("ids", [])]
         rows = None
         if base[1] is not None:
-            rows = self.spark.read.schema(ROWS).parquet(f"{self.path}/compacted/{base[1]}").select("feature", "doc_id", F.array(interval()).alias("at"), "snap")
+            rows = self.spark.read.schema(ROWS).parquet(f"{self.path}/compacted/{base[1]}").select(*of_one(), "snap")
         if later:
             scan = self.spark.read.schema(f"{LISTS}, tid string").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/tid={tid}" for _, tid in later])
             numbers = self.spark.createDataFrame([(tid, n) for n, tid in later], "tid string, snap long")
@@ -143,16 +145,20 @@ class Transaction:
 
     def annotate(self, rows: DataFrame) -> None:
         """Rows (feature, doc_id, p, q, v) without a feature are dropped, as are reversed intervals."""
-        self.parts.append(rows.where("feature is not null and feature <> '' and p <= q").select("feature", "doc_id", F.array(interval()).alias("at")))
+        self.parts.append(rows.where("feature is not null and feature <> '' and p <= q").select(*of_one()))
 
     def annotate_lists(self, lists: DataFrame) -> None:
-        """The same of (feature, doc_id, at), where ``at`` is an array of (p, q, v)."""
-        forward = F.filter("at", lambda x: x["p"] <= x["q"]).alias("at")
-        self.parts.append(lists.where("feature is not null and feature <> ''").select("feature", "doc_id", forward).where(F.size("at") > 0))
+        """The same of lists (feature, doc_id, p, q, v), where q and v may be null."""
+        # single places can't be reversed, so only lists with ends are looked through
+        forward = F.when(F.col("q").isNotNull(), F.filter(intervals(), lambda x: x["p"] <= x["q"]))
+        rows = lists.where("feature is not null and feature <> ''").withColumn("at", forward)
+        own = lambda name, other: F.when(F.col("q").isNotNull(), F.col(f"at.{name}")).otherwise(other).alias(name)
+        rows = rows.select("feature", "doc_id", own("p", F.col("p")), own("q", F.col("q")), own("v", F.col("v")))
+        self.parts.append(rows.where(F.size("p") > 0))
 
     def erase(self, ranges: DataFrame) -> None:
         """(doc_id, p, q): what lies inside one of these goes."""
-        self.parts.append(ranges.withColumn("v", F.lit(0.0)).select(F.lit("").alias("feature"), "doc_id", F.array(interval()).alias("at")))
+        self.parts.append(ranges.withColumns({"feature": F.lit(""), "v": F.lit(0.0)}).select(*of_one()))
 
     def ready(self) -> bool:
         """Write all lists; the vote is remembered."""
@@ -160,7 +166,7 @@ class Transaction:
             rows = self.parts[0] if self.parts else self.store.spark.createDataFrame([], LISTS)
             for part in self.parts[1:]:
                 rows = rows.unionByName(part)
-            rows.sortWithinPartitions("feature", "doc_id", F.get("at", F.lit(0))["p"]).write.mode("overwrite").parquet(f"{self.store.path}/data/tid={self.id}")
+            rows.sortWithinPartitions("feature", "doc_id", F.get("p", F.lit(0))).write.mode("overwrite").parquet(f"{self.store.path}/data/tid={self.id}")
             self.ready_vote = True
         return self.ready_vote
 
@@ -175,14 +181,20 @@ class Transaction:
         self.parts, self.ready_vote = [], False
 
 
-def interval() -> Column:
-    """p, q and v as one value."""
-    return F.struct(F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), F.col("v").cast("double").alias("v"))
+def of_one() -> list[Column]:
+    """The columns of a row (feature, doc_id, p, q, v) as a list of one interval."""
+    return [F.col("feature"), F.col("doc_id"), *(F.array(F.col(c).cast(t)).alias(c) for c, t in (("p", "long"), ("q", "long"), ("v", "double")))]
+
+
+def intervals() -> Column:
+    """The intervals of a list, as an array of (p, q, v)."""
+    zeros = F.array_repeat(F.lit(0.0), F.size("p"))
+    return F.arrays_zip("p", F.coalesce("q", "p").alias("q"), F.coalesce("v", zeros).alias("v"))
 
 
 def single(lists: DataFrame) -> DataFrame:
     """A row for each interval of lists."""
-    return lists.select("feature", "doc_id", F.inline("at"), "snap")
+    return lists.select("feature", "doc_id", "snap", F.inline(intervals()).alias("p", "q", "v")).select("feature", "doc_id", "p", "q", "v", "snap")
 
 
 def visible(rows: DataFrame) -> DataFrame:
@@ -240,16 +252,18 @@ def _annotated(batches):
         # one word of each document stands at its start
         doc_ends = pc.subtract(length.filter(first), 1).cast(pa.int64())
         items = len(doc_ends)
-        yield from (_lists(term, doc, places.offsets, p, p), _lists(pa.array([":item"] * items), doc.filter(first), pa.array(range(items + 1), pa.int32()), pa.array(np.zeros(items, np.int64)), doc_ends))
+        one = pa.array(np.arange(items + 1), pa.int32())
+        starts = pa.ListArray.from_arrays(one, pa.array(np.zeros(items, np.int64)))
+        yield from (_lists(term, doc, pa.ListArray.from_arrays(places.offsets, p)), _lists(pa.array([":item"] * items), doc.filter(first), starts, pa.ListArray.from_arrays(one, doc_ends)))
 
 
-def _lists(feature: pa.Array, doc: pa.Array, ends: pa.Array, p: pa.Array, q: pa.Array) -> pa.RecordBatch:
-    at = pa.StructArray.from_arrays([p, q, pa.array(np.zeros(len(p)))], ["p", "q", "v"])
-    return pa.RecordBatch.from_arrays([feature, doc, pa.ListArray.from_arrays(ends, at)], ["feature", "doc_id", "at"])
+def _lists(feature: pa.Array, doc: pa.Array, p: pa.Array, q: pa.Array | None = None) -> pa.RecordBatch:
+    q = pa.nulls(len(p), p.type) if q is None else q
+    return pa.RecordBatch.from_arrays([feature, doc, p, q, pa.nulls(len(p), pa.list_(pa.float64()))], ["feature", "doc_id", "p", "q", "v"])
 
 
 def token_lists(docs: DataFrame) -> DataFrame:
-    """``token_rows`` in lists (feature, doc_id, at): one for each word of a row (doc_id, text), and one for ``:item``. Texts are cut once and nothing is shuffled."""
+    """``token_rows`` in lists (feature, doc_id, p, q, v): one for each word of a row (doc_id, text), and one for ``:item``. Texts are cut once and nothing is shuffled."""
     return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_annotated, LISTS)
 
 

@@ -104,13 +104,15 @@ def test_lists(spark, tmp_path):
     assert store.lists().count() == store.read().count() == 0
     t = store.transaction()
     t.annotate_lists(st.token_lists(docs))
-    t.annotate_lists(spark.createDataFrame([("", 1, [(0, 1, 0.0)]), (None, 1, [(0, 1, 0.0)]), ("x", 1, [(2, 1, 0.0)]), ("x", 2, [])], st.LISTS))
+    t.annotate_lists(spark.createDataFrame([("", 1, [0], [1], [0.0]), (None, 1, [0], None, None), ("x", 1, [2], [1], [0.0]), ("x", 2, [], None, None)], st.LISTS))
+    t.annotate_lists(spark.createDataFrame([("y", 1, [2, 3, 4, None], [1, 5, 4, 1], [1.0, 2.0, 3.0, 4.0]), ("y", 2, [7], [8], None), ("y", 3, [7, 8], None, [5.0, 6.0])], st.LISTS))
     t.ready()
     t.commit()
-    want = plain(st.token_rows(docs))
-    assert plain(store.read()) == want and len(want) == 3 + 4 + 2 + 3
+    own = annotated(spark, ("y", 1, 3, 5, 2.0), ("y", 1, 4, 4, 3.0), ("y", 2, 7, 8, 0.0), ("y", 3, 7, 7, 5.0), ("y", 3, 8, 8, 6.0))
+    want = plain(st.token_rows(docs).unionByName(own))
+    assert plain(store.read()) == want and len(want) == 3 + 4 + 2 + 3 + 5
     written = spark.read.parquet(str(tmp_path / "store" / "data"))
-    assert written.count() == store.lists().count() == 2 + 4 + 1 + 3
+    assert written.count() == store.lists().count() == 2 + 4 + 1 + 3 + 3
     # however large a transaction is, its rows aren't dealt by its id
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -123,7 +125,7 @@ def test_lists(spark, tmp_path):
     t.erase(spark.createDataFrame([(1, 0, 1)], "doc_id long, p long, q long"))
     t.ready()
     t.commit()
-    left = {(r.feature, r.doc_id): [tuple(x) for x in r.at] for r in store.lists().collect()}
+    left = {(r.feature, r.doc_id): list(zip(r.p, r.q, r.v, strict=True)) for r in store.lists().collect()}
     assert left["one", 1] == [(2, 2, 0.0)] and ("two", 1) not in left and left[":item", 1] == [(0, 2, 0.0)]
 
 
