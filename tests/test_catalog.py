@@ -1,6 +1,7 @@
 """Registered queries over small tables, whole, against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,8 @@ import pytest
 
 from lexspan import catalog, registry  # noqa: F401
 from lexspan.functions.text import porter
+from lexspan.operators import search as se
+from lexspan.plans.engine import Engine
 
 TEXTS = {k: f"Alpha w{k} with " + "x y " * 40 + f"late{k} was running" for k in range(1, 45)}
 
@@ -73,3 +76,76 @@ def test_feedback_around_passages(spark, tmp_path):
     chance = 4 / (809 + 803)
     score = lambda gap: 3 * math.log(1 / (1 - (1 - chance) ** gap))
     assert got == pytest.approx({(7, "needle"): score(2), (7, "hay"): score(2), (7, "companion"): score(1)}, abs=1e-5)
+
+
+def stem(word):
+    return word if porter(word) == word else f"porter:{porter(word)}"
+
+
+class Shelf:
+    """Texts with the counts of their words and, beside them, of the stems that differ."""
+
+    def __init__(self, texts):
+        self.said = {k: words(t) for k, t in texts.items()}
+        self.tf = {k: Counter(ws) + Counter(s for s in map(stem, ws) if s.startswith("porter:")) for k, ws in self.said.items()}
+        self.df = Counter(w for c in self.tf.values() for w in c)
+        self.mean = sum(map(len, self.said.values())) / len(texts)
+
+    def rsj(self, term):
+        return max(0.0, math.log((len(self.said) - self.df[term] + 0.5) / (self.df[term] + 0.5)))
+
+    def bm25(self, query, depth, k1=0.5, b=0.25):
+        """The best (document, score) of a query, term to weight."""
+        scores = {}
+        for k, tf in self.tf.items():
+            gains = [w * self.rsj(t) * tf[t] / (k1 * (1 - b + b * len(self.said[k]) / self.mean) + tf[t]) for t, w in query.items() if tf[t] and self.rsj(t)]
+            if gains:
+                scores[k] = round(sum(gains), 6)
+        return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:depth]
+
+    def wider(self, query, run, most, gamma):
+        """The query with the words of a run's documents that have the highest sums of weights, ``gamma`` each."""
+        f = Counter(w for k, _ in run for w in set(self.said[k]))
+        score = {w: round(n * self.rsj(w), 9) for w, n in f.items() if self.rsj(w)}
+        return Counter(query) + Counter({w: gamma for w in sorted(score, key=lambda w: (-score[w], w))[:most]})
+
+
+def stemmed(query):
+    found = Counter()
+    for w, n in query.items():
+        found[stem(w)] += n
+    return found
+
+
+def shelves(seed, many):
+    """Texts of words in several forms, some words rarer than others."""
+    rng = random.Random(seed)
+    forms = [b + e for b in ("jump", "walk", "talk", "lift", "paint", "count", "hunt", "rest", "form", "print", "sort", "need") for e in ("", "s", "ed", "ing")]
+    weights = [1 / (k % 13 + 1) for k in range(len(forms))]
+    return {k: " ".join(rng.choices(forms, weights, k=rng.randint(3, 12))) for k in range(many)}
+
+
+def test_two_passes_by_stems(spark, tmp_path):
+    """The words that feedback adds have the same weight and are stemmed before the second ranking."""
+    texts, topics = shelves(1, 70), {3: "the walking rests", 4: "painted forms sorting needs", 5: "hunting"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(topics.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shelf, want = Shelf(texts), {}
+    for topic, text in topics.items():
+        first = stemmed(Counter(w for w in words(text) if w != "the"))
+        second = stemmed(shelf.wider(first, shelf.bm25(first, 10), 25, 0.2))
+        want |= {(topic, k, n): s for n, (k, s) in enumerate(shelf.bm25(second, 20), 1)}
+    got = {(r.topic, r.doc_id, r["rank"]): r.score for r in registry.queries()["pipeline_bm25_rsj"](spark, str(tmp_path)).collect()}
+    # the third topic has no ranking: its stem stands in most texts
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == 40
+
+
+def test_feedback_reads_its_own_depth(spark, tmp_path):
+    """``depth`` of ``rsj`` says how many ranked documents tell words."""
+    texts = shelves(2, 50)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    topics, shelf = spark.createDataFrame([(1, "walking lifted")], "item_id long, text string"), Shelf(texts)
+    query = Counter(words("walking lifted"))
+    want = shelf.bm25(shelf.wider(query, shelf.bm25(query, 20), 6, 0.2), 9)
+    got = [(r.doc_id, r.score) for r in se.Pipeline("bm25:depth=20 rsj:depth=20,expansions=6 bm25:depth=9").run(Engine(docs), topics).orderBy("rank").collect()]
+    assert got == [(k, pytest.approx(s, abs=2e-6)) for k, s in want]
