@@ -8,6 +8,8 @@ from collections import Counter
 import pytest
 
 from lexspan import catalog, registry  # noqa: F401
+from lexspan.catalog._stems import stems_sql
+from lexspan.functions import text as tx
 from lexspan.functions.text import porter
 from lexspan.operators import search as se
 from lexspan.plans.engine import Engine
@@ -149,3 +151,61 @@ def test_feedback_reads_its_own_depth(spark, tmp_path):
     want = shelf.bm25(shelf.wider(query, shelf.bm25(query, 20), 6, 0.2), 9)
     got = [(r.doc_id, r.score) for r in se.Pipeline("bm25:depth=20 rsj:depth=20,expansions=6 bm25:depth=9").run(Engine(docs), topics).orderBy("rank").collect()]
     assert got == [(k, pytest.approx(s, abs=2e-6)) for k, s in want]
+
+
+def best_cover(said, weight):
+    """(score, p, q) of the best cover of some terms, or of a single one."""
+    found = []
+    for p, word in enumerate(said):
+        if word in weight:
+            ahead = sorted((said.index(t, p), w) for t, w in weight.items() if t in said[p:])
+            for n in range(1, len(ahead) + 1):
+                q, score = ahead[n - 1][0], sum(w for _, w in ahead[:n])
+                score -= n * math.log(q - p + 1) if n > 1 else 0
+                if n == 1 or round(score, 9) > 0:
+                    found.append((-round(score, 9), p, q))
+    return min(found, default=None)
+
+
+def test_fusion_with_feedback_from_another_collection(spark, tmp_path):
+    """Words around the best covers in the documents rank the turns by stems; the other ranking is two passes over the turns."""
+    texts, said = shelves(3, 45), shelves(4, 60)
+    topics = {1: "the walking rests", 2: "painted forms sorting needs needs", 3: "nowhere"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k // 4, k % 4, "user", t) for k, t in said.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(topics.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns, docs = Shelf({k // 4 * 1_000_000 + k % 4: t for k, t in said.items()}), {k: words(t) for k, t in texts.items()}
+    cf = Counter(w for ws in docs.values() for w in ws)
+    size, want = sum(cf.values()) + len(cf), Counter()
+    for topic, text in topics.items():
+        query = Counter(words(text))
+        weight = {w: math.log(size / (cf[w] + 1)) for w in query if w in cf}
+        covers = sorted((cover[0], k, *cover[1:]) for k, ws in docs.items() if (cover := best_cover(ws, weight)))[:32]
+        f, e = Counter(), Counter()
+        for _, k, p, q in covers:
+            gaps = {}
+            for at, w in enumerate(docs[k]):
+                if p - 64 <= at <= q + 64:
+                    gap = q - at if at < p else q - p + 1 if at <= q else at - 1 - p
+                    gaps[w] = min(gaps.get(w, gap), max(gap, 1))
+            for w, gap in gaps.items():
+                f[w] += 1
+                e[w] += 1 - (1 - (cf[w] + 1) / size) ** max(gap, 1)
+        score = {w: round(n * math.log(n / e[w]), 6) for w, n in f.items() if n > 1}
+        fed = stemmed({w: score[w] for w in sorted(score, key=lambda w: (-score[w], w))[:16]})
+        wider = stemmed(turns.wider(stemmed(query), turns.bm25(stemmed(query), 17, 1.18281, 0.447428), 25, 0.145504))
+        for run in (turns.bm25(wider, 20, 1.02941, 0.481409), turns.bm25(fed, 20, 1.18281, 0.447428)):
+            for n, (k, _) in enumerate(run, 1):
+                want[topic, k] += 1 / (60 + n)
+    got = {(r.topic, r.doc_id): r.score for r in registry.queries()["feedback_fusion"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) > 40
+
+
+def test_stems_in_sql():
+    """The stemmer of the oracles is the stemmer of the engine."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    ends = ["", "s", "ies", "sses", "ed", "eed", "ing", "y", "e", "ll", *(a for a, _ in tx._STEP2 + tx._STEP3), *tx._STEP4]
+    said = {"".join(rng.choices("aeiouybcdlstwxz", k=rng.randint(0, 6))) + rng.choice(ends) + rng.choice(ends[:10]) for _ in range(5000)} - {""} | {"a1ing", "sky", "syzygy"}
+    rows = "SELECT unnest([" + ", ".join(f"'{w}'" for w in sorted(said)) + "]) AS term"
+    assert dict(duckdb.sql(f"WITH {stems_sql(rows)} SELECT term, stem FROM fam").fetchall()) == {w: stem(w) for w in said}
