@@ -111,3 +111,20 @@ def test_word_lists_need_no_exchange(spark):
     assert {(r.doc_id, r.term): r.tf for r in tx.frequencies(twice).collect()} == {k: 2 * n for k, n in want.items()}
     lists = {(r.doc_id, r.term): (r.len, r.places) for r in tx.word_lists(docs).collect()}
     assert lists[1, "two"] == (5, [1, 3]) and lists[5, "a"][1] == list(range(3000))
+
+
+def test_covers_that_reach_a_score_are_the_same():
+    """With a score to reach, every group that reaches it has the same cover, and the others stay below."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 300, 6000))
+    pos, term = rng.permutation(40_000)[:6000] % 400, rng.integers(0, 12, 6000)
+    keep = np.unique(np.stack([group, pos]), axis=1, return_index=True)[1]
+    group, pos, term = np.unique(group[keep], return_inverse=True)[1], pos[keep], term[keep]
+    w = rng.uniform(0.5, 12, 12)[term]
+    score, p, q = topk.covers(group, pos, term, w)
+    least = np.full(len(score), np.sort(score)[-40])
+    again = topk.covers(group, pos, term, w, least)
+    high = score >= least
+    assert 40 <= high.sum() < len(score) and all(np.array_equal(a[high], b[high]) for a, b in zip((score, p, q), again, strict=True)) and (again[0][~high] < least[~high]).all()
